@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 LENGTH, END = 2048, 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
-#: Chunks of text whose ids a worker keeps; beyond this it starts anew.
-CACHE = 400_000
-_MARK = "\x02"
+#: Chunks of text whose ids a worker keeps in each of two generations; what the newer one misses it takes from the older.
+CACHE = 500_000
+_MARK, _UNKNOWN = "\x02", b"?"
 
 
 class Chunks(dict):
@@ -27,44 +27,69 @@ class Chunks(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.older: dict[str, bytes] = {}
         self.pending: dict[str, None] = {}
         self.mark = self.one(_MARK)
+        self.tails = {"": b"", ".": self.one("."), ",": self.one(",")}
 
     def one(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        self.pending[chunk] = None
-        return b""
+        ids = self.older.get(chunk)
+        if ids is None:
+            self.pending[chunk] = None
+            return _UNKNOWN
+        self[chunk] = ids
+        return ids
+
+    def parts(self, chunk: str) -> tuple[str, str]:
+        """A chunk that has the same ids, and a mark after it: case doesn't count for this tokenizer, and a single mark after a
+        letter is a word of its own. Beyond Latin-1, and where a special token may stand, the chunk is left as it is."""
+        if "<|" in chunk or max(chunk) > "\xff":
+            return chunk, ""
+        low = chunk.lower()
+        return (low[:-1], low[-1]) if low[-1] in ".," and low[-2:-1].isalpha() else (low, "")
 
     def fill(self) -> None:
         """Encodes what was missing: many chunks in one text, a mark between them."""
-        chunks = [c for c in self.pending if c]
-        plain = [c for c in chunks if _MARK not in c]
-        for i in range(0, len(plain), 512):
-            part = plain[i : i + 512]
-            ids = np.asarray(self.tokenizer.encode(f" {_MARK} ".join(part), add_special_tokens=False).ids, "<u4")
-            mark = np.frombuffer(self.mark, "<u4")
-            cut = np.flatnonzero(ids == mark[0]) if len(mark) == 1 else np.empty(0, np.int64)
-            if len(cut) == len(part) - 1:
-                self.update(zip(part, (x.tobytes() for x in np.split(ids, cut)), strict=True) if not len(cut) else ((c, x[(k > 0) :].tobytes()) for k, (c, x) in enumerate(zip(part, np.split(ids, cut), strict=True))))
+        wanted = {c: self.parts(c) for c in self.pending if c}
+        self.pending = {}
+        new = dict.fromkeys(stem for stem, _ in wanted.values() if self[stem] is _UNKNOWN)
+        self.pending = {}
+        # A plain word is one piece for the tokenizer's model, whose alphabet has ASCII as it is.
+        model = self.tokenizer.model
+        self.update((c, np.array([t.id for t in model.tokenize(c)], "<u4").tobytes()) for c in new if c.isascii() and c.isalpha() and c.islower())
+        plain = [c for c in new if _MARK not in c and c not in self]
+        for i in range(0, len(plain), 64):
+            part = plain[i : i + 64]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == np.frombuffer(self.mark, "<u4")[0]) if len(self.mark) == 4 else np.empty(0, np.int64)
+            if len(at) == len(part) - 1:
+                raw = ids.tobytes()
+                self.update(zip(part, (raw[x:y] for x, y in zip([0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)], strict=True)), strict=True))
             else:
                 self.update((c, self.one(c)) for c in part)
-        self.update((c, self.one(c)) for c in chunks if _MARK in c)
+        self.update((c, self.one(c)) for c in new if _MARK in c)
+        self.update((c, self[stem] + self.tails[tail]) for c, (stem, tail) in wanted.items())
         self[""] = b""
         self.pending = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, the same as encoding it whole."""
         if len(self) > CACHE:
+            self.older = dict(self)
             self.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        out = [b"".join(map(self.__getitem__, s)) for s in split]
+        out = [list(map(self.__getitem__, s)) for s in split]
         if self.pending:
-            new = self.pending
             self.fill()
-            out = [o if new.keys().isdisjoint(s) else b"".join(map(self.__getitem__, s)) for o, s in zip(out, split, strict=True)]
-        return out
+            for found, s in zip(out, split, strict=True):
+                i = -1
+                for _ in range(found.count(_UNKNOWN)):
+                    i = found.index(_UNKNOWN, i + 1)
+                    found[i] = self[s[i]]
+        return [b"".join(found) for found in out]
 
 
 _kept: dict[str, Chunks] = {}
