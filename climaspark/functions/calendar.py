@@ -32,7 +32,7 @@ def season_of(date: str | Column, start_month: int = RAIN_YEAR_START) -> Column:
 def season_text(season: str | Column) -> Column:
     """2023 as 2023/24."""
     s = _col(season)
-    return F.format_string("%d/%02d", s.cast("int"), F.pmod(s.cast("int") + 1, F.lit(100)))
+    return F.when(s.isNotNull(), F.format_string("%d/%02d", s.cast("int"), F.pmod(s.cast("int") + 1, F.lit(100))))
 
 
 def in_months(date: str | Column, months: tuple[int, ...] = SEASON_MONTHS) -> Column:
@@ -56,7 +56,7 @@ def within(value: str | Column, low: object = None, high: object = None) -> Colu
 def signed_text(value: str | Column, decimals: int = 0, unit: str = "%") -> Column:
     """A number with its sign and unit, rounded half to even; never -0 and no sign on a zero."""
     rounded = F.bround(_col(value).cast("double"), decimals)
-    return F.when(rounded == 0, F.format_string(f"%.{decimals}f{unit.replace('%', '%%')}", F.abs(rounded))).otherwise(F.format_string(f"%+.{decimals}f{unit.replace('%', '%%')}", rounded))
+    return F.when(rounded.isNull(), None).when(rounded == 0, F.format_string(f"%.{decimals}f{unit.replace('%', '%%')}", F.abs(rounded))).otherwise(F.format_string(f"%+.{decimals}f{unit.replace('%', '%%')}", rounded))
 
 
 def degree_text(lon: str | Column, lat: str | Column) -> Column:
