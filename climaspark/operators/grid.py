@@ -34,7 +34,7 @@ def seasonal(monthly: DataFrame, months: tuple[int, ...] = cal.SEASON_MONTHS) ->
         whole("t2m", F.try_divide(F.sum(F.col("t2m") * F.col("_d")), F.sum("_d"))).alias("temp"),
     )
     complete = monthly.where(cal.in_months("month", months)).select(cal.season_of("month", months[0]).alias("season"), "month").groupBy("season").agg(F.count_distinct("month").alias("_n")).where(F.col("_n") == n).select("season")
-    # As many rows as there are seasons.
+    # A row for each year of the calendar at most: small at any number of cells.
     return cells.join(F.broadcast(complete), "season").select("season", *CELL, "rain", "temp")
 
 
@@ -98,8 +98,8 @@ def ranked(table: DataFrame) -> DataFrame:
 
 
 def flagged(table: DataFrame, events: DataFrame) -> DataFrame:
-    """The table with the catalogue's index, and whether the season is in it. The catalogue is a row a season."""
-    return table.join(F.broadcast(events), "season", "left").withColumn("el_nino", F.col("oni").isNotNull())
+    """The table with the catalogue's index, and whether the season is in it. Spark broadcasts the catalogue if its size allows."""
+    return table.join(events, "season", "left").withColumn("el_nino", F.col("oni").isNotNull())
 
 
 def missing_events(events: DataFrame, table: DataFrame) -> DataFrame:
@@ -114,12 +114,12 @@ def present_events(events: DataFrame, table: DataFrame) -> DataFrame:
 def driest_others(table: DataFrame, events: DataFrame, n: int = 5, region: str = "south") -> DataFrame:
     """Of the region's n driest seasons those without an El Nino."""
     driest = table.where(F.col("region") == region).orderBy("rain_pct", "season").limit(n)
-    return driest.join(F.broadcast(events), "season", "left_anti")
+    return driest.join(events, "season", "left_anti")
 
 
 def month_table(anomalies: DataFrame, value: str, events: DataFrame, months: tuple[int, ...] = cal.SEASON_MONTHS) -> DataFrame:
     """A row for each catalogue season and region, a column a month in the season's order."""
-    rows = anomalies.where(cal.in_months("month", months)).withColumn("season", cal.season_of("month", months[0])).join(F.broadcast(events.select("season")), "season", "left_semi")
+    rows = anomalies.where(cal.in_months("month", months)).withColumn("season", cal.season_of("month", months[0])).join(events.select("season"), "season", "left_semi")
     return rows.withColumn("_m", F.month("month")).groupBy("season", "region").pivot("_m", list(months)).agg(F.first(value))
 
 
@@ -132,7 +132,7 @@ def shortfall_share(anomalies: DataFrame, season_rain: DataFrame, least: float =
 
 def catalogue_summary(table: DataFrame, events: DataFrame) -> DataFrame:
     """One row: catalogue seasons, how many are drier than normal in the south, and their mean south and north anomalies."""
-    rows = table.join(F.broadcast(events), "season", "left_semi")
+    rows = table.join(events, "season", "left_semi")
     south, north = F.col("region") == "south", F.col("region") == "north"
     return rows.agg(F.count_if(south).alias("seasons"), F.count_if(south & (F.col("rain_pct") < 0)).alias("drier"), F.avg(F.when(south, F.col("rain_pct"))).alias("south_pct"), F.avg(F.when(north, F.col("rain_pct"))).alias("north_pct"))
 
@@ -158,10 +158,23 @@ def area_above(field: DataFrame, weights: DataFrame, value: str, limit: float, b
     return rows.groupBy(*by).agg((F.try_divide(F.sum(F.when(x > limit, w).otherwise(F.when(x.isNotNull(), 0.0))), F.sum(F.when(x.isNotNull(), w))) * 100).alias("share_above"), (F.min(F.when(w > 0, x)) > limit).alias("everywhere"))
 
 
-def area_daily(cells: DataFrame, districts: DataFrame, values: tuple[str, ...] = ("tmax", "tmin", "prcp")) -> DataFrame:
-    """(district, date, values): plain means of the cells in each district's box, to 2 places half to even. The districts' boxes are few and broadcast."""
+def in_districts(cells: DataFrame, districts: DataFrame, step: float = 1.0) -> DataFrame:
+    """cells with the district(s) whose box (south, north, west, east) they lie in, edges included.
+
+    An equi-join on squares of `step` degrees with the exact test after it: neither side need be small.
+    """
+    def along(low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(low) / step), F.floor(F.col(high) / step)))
+
+    boxes = districts.withColumn("_a", along("south", "north")).withColumn("_b", along("west", "east"))
+    rows = cells.withColumn("_a", F.floor(F.col("lat") / step)).withColumn("_b", F.floor(F.col("lon") / step))
     box = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
-    return cells.join(F.broadcast(districts), box).groupBy("district", "date").agg(*(F.bround(F.avg(v), 2).alias(v) for v in values))
+    return rows.join(boxes, ["_a", "_b"]).where(box).drop("_a", "_b", "south", "north", "west", "east")
+
+
+def area_daily(cells: DataFrame, districts: DataFrame, values: tuple[str, ...] = ("tmax", "tmin", "prcp")) -> DataFrame:
+    """(district, date, values): plain means of the cells in each district's box, to 2 places half to even."""
+    return in_districts(cells, districts).groupBy("district", "date").agg(*(F.bround(F.avg(v), 2).alias(v) for v in values))
 
 
 def joined_fields(t2m: DataFrame, tp: DataFrame) -> DataFrame:

@@ -196,11 +196,10 @@ def area_by_band(raster: DataFrame, edges: tuple[float, ...] = BAND_EDGES) -> Da
     """(band, low, high, share_pct): every band, shares of all inside cells, also of those beyond the bands."""
     cells = raster.where(F.col("inside") & F.col("elevation").isNotNull())
     counts = cells.groupBy(band_of("elevation", edges).alias("band")).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("_all", F.sum("n").over(Window.partitionBy(F.lit(0))))
     bands = raster.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(edges, edges[1:]))], "band int, low double, high double")
-    # As many rows as bands on either side.
-    total = counts.agg(F.max("_all").alias("_t"))
-    return bands.join(counts.select("band", "n"), "band", "left").crossJoin(total).select("band", "low", "high", F.coalesce(F.try_divide(F.coalesce("n", F.lit(0)) * 100.0, F.col("_t")), F.lit(0.0)).alias("share_pct"))
+    # A row a band, and one for what lies beyond them: the window is over these few.
+    both = bands.join(counts, "band", "full").withColumn("_t", F.sum("n").over(Window.partitionBy(F.lit(0)))).where("low is not null")
+    return both.select("band", "low", "high", F.coalesce(F.try_divide(F.coalesce("n", F.lit(0)) * 100.0, F.col("_t")), F.lit(0.0)).alias("share_pct"))
 
 
 def block_mean(raster: DataFrame, factor: int, height: int, width: int, value: str = "elevation") -> DataFrame:
