@@ -710,7 +710,15 @@ def _places(spark, sf):
     return V.points(spark, sf).select("name", (0.3 + (F.col("name") % 470) * 1.03).alias("r"), (0.2 + (F.col("name") % 61) * 1.02).alias("c"))
 
 
-# --- G7, G10
+# --- G10: places projected onto a grid of 20 km
+@query("g_elevations_at", "points", "raster", sql=f"""+ {LAEA}, pix as (select name, greatest(0, least((560000 - y) / 20000 - 0.5, 58.999)) as r, greatest(0, least((x + 640000) / 20000 - 0.5, 62.999)) as c from xy),
+ near as (select name, (case when i = 1 then r - floor(r) else 1 - (r - floor(r)) end) * (case when j = 1 then c - floor(c) else 1 - (c - floor(c)) end) as w, cast(floor(r) as int) + i as row, cast(floor(c) as int) + j as col from pix, (values (0, 0), (0, 1), (1, 0), (1, 1)) as o(i, j))
+ select p.name, {r('round(e, 3)', 'elevation')} from points p left join (select name, sum(w * elevation) / sum(w) as e from near join raster using (row, col) group by name) x using (name)""")
+def g_elevations_at(spark, sf):
+    return R.elevations_at(V.points(spark, sf), V.raster(spark, sf), GRID_, _P).withColumn("elevation", F.round("elevation", 3))
+
+
+# --- G7
 @query("g_bilinear", "points", "raster", sql=f"+ {PLACES}, {BILINEAR} select p.name, {r('e', 'elevation')} from places p left join (select name, sum(w * elevation) / sum(w) as e from near join raster using (row, col) group by name) x using (name)")
 def g_bilinear(spark, sf):
     return R.bilinear(_places(spark, sf), V.raster(spark, sf), ("name",), 500, 64)
@@ -775,6 +783,18 @@ def w_profile_features(spark, sf):
     return R.profile_features(_profile(spark, sf))
 
 
+# --- S8: shapes through GeoJSON text
+@query("s_geojson", "points", sql=f"+ {BOXES} select cast(name as varchar) as name, 0 as part, 0 as ring, cast(i as int) as i, {r('case when i in (0, 3) then west else east end', 'x')}, {r('case when i < 2 then south else north end', 'y')} from boxes, (select unnest(range(4)) as i)")
+def s_geojson(spark, sf):
+    path = sinks.shared_folder(spark, "shapes")
+    coordinates = F.col("geometry")[0]
+    feature = F.struct(F.struct(F.col("name").cast("string").alias("name")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"))
+    # A feature collection for each hundred shapes, as services split large layers.
+    layers = _shapes(spark, sf).groupBy(F.floor(F.col("name") / 1000).alias("layer")).agg(F.collect_list(feature).alias("features"))
+    layers.select("layer", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).write.partitionBy("layer").text(path)
+    return R.vertices(tables.shapes(spark, f"{path}/layer=*")).select("name", "part", "ring", "i", "x", "y")
+
+
 # --- A16
 @query("a_bounding_boxes", "points", sql=f"+ {BOXES} select name, {r('west', 'west')}, {r('south', 'south')}, {r('east', 'east')}, {r('north', 'north')} from boxes")
 def a_bounding_boxes(spark, sf):

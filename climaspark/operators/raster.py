@@ -133,6 +133,13 @@ def bilinear(points: DataFrame, raster: DataFrame, keys: tuple[str, ...], height
     return points.select(*keys).join(sampled, [*keys], "left")
 
 
+def elevations_at(places: DataFrame, raster: DataFrame, grid: Grid, projection: EqualArea) -> DataFrame:
+    """(name, elevation) of places (name, lon, lat), clamped to the grid."""
+    x, y = projection.forward("lon", "lat")
+    r, c = grid.pixel(x, y)
+    return bilinear(places.select("name", r.alias("r"), c.alias("c")), raster, ("name",), grid.height, grid.width)
+
+
 def profile_points(lines: DataFrame, samples: int) -> DataFrame:
     """(name, i, x, y, distance_km) at even steps along straight lines (name, x0, y0, x1, y1), ends included."""
     t = F.col("i") / F.lit(float(samples - 1))
