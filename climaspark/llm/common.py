@@ -41,7 +41,7 @@ def segment_hashes(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray)
     return mix(np.add.reduceat((values.astype(U64) + U64(1)) * powers(int(lengths.max()))[position], starts) ^ mix(lengths.astype(U64)))
 
 
-def by_size(texts: Iterable[str | None], limit: int = 1 << 20) -> Iterator[list[str]]:
+def by_size(texts: Iterable[str | None], limit: int = 1 << 19) -> Iterator[list[str]]:
     """Texts in order, in lists of about `limit` characters, so that a list's working arrays stay small. A null is an empty text."""
     group, size = [], 0
     for text in texts:
@@ -101,6 +101,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, whose session now sends at most so many rows at once to Python, unless it was set to something else than Spark's
+    default of 10,000: whole texts make large batches, which two workers an executor hold several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, rows)
+    return df
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -112,6 +121,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def least_hashed(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """n rows of df, those with the least hashes of the keys (all, if there are fewer), ties by the keys.
+
+    Rows that can't be among them are left out first, by the share of hashes that n of all rows are, so that a task sends
+    its share of about n rows to the sort and not n of its own.
+    """
+    share = min(1.0, (n + 6 * n**0.5 + 100) / max(df.count(), 1))
+    h = F.xxhash64(*keys)
+    near = df.where(h <= int(-(2**63) + share * (2**64 - 1))) if share < 1 else df
+    return near.orderBy(h, *keys).limit(n)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components as (node, root), root being the component's smallest node; nodes without an edge don't occur.
 
@@ -119,15 +140,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     aggregations that combine before the shuffle, and ends when no edge moved. Nothing but a count and a checksum comes
     to the driver.
     """
-    pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    pairs, before = written(pairs, "edges"), None
-    for _ in range(rounds):
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    def small_star(df: DataFrame) -> DataFrame:
+        least = df.groupBy("u").agg(F.min("v").alias("m"))
+        both = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))
+        return df.join(least, "u").select(F.explode(both).alias("e")).select("e.u", "e.v").where("u != v").distinct()
+
+    def large_star(df: DataFrame) -> DataFrame:
+        both = df.unionByName(df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e"))
-        pairs = written(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
+        return both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+    pairs = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    # Many links of one node to nodes that are linked themselves become one and theirs: the rounds begin with fewer.
+    pairs, before = written(small_star(pairs), "edges"), None
+    for _ in range(rounds):
+        pairs = written(small_star(large_star(pairs)), "edges")
         # A star's edges all end at nodes that begin none.
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:

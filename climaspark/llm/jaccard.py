@@ -9,14 +9,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, by_size, components, mix, segment_hashes, shingle_hashes, word_hashes, written
+from .common import U64, by_size, components, mix, segment_hashes, shingle_hashes, small_batches, word_hashes, written
 
 WORDS, LIKE = 5, 0.8
-TREES, DEEPEST, RECALL = 14, 7, 0.999
-#: Within a subtree a text joins a leader whose estimated likeness is this, and is linked to all leaders of the lower one:
-#: texts of likeness 0.8 that are each near their leader then share a leader (Jaccard distance obeys the triangle).
-NEAR_LEADER, LINKED_LEADER = 0.8, 0.4
-BLOCK = 512
+TREES, DEEPEST, RECALL = 10, 9, 0.999
+#: Within a subtree a text joins its nearest leader if their estimated likeness is the first of these, and that leader is
+#: linked to all others from the second on: of two texts of likeness 0.8 the one's leader is then linked to the other's
+#: (Jaccard distance obeys the triangle: 0.35 and 0.2 make 0.55; the rest is for the estimate's error).
+NEAR_LEADER, LINKED_LEADER = 0.65, 0.4
+#: A block of a group holds about so many texts, or shingles, at most.
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
+#: Shingles in at most so many sets of a unit of work, or missing in at most so many, are counted pair by pair.
+FEW = 48
 
 
 def depth(trees: int = TREES, deepest: int = DEEPEST, like: float = LIKE, recall: float = RECALL) -> int:
@@ -53,18 +57,19 @@ def keys(words: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, sketch): key is the same for the same words; sketch holds the minhashes."""
+    """(doc_id, key, sketch, shingles): key is the same for the same words; sketch holds the minhashes, shingles is their number."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, done = pdf["doc_id"], 0
             for texts in by_size(pdf["text"]):
                 words, at = word_hashes(texts)
-                sig = signatures(*shingle_hashes(words, at, WORDS))
-                yield pd.DataFrame({"doc_id": ids.iloc[done : done + len(texts)].array, "key": keys(words, at), "sketch": [s.tobytes() for s in sig.astype(">u4")]}).astype({"doc_id": "Int64"})
+                shingles, first = shingle_hashes(words, at, WORDS)
+                sig = signatures(shingles, first)
+                yield pd.DataFrame({"doc_id": ids.iloc[done : done + len(texts)].array, "key": keys(words, at), "sketch": [s.tobytes() for s in sig.astype(">u4")], "shingles": np.diff(first)}).astype({"doc_id": "Int64"})
                 done += len(texts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, key binary, sketch binary")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, key binary, sketch binary, shingles long")
 
 
 def keyed(docs: DataFrame, name: str = "_key") -> DataFrame:
@@ -74,14 +79,15 @@ def keyed(docs: DataFrame, name: str = "_key") -> DataFrame:
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([k for group in by_size(texts) for k in keys(*word_hashes(group))], dtype=object)
 
-    return docs.withColumn(name, run("text"))
+    return small_batches(docs).withColumn(name, run("text"))
 
 
 def candidate_edges(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
     """(a, b) keys: links that connect at least the texts of likeness 0.8, from the forest's subtrees.
 
     Each tree's paths are sorted, which is its trie; texts under one node at the adaptive depth come one after another, those
-    with longer common prefixes next to each other. The stream through a node holds its leaders only, one-byte minhashes.
+    with longer common prefixes next to each other. The stream through a node holds its leaders only, one-byte minhashes,
+    and gives out a link only where it connects something new: one a text at most.
     """
     d = depth(recall=recall)
     width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -93,46 +99,81 @@ def candidate_edges(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, n, leaders, names = None, 0, np.empty((16, TREES * DEEPEST), np.uint8), []
+        parent: list[int] = []
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
         for pdf in batches:
             a, b = [], []
             for tree, node, key, brief in zip(pdf["tree"], pdf["node"], pdf["key"], pdf["brief"], strict=True):
                 if at != (tree, node):
-                    at, n, names = (tree, node), 0, []
+                    at, n, names, parent = (tree, node), 0, [], []
                 sig = np.frombuffer(brief, np.uint8)
-                nearest = 0.0
-                if n:
-                    like = (leaders[:n] == sig).mean(axis=1)
-                    nearest = float(like.max())
-                    for i in np.flatnonzero(like >= LINKED_LEADER):
-                        a.append(names[i])
-                        b.append(key)
-                if nearest < NEAR_LEADER:
+                like = (leaders[:n] == sig).mean(axis=1)
+                nearest = int(like.argmax()) if n else -1
+                if n and like[nearest] >= NEAR_LEADER:
+                    a.append(names[nearest])
+                    b.append(key)
+                else:
                     if n == len(leaders):
                         leaders = np.concatenate([leaders, np.empty_like(leaders)])
-                    leaders[n], n = sig, n + 1
+                    nearest, leaders[n] = n, sig
                     names.append(key)
+                    parent.append(n)
+                    n += 1
+                for i in np.flatnonzero(like >= LINKED_LEADER).tolist():
+                    if (x := root(i)) != (y := root(nearest)):
+                        parent[x] = y
+                        a.append(names[i])
+                        b.append(names[nearest])
             yield pd.DataFrame({"a": a, "b": b})
 
-    return rows.mapInPandas(run, "a binary, b binary").distinct()
+    return rows.mapInPandas(run, "a binary, b binary")
 
 
-def intersections(x: list[np.ndarray], y: list[np.ndarray] | None = None) -> np.ndarray:
-    """Sizes of the intersections of all sets of x with all of y (or of x), by products of 0/1 matrices over slices of the common shingles."""
-    sets = x + (y or [])
+def _pairs(out: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> None:
+    """Adds 1 to out for every pair of sets that share a shingle; rows lists each shingle's sets, one shingle after another."""
+    first = np.cumsum(counts) - counts
+    for c in np.unique(counts):
+        if c:
+            begin = first[counts == c]
+            for part in np.array_split(begin, len(begin) * c * c // 500_000 + 1):
+                r = rows[part[:, None] + np.arange(c)]
+                np.add.at(out, (r[:, :, None], r[:, None, :]), np.float32(1))
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets with each other.
+
+    Near copies share most shingles and each has a few of its own. So a shingle that few sets have is counted pair by pair;
+    one that few sets lack is taken as there, less the sets that lack it; only the others need products of 0/1 matrices.
+    """
+    n = len(sets)
     values, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    common = count[where] > 1
-    row, column = row[common], (np.cumsum(count > 1) - 1)[where[common]]
-    out = np.zeros((len(x), len(y) if y is not None else len(x)), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    most = int(column[-1]) + 1 if len(column) else 0
-    slice_ = max(64, 4_000_000 // len(sets))
-    for begin in range(0, most, slice_):
-        lo, hi = np.searchsorted(column, (begin, begin + slice_))
-        m = np.zeros((len(sets), min(slice_, most - begin)), np.float32)
-        m[row[lo:hi], column[lo:hi] - begin] = 1
-        out += m[: len(x)] @ (m[len(x) :] if y is not None else m).T
+    order = np.argsort(where, kind="stable")
+    row, of = np.repeat(np.arange(n), [len(s) for s in sets])[order], count[where[order]]
+    out = np.zeros((n, n), np.float32)
+    most = (count >= n - FEW) & (count > FEW)
+    rare, common = of <= FEW, (of >= n - FEW) & (of > FEW)
+    _pairs(out, row[rare], count[count <= FEW])
+    middle = ~rare & ~common
+    for kind, wanted in ((common, most), (middle, ~most & (count > FEW))):
+        r, c = row[kind], np.repeat(np.arange(int(wanted.sum())), count[wanted])
+        step = max(64, 2_000_000 // n)
+        for begin in range(0, int(wanted.sum()), step):
+            lo, hi = np.searchsorted(c, (begin, begin + step))
+            m = np.zeros((min(step, int(wanted.sum()) - begin), n), np.float32)
+            m[c[lo:hi] - begin, r[lo:hi]] = 1
+            if kind is middle:
+                out += m.T @ m
+            else:
+                missing = m == 0
+                lack = missing.sum(0).astype(np.float32)
+                out += len(m) - lack[:, None] - lack[None]
+                _pairs(out, np.nonzero(missing)[1], missing.sum(1))
     return out
 
 
@@ -142,7 +183,8 @@ LINKS = "key binary, links long, other binary"
 def links_in(x: list[tuple[bytes, int, np.ndarray]], y: list[tuple[bytes, int, np.ndarray]] | None) -> pd.DataFrame:
     """For each text of a block (and of a second one): its links to texts of the other, copies counted, and a linked text that spans its part."""
     sx, sy = np.array([len(s) for *_, s in x]), np.array([len(s) for *_, s in (x if y is None else y)])
-    both = intersections([s for *_, s in x], None if y is None else [s for *_, s in y])
+    both = intersections([s for *_, s in x + (y or [])])
+    both = both if y is None else both[: len(x), len(x) :]
     linked = both >= LIKE * (sx[:, None] + sy[None] - both) - 1e-6
     if y is None:
         np.fill_diagonal(linked, False)
@@ -168,12 +210,13 @@ def links_in(x: list[tuple[bytes, int, np.ndarray]], y: list[tuple[bytes, int, n
 
 
 def verified(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(key, links, other) from exact Jaccard likeness of shingle sets within groups (key, root, rep, copies, size).
+    """(key, links, other) from exact Jaccard likeness of shingle sets within groups (key, root, rep, copies, blocks).
 
-    A group of more than BLOCK texts is dealt into blocks by hash, and each pair of blocks is a unit of work.
+    A large group is dealt into blocks by hash, and each pair of blocks is a unit of work. The texts are joined by shuffle at
+    any size, as the groups grow with them.
     """
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(groups, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "root", "copies", "size", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(groups.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "root", "copies", "blocks", "text")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -184,10 +227,10 @@ def verified(docs: DataFrame, groups: DataFrame) -> DataFrame:
                 words, at = word_hashes(texts)
                 shingles, first = shingle_hashes(words, at, WORDS)
                 same = [k == w for k, w in zip(keys(words, at), part["key"], strict=True)]
-                yield part[["key", "root", "copies", "size"]].assign(shingles=[np.unique(shingles[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)])[same]
+                yield part[["key", "root", "copies", "blocks"]].assign(shingles=[np.unique(shingles[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)])[same]
 
-    rows = rows.mapInPandas(sets, "key binary, root binary, copies long, size long, shingles binary")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = rows.mapInPandas(sets, "key binary, root binary, copies long, blocks int, shingles binary")
+    blocks = F.col("blocks")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("root", F.least("mine", "i").alias("p"), F.greatest("mine", "i").alias("q"), "mine", "key", "copies", "shingles")
     rows = rows.repartition(width, "root", "p", "q").sortWithinPartitions("root", "p", "q", "mine", "key")
@@ -221,11 +264,12 @@ def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """
     rows = written(sketched(docs), "sketches")
     rep = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")
-    nodes = written(rows.groupBy("key").agg(rep, F.count("*").alias("copies"), F.min("sketch").alias("sketch")).select("key", F.col("first.doc_id").alias("rep"), "copies", "sketch"), "nodes")
+    nodes = written(rows.groupBy("key").agg(rep, F.count("*").alias("copies"), F.min("sketch").alias("sketch"), F.max("shingles").alias("shingles")).select("key", F.col("first.doc_id").alias("rep"), "copies", "sketch", "shingles"), "nodes")
     worded = nodes.where(F.col("key") != F.lit(bytes(16)))
     groups = components(candidate_edges(worded, recall))
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    groups = written(groups.join(sizes, "root").join(nodes.select("key", "rep", "copies"), F.col("node") == F.col("key")).select("key", "root", "rep", "copies", "size"), "groups")
+    members = groups.join(nodes.select("key", "rep", "copies", "shingles"), F.col("node") == F.col("key"))
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    groups = written(members.join(sizes, "root").select("key", "root", "rep", "copies", "blocks"), "groups")
     links = written(verified(docs, groups), "links")
     of = components(links.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
     counted = links.groupBy("key").agg(F.sum("links").alias("links"))
