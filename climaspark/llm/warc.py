@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 CHUNK = 1 << 20
 DATE = "2020-01-01T00:00:00Z"
@@ -124,7 +124,7 @@ def archives(pages: DataFrame, level: int = 6, least: int = 0) -> DataFrame:
         if held:
             yield pd.DataFrame({"archive": [archive], "chunk": [chunk], "data": [b"".join(held)]})
 
-    return with_reference(pages, least).mapInPandas(run, CHUNKS)
+    return small_batches(with_reference(pages, least)).mapInPandas(run, CHUNKS)
 
 
 def read(chunks: DataFrame, payloads: bool = True) -> DataFrame:
