@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, segment_hashes
+from .common import U64, mix, segment_hashes, small_batches
 
 SLOTS = 128
 _EMPTY = 0xFFFF
@@ -119,8 +119,9 @@ def edited_likeness(docs: DataFrame, spans: int | None = None) -> DataFrame:
     The last document's successor is the first one; a lone document is its own. No rows: no rows.
     """
     spark = docs.sparkSession
-    spans = spans or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spans = spans or 4 * width  # several a task, so that tasks are about even
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = sorted({c for c in (docs.agg(F.percentile_approx("doc_id", [i / spans for i in range(1, spans)], 10_000)).first()[0] or [])}) if spans > 1 else []
     span = F.coalesce(sum((F.when(F.col("doc_id") >= c, 1).otherwise(0) for c in cuts), F.lit(0)), F.lit(0)) if len(cuts) < 24 else F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))), F.lit(0))
     # At most one row for each span: which document comes first in it, and so is the guest of the span before.
@@ -131,4 +132,4 @@ def edited_likeness(docs: DataFrame, spans: int | None = None) -> DataFrame:
     if None in before:
         host = F.when(F.col("doc_id").isNull(), F.lit(before[None])).otherwise(host)
     rows = docs.select("doc_id", "text", F.explode(F.filter(F.array(F.struct(span.alias("span"), F.lit(False).alias("guest")), F.struct(host.cast("int").alias("span"), F.lit(True).alias("guest"))), lambda x: x["span"].isNotNull())).alias("at"))
-    return rows.select("at.span", "at.guest", "doc_id", "text").repartition(spans, "span").sortWithinPartitions("span", "guest", "doc_id", "text").mapInPandas(_edited, EDITED)
+    return rows.select("at.span", "at.guest", "doc_id", "text").repartition(width, "span").sortWithinPartitions("span", "guest", "doc_id", "text").mapInPandas(_edited, EDITED)
