@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 # The kinds of the base patterns, in their order, with the least length of what must be matched.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -67,16 +69,20 @@ def train(docs: DataFrame) -> np.ndarray:
     """Log-likelihood ratio of each pair of characters, random against ordinary, from samples in all texts of docs.
 
     Tokens of 16 characters and more are the samples: labelled random where a base pattern holds, else ordinary identifiers.
-    Spark sums the pairs' counts; a table of at most 2 x 128 x 128 numbers comes to the driver. Each model's rows are
-    smoothed towards uniform ones over the token characters, so that without any samples all ratios are 0, and a random
-    model of few samples (or none) is backed by the uniform one that random strings follow.
+    Spark sums the pairs' counts; a table of at most 2 x 128 x 128 numbers comes to the driver. Rows are
+    smoothed towards the model's single characters, and these towards uniform ones, which random strings follow: without any
+    samples all ratios are 0.
     """
     table = np.zeros((2, _STATES, _STATES))
-    for r in docs.select("text").mapInPandas(_count, _COUNTS).groupBy("random", "code").agg(F.sum("n").alias("n")).collect():
+    for r in small_batches(docs).select("text").mapInPandas(_count, _COUNTS).groupBy("random", "code").agg(F.sum("n").alias("n")).collect():
         table[int(r["random"]), r["code"] // _STATES, r["code"] % _STATES] = r["n"]
     allowed = np.array([bool(re.match(r"[A-Za-z0-9+/_=.-]", chr(i))) for i in range(_STATES)])
     prior = np.where(allowed, 1.0 / allowed.sum(), 1e-6)
-    logs = [np.log((t + 20 * prior) / (t + 20 * prior).sum(axis=1, keepdims=True)) for t in table]
+    prior /= prior.sum()
+    logs = []
+    for t in table:
+        single = (t.sum(axis=0) + 50 * prior) / (t.sum() + 50)
+        logs.append(np.log((t + 20 * single) / (t.sum(axis=1, keepdims=True) + 20)))
     return logs[1] - logs[0]
 
 
@@ -119,7 +125,7 @@ def scan(docs: DataFrame, model: np.ndarray | None = None, threshold: float = TH
                 out.append((doc_id, n["assign"], n["access"], n["hex"], hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), n["markov"]))
             yield pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
 
 
 def redact(docs: DataFrame, model: np.ndarray | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -130,7 +136,7 @@ def redact(docs: DataFrame, model: np.ndarray | None = None, threshold: float =
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else masked(t, spans_of(t, model, threshold)) for t in texts], dtype=object)
 
-    out = docs.withColumn("text", run("text"))
+    out = small_batches(docs).withColumn("text", run("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out.select(*docs.columns)
