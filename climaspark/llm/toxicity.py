@@ -12,13 +12,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import least_hashed, small_batches, written
 
 #: At most so many labelled rows (those with the least hashes) tell lexicon entries; at most so many posteriors fit the classifier.
 LABELLED_ROWS, FIT_ROWS = 20_000, 20_000
 #: Lexicon entries that become voters, and how much oftener they must stand in toxic texts.
 ENTRIES, LEAST_DOCS, LEAST_RATIO = 64, 3, 8.0
 ROUNDS = 8
+#: What an unlabelled row counts in the models' fits against a labelled one; labelled rows that correlations are told from.
+UNLABELLED, ENOUGH = 0.2, 100
 #: Nats by which an entry's toxic documents must beat chance; less will do if they use it twice each and more.
 SURE, LIKELY = 9.0, 5.0
 # A seed lexicon of insults.
@@ -46,15 +48,15 @@ def in_fold(doc_id: str = "doc_id") -> Column:
 def mined(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int, int]]:
     """Lexicon entries told by the labelled rows outside the held-out fold: (entry, toxic documents, other documents with it), best first."""
     told = labels.where(F.col("toxic").isNotNull() & F.coalesce(in_fold(), F.lit(False))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
+    sample = least_hashed(told, LABELLED_ROWS, "doc_id")
+    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         other, toxic, uses = Counter(), Counter(), Counter()
 
         def told_by() -> pd.DataFrame:
             keys = list(other.keys() | toxic.keys())
-            return pd.DataFrame({"entry": keys, "toxic": [toxic[k] for k in keys], "other": [other[k] for k in keys], "uses": [uses[k] for k in keys]})
+            return pd.DataFrame({"entry": pd.Series(keys, dtype=object), "toxic": [toxic[k] for k in keys], "other": [other[k] for k in keys], "uses": [uses[k] for k in keys]})
 
         for pdf in batches:
             for label, text in zip(pdf["toxic"], pdf["text"], strict=True):
@@ -64,7 +66,7 @@ def mined(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int, int]]:
                     for word, n in words.items():
                         for entry in candidates([word]):
                             uses[entry] += n
-            if len(other) + len(toxic) > 400_000:
+            if len(other) + len(toxic) > 200_000:
                 yield told_by()
                 other, toxic, uses = Counter(), Counter(), Counter()
         yield told_by()
@@ -156,56 +158,60 @@ class LabelModel:
 
 
 def fit_labels(rows: DataFrame, first: LabelModel, m: int) -> LabelModel:
-    """Expectation maximisation over all rows: each round is one aggregation, from which 3 numbers a voter come to the driver.
+    """Expectation maximisation over all rows (x, toxic): each round is one aggregation, from which 3 numbers a voter come to the driver.
 
-    The last gives the voters' correlations too, as far as the posterior doesn't explain them; a voter's weight is divided by
-    one and its positive correlations with others, so that voters that always vote together count about once.
+    A label, where there is one, is its row's posterior, and such a row counts more. The last round gives the voters' joint
+    errors too, from labelled rows if there are enough: a voter's weight is divided by one and its errors' correlations, so
+    that voters that are wrong together count about once.
     """
     model, v = first, len(first.right)
     for i in range(ROUNDS):
         last = i == ROUNDS - 1
+        size = 3 + 2 * v + (2 * v * v if last else 0)
 
-        def sums(batches, model=model, last=last):
-            total = np.zeros(2 + 2 * v + (v * v if last else 0))
+        def sums(batches, model=model, last=last, size=size):
+            total = np.zeros(size)
             for pdf in batches:
                 if not len(pdf):
                     continue
                 b = ballots(np.frombuffer(b"".join(pdf["x"]), np.float32).reshape(len(pdf), -1), m).astype(float)
-                p = model.posterior(b)
                 known = pdf["toxic"].to_numpy(float)
-                p = np.where(np.isnan(known), p, np.clip(known, 0.01, 0.99))
+                told = ~np.isnan(known)
+                p = np.where(told, np.clip(known, 0.01, 0.99), model.posterior(b))
+                counts = np.where(told, 1.0, UNLABELLED)[:, None]
                 cast, agree = b != 0, np.where(b > 0, p[:, None], 1 - p[:, None])
-                parts = [[len(p), p.sum()], (cast * agree).sum(0), cast.sum(0)]
+                parts = [[counts.sum(), (counts[:, 0] * p).sum(), told.sum()], (counts * cast * agree).sum(0), (counts * cast).sum(0)]
                 if last:
-                    residual = cast * (1 - agree)
-                    parts.append((residual.T @ residual).ravel())
+                    wrong = cast * (1 - agree)
+                    parts += [(wrong[told].T @ wrong[told]).ravel(), (wrong.T @ wrong).ravel()]
                 total += np.concatenate(parts)
-            yield pd.DataFrame({"i": np.arange(len(total)), "s": total})
+            yield pd.DataFrame({"i": np.arange(size), "s": total})
 
         got = {r["i"]: r["s"] for r in rows.mapInPandas(sums, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()}
-        s = np.array([got.get(j, 0.0) for j in range(2 + 2 * v + (v * v if last else 0))])
-        n, toxic, agree, cast = s[0], s[1], s[2 : 2 + v], s[2 + v : 2 + 2 * v]
-        right = np.clip((agree + 4 * model.right) / (cast + 4), 0.55, 0.995)
+        s = np.array([got.get(j, 0.0) for j in range(size)])
+        n, toxic, labelled, agree, cast = s[0], s[1], s[2], s[3 : 3 + v], s[3 + v : 3 + 2 * v]
+        right = np.clip((agree + 2 * first.right) / (cast + 2), 0.3, 0.995)
         weight = model.weight
         if last:
-            r = s[2 + 2 * v :].reshape(v, v)
-            scale = np.sqrt(np.maximum(np.diag(r), 1e-9))
-            share = np.where(cast[:, None] * cast[None] > 0, r / scale[:, None] / scale[None], 0.0) * (np.minimum(cast[:, None], cast[None]) > 20)
+            joint = s[3 + 2 * v :].reshape(2, v, v)[0 if labelled >= ENOUGH else 1]
+            errors = np.diag(joint)
+            share = joint / np.sqrt(np.maximum(errors[:, None] * errors[None], 1e-9)) * (np.minimum(errors[:, None], errors[None]) >= 2)
             np.fill_diagonal(share, 0)
-            weight = 1 / (1 + 0.25 * np.clip(share, 0, 1).sum(1))
+            weight = 1 / (1 + np.clip(share, 0, 1).sum(1))
         model = LabelModel(right, weight, float(np.clip((toxic + 1) / (n + 10), 0.005, 0.5)))
     return model
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 0.05, rounds: int = 25) -> np.ndarray:
-    """Logistic regression on soft targets by Newton steps; the last weight is the constant."""
+def fit_linear(x: np.ndarray, target: np.ndarray, counts: np.ndarray | None = None, ridge: float = 0.05, rounds: int = 25) -> np.ndarray:
+    """Logistic regression on soft targets by Newton steps; the last weight is the constant. counts tells what each row counts."""
+    counts = np.ones(len(x)) if counts is None else counts
     a = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w, penalty = np.zeros(a.shape[1]), np.full(a.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty) + 1e-6 * np.eye(len(w))
-        step = np.linalg.solve(h, a.T @ (target - p) - penalty * w)
+        h = (a * (counts * p * (1 - p))[:, None]).T @ a + np.diag(penalty) + 1e-6 * np.eye(len(w))
+        step = np.linalg.solve(h, a.T @ (counts * (target - p)) - penalty * w)
         w += np.clip(step, -4, 4)
     return w
 
@@ -252,10 +258,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Fitted:
     counts = {e: (p, n) for e, p, n in found}
     right = np.array([(counts[e][0] + 2) / (sum(counts[e]) + 4) if e in counts else 0.8 for e in entries] + [0.85, 0.85, 0.8, 0.8, 0.85, 0.85])
     fitted.labels = fit_labels(votes, LabelModel(np.clip(right, 0.55, 0.99), np.ones(len(right)), 0.1), m)
-    sample = fitted.table.orderBy(F.xxhash64("doc_id", "x"), "x").limit(FIT_ROWS).select("x").collect()
+    sample = [r for known in (True, False) for r in least_hashed(votes.where(F.col("toxic").isNotNull() == known), FIT_ROWS // 2, "doc_id", "x").select("x", "toxic").collect()]
     if sample:
         x = np.frombuffer(b"".join(bytes(r["x"]) for r in sample), np.float32).reshape(len(sample), -1).astype(float)
-        fitted.weights = fit_linear(x, fitted.labels.posterior(ballots(x, m)))
+        known = np.array([np.nan if r["toxic"] is None else r["toxic"] for r in sample])
+        posterior = np.where(np.isnan(known), fitted.labels.posterior(ballots(x, m)), np.clip(known, 0.01, 0.99))
+        fitted.weights = fit_linear(x, posterior, np.where(np.isnan(known), UNLABELLED, 1.0))
     return fitted
 
 
