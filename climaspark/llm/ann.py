@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import least_hashed, written
+
 #: The index is fitted on at most so many vectors, those whose ids have the least hashes; every vector is indexed.
 FIT_ROWS = 20_000
-CELLS, PROBES, PARTS, CODES, RERANK = 128, 48, 16, 256, 100
+CELLS, PROBES, PARTS, CODES, RERANK = 64, 52, 32, 256, 100
 #: Rows of the index and queries that one group holds at most, about; a cell with more is split.
 BLOCK, QUERIES = 8192, 1024
 
@@ -77,7 +79,7 @@ def usable(embeddings: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame, cells: int = CELLS) -> Index | None:
-    sample = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").collect()]
+    sample = [r["v"] for r in least_hashed(rows, FIT_ROWS, "vec_id").select("v").collect()]
     if not sample:
         return None
     x = unit(sample)
@@ -97,7 +99,7 @@ def search(embeddings: DataFrame, k: int = 5, every: int = 50, index: Index | No
     """
     spark = embeddings.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = usable(embeddings)
+    rows = written(usable(embeddings), "vectors")
     index = index or fit(rows)
     if index is None:
         return empty
@@ -116,9 +118,9 @@ def search(embeddings: DataFrame, k: int = 5, every: int = 50, index: Index | No
                 x = index.padded(unit(pdf["v"].tolist()))
                 yield pd.DataFrame({"query_id": pdf["vec_id"], "cells": list(index.nearest(x, probes).astype(np.int32)), "q": [v.tobytes() for v in x]})
 
-    codes = rows.mapInPandas(coded, "vec_id long, cell int, code binary")
+    codes = written(rows.mapInPandas(coded, "vec_id long, cell int, code binary"), "index")
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).mapInPandas(probed, "query_id long, cells array<int>, q binary")
-    queries = queries.select("query_id", "q", F.explode("cells").alias("cell"))
+    queries = written(queries.select("query_id", "q", F.explode("cells").alias("cell")), "probes")
     # Two numbers for each cell: into how many pieces its rows and its queries go.
     split = {c: [1, 1] for c in range(n_cells)}
     for r in codes.groupBy("cell").count().collect():
