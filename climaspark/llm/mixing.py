@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Up to so many sources their rates are broadcast; beyond, the join is a shuffled one with salted sources.
 MOST_SOURCES = 10_000
 SALTS = 64
@@ -28,15 +30,16 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0
     A document's size is its characters and one. weights has (source, weight), not negative, in any scale; without it all
     sources weigh the same. A source that weights doesn't name, or with null, has rate 0. A null source is one of its own.
     """
-    sized = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1).alias("size"))
+    sized = written(docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1).alias("size")), "sizes")
     if weights is None:
         weighed = sized.withColumn("weight", F.lit(1.0))
     else:
         w = weights.groupBy(F.col("source").alias("_source")).agg(F.sum("weight").cast("double").alias("weight"))
         weighed = sized.join(w, F.col("source").eqNullSafe(F.col("_source")), "left").select("source", "size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    whole = weighed.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    rate = F.coalesce(F.try_divide(F.col("weight") * F.col("all_size") * F.lit(float(epochs)), F.col("all_weight") * F.col("size")), F.lit(0.0))
-    return weighed.join(F.broadcast(whole)).select("source", rate.alias("rate"))
+    whole = weighed.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
+    target = F.lit(float(epochs) * (whole["size"] or 0))
+    rate = F.coalesce(F.try_divide(F.col("weight") * target, F.col("size") * F.lit(float(whole["weight"] or 0))), F.lit(0.0))
+    return weighed.select("source", rate.alias("rate"))
 
 
 def inverted(rate: Column) -> Column:
@@ -72,7 +75,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0,
         small = docs.sparkSession.createDataFrame([(r["source"], r["rate"]) for r in few], "_source string, rate double").select("_source", inverted(F.col("rate")).alias("inverse"))
         joined = docs.alias("d").join(F.broadcast(small), F.col("d.source").eqNullSafe(F.col("_source"))).select(told, "inverse")
     else:
-        large = table.select(F.col("source").alias("_source"), inverted(F.col("rate")).alias("inverse"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        large = table.select(F.col("source").alias("_source"), inverted(F.col("rate")).alias("inverse"))
+        large = large.select("_source", "inverse", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
         salt = F.pmod(F.xxhash64("d.doc_id"), F.lit(SALTS)).cast("int")
         joined = docs.alias("d").join(large, F.col("d.source").eqNullSafe(F.col("_source")) & (salt == F.col("_salt"))).select(told, "inverse")
     counted = joined.select("doc", copies(F.col("doc.doc_id"), F.col("inverse"), seed).alias("n")).where("n > 0")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import ann, chat, jaccard, license_scan, lz_fingerprint, mixing, packing, secret_scan, toxicity, warc
 
@@ -53,7 +52,7 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copies", F.hex("class_key").alias("class_key"))
+    return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copies")
 
 
 QUERIES = {f.__name__: f for f in (op1_lz_fingerprints, op2_secret_scan, op3_license_scan, op4_binary_packing, op5_chat_formatting, op6_poisson_mixing, op7_toxicity, op8_warc, op9_nearest_neighbours, op10_jaccard_join)}
