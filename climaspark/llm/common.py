@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,7 +104,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+def give_back() -> None:
+    """Returns what this Python worker has freed to the system: workers live on, and their heaps would keep their largest size."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def bounded(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over batches, giving back memory at its end."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def small_batches(df: DataFrame, rows: int = 500) -> DataFrame:
     """df, whose session now sends at most so many rows at once to Python, unless it was set to something else than Spark's
     default of 10,000: whole texts make large batches, which two workers an executor hold several times."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

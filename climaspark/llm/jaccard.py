@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, by_size, components, mix, segment_hashes, shingle_hashes, small_batches, word_hashes, written
+from .common import U64, bounded, by_size, components, give_back, mix, segment_hashes, shingle_hashes, small_batches, word_hashes, written
 
 WORDS, LIKE = 5, 0.8
 TREES, DEEPEST, RECALL = 10, 9, 0.999
@@ -69,7 +69,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"doc_id": ids.iloc[done : done + len(texts)].array, "key": keys(words, at), "sketch": [s.tobytes() for s in sig.astype(">u4")], "shingles": np.diff(first)}).astype({"doc_id": "Int64"})
                 done += len(texts)
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, key binary, sketch binary, shingles long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(bounded(run), "doc_id long, key binary, sketch binary, shingles long")
 
 
 def keyed(docs: DataFrame, name: str = "_key") -> DataFrame:
@@ -77,7 +77,9 @@ def keyed(docs: DataFrame, name: str = "_key") -> DataFrame:
 
     @F.pandas_udf("binary")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([k for group in by_size(texts) for k in keys(*word_hashes(group))], dtype=object)
+        out = pd.Series([k for group in by_size(texts) for k in keys(*word_hashes(group))], dtype=object)
+        give_back()
+        return out
 
     return small_batches(docs).withColumn(name, run("text"))
 
@@ -131,7 +133,7 @@ def candidate_edges(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
                         b.append(names[nearest])
             yield pd.DataFrame({"a": a, "b": b})
 
-    return rows.mapInPandas(run, "a binary, b binary")
+    return rows.mapInPandas(bounded(run), "a binary, b binary")
 
 
 def _pairs(out: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> None:
@@ -229,7 +231,7 @@ def verified(docs: DataFrame, groups: DataFrame) -> DataFrame:
                 same = [k == w for k, w in zip(keys(words, at), part["key"], strict=True)]
                 yield part[["key", "root", "copies", "blocks"]].assign(shingles=[np.unique(shingles[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)])[same]
 
-    rows = rows.mapInPandas(sets, "key binary, root binary, copies long, blocks int, shingles binary")
+    rows = rows.mapInPandas(bounded(sets), "key binary, root binary, copies long, blocks int, shingles binary")
     blocks = F.col("blocks")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("root", F.least("mine", "i").alias("p"), F.greatest("mine", "i").alias("q"), "mine", "key", "copies", "shingles")
@@ -252,7 +254,7 @@ def verified(docs: DataFrame, groups: DataFrame) -> DataFrame:
         if at is not None:
             yield done()
 
-    return rows.mapInPandas(run, LINKS)
+    return rows.mapInPandas(bounded(run), LINKS)
 
 
 def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_size, shingle_hashes, small_batches, word_hashes
+from .common import bounded, by_size, shingle_hashes, small_batches, word_hashes
 
 # Phrases whose every place counts, and their labels.
 PHRASES = {
@@ -87,7 +87,7 @@ def rolling(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"row": np.arange(row, row + len(texts)), "doc_id": pd.array(ids[done : done + len(texts)], "Int64") if None not in ids else ids[done : done + len(texts)], "n_words": n, "hits": hits}).astype({"doc_id": "Int64"})
                 row, done = row + len(texts), done + len(texts)
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, HITS)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(bounded(run), HITS)
 
 
 def votes(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, segment_hashes, small_batches
+from .common import U64, bounded, mix, segment_hashes, small_batches
 
 SLOTS = 128
 _EMPTY = 0xFFFF
@@ -132,4 +132,4 @@ def edited_likeness(docs: DataFrame, spans: int | None = None) -> DataFrame:
     if None in before:
         host = F.when(F.col("doc_id").isNull(), F.lit(before[None])).otherwise(host)
     rows = docs.select("doc_id", "text", F.explode(F.filter(F.array(F.struct(span.alias("span"), F.lit(False).alias("guest")), F.struct(host.cast("int").alias("span"), F.lit(True).alias("guest"))), lambda x: x["span"].isNotNull())).alias("at"))
-    return rows.select("at.span", "at.guest", "doc_id", "text").repartition(width, "span").sortWithinPartitions("span", "guest", "doc_id", "text").mapInPandas(_edited, EDITED)
+    return rows.select("at.span", "at.guest", "doc_id", "text").repartition(width, "span").sortWithinPartitions("span", "guest", "doc_id", "text").mapInPandas(bounded(_edited), EDITED)

@@ -12,12 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded, small_batches
 
 LENGTH, END = 2048, 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 #: Chunks of text whose ids a worker keeps in each of two generations; what the newer one misses it takes from the older.
-CACHE = 500_000
+CACHE = 300_000
 _MARK, _UNKNOWN = "\x02", b"?"
 
 
@@ -144,7 +144,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGT
                         start, sequence = start + n, sequence + 1
                 yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(bounded(run), schema)
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

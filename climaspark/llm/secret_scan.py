@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded, give_back, small_batches
 
 # The kinds of the base patterns, in their order, with the least length of what must be matched.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -74,7 +74,7 @@ def train(docs: DataFrame) -> np.ndarray:
     samples all ratios are 0.
     """
     table = np.zeros((2, _STATES, _STATES))
-    for r in small_batches(docs).select("text").mapInPandas(_count, _COUNTS).groupBy("random", "code").agg(F.sum("n").alias("n")).collect():
+    for r in small_batches(docs).select("text").mapInPandas(bounded(_count), _COUNTS).groupBy("random", "code").agg(F.sum("n").alias("n")).collect():
         table[int(r["random"]), r["code"] // _STATES, r["code"] % _STATES] = r["n"]
     allowed = np.array([bool(re.match(r"[A-Za-z0-9+/_=.-]", chr(i))) for i in range(_STATES)])
     prior = np.where(allowed, 1.0 / allowed.sum(), 1e-6)
@@ -125,7 +125,7 @@ def scan(docs: DataFrame, model: np.ndarray | None = None, threshold: float = TH
                 out.append((doc_id, n["assign"], n["access"], n["hex"], hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), n["markov"]))
             yield pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_markov"]).astype({"doc_id": "Int64"})
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(bounded(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
 
 
 def redact(docs: DataFrame, model: np.ndarray | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -134,7 +134,9 @@ def redact(docs: DataFrame, model: np.ndarray | None = None, threshold: float =
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else masked(t, spans_of(t, model, threshold)) for t in texts], dtype=object)
+        out = pd.Series([None if t is None else masked(t, spans_of(t, model, threshold)) for t in texts], dtype=object)
+        give_back()
+        return out
 
     out = small_batches(docs).withColumn("text", run("text"))
     if "n_chars" in docs.columns:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashed, small_batches, written
+from .common import bounded, give_back, least_hashed, small_batches, written
 
 #: At most so many labelled rows (those with the least hashes) tell lexicon entries; at most so many posteriors fit the classifier.
 LABELLED_ROWS, FIT_ROWS = 20_000, 20_000
@@ -71,7 +71,7 @@ def mined(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int, int]]:
                 other, toxic, uses = Counter(), Counter(), Counter()
         yield told_by()
 
-    sums = rows.mapInPandas(count, "entry string, toxic long, other long, uses long").groupBy("entry").agg(F.sum("toxic").alias("p"), F.sum("other").alias("n"), F.sum("uses").alias("uses"))
+    sums = rows.mapInPandas(bounded(count), "entry string, toxic long, other long, uses long").groupBy("entry").agg(F.sum("toxic").alias("p"), F.sum("other").alias("n"), F.sum("uses").alias("uses"))
     sums = written(sums.where(f"p >= {LEAST_DOCS} or entry = ''"), "entries")
     total = sums.where("entry = ''").first()
     if total is None or not total["p"]:
@@ -187,7 +187,7 @@ def fit_labels(rows: DataFrame, first: LabelModel, m: int) -> LabelModel:
                 total += np.concatenate(parts)
             yield pd.DataFrame({"i": np.arange(size), "s": total})
 
-        got = {r["i"]: r["s"] for r in rows.mapInPandas(sums, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()}
+        got = {r["i"]: r["s"] for r in rows.mapInPandas(bounded(sums), "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()}
         s = np.array([got.get(j, 0.0) for j in range(size)])
         n, toxic, labelled, agree, cast = s[0], s[1], s[2], s[3 : 3 + v], s[3 + v : 3 + 2 * v]
         right = np.clip((agree + 2 * first.right) / (cast + 2), 0.3, 0.995)
@@ -230,7 +230,9 @@ class Fitted:
 
         @F.pandas_udf("binary")
         def run(texts: pd.Series) -> pd.Series:
-            return pd.Series([lexicon.features(t or "").tobytes() for t in texts], dtype=object)
+            out = pd.Series([lexicon.features(t or "").tobytes() for t in texts], dtype=object)
+            give_back()
+            return out
 
         return run(text)
 
