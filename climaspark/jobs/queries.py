@@ -569,8 +569,11 @@ def a_shortfall_share(spark, sf):
     return G.shortfall_share(_anomalies(spark, sf).select("region", "month", (F.col("precip") * 30).alias("anomaly")), short, 20.0)
 
 
+SOUTH_PCT, NORTH_PCT = (r(f"avg(rain_pct) filter (region = '{half}')", f"{half}_pct") for half in ("south", "north"))
+
+
 # --- A25
-@query("a_catalogue_summary", "monthly", sql=f"+ {GRID}, {EVENTS} select count(*) filter (region = 'south') as seasons, count(*) filter (region = 'south' and rain_pct < 0) as drier, {r(chr(97) + 'vg(rain_pct) filter (region = ' + chr(39) + 'south' + chr(39) + ')', 'south_pct')}, {r(chr(97) + 'vg(rain_pct) filter (region = ' + chr(39) + 'north' + chr(39) + ')', 'north_pct')} from tab where season in (select season from events_)")
+@query("a_catalogue_summary", "monthly", sql=f"+ {GRID}, {EVENTS} select count(*) filter (region = 'south') as seasons, count(*) filter (region = 'south' and rain_pct < 0) as drier, {SOUTH_PCT}, {NORTH_PCT} from tab where season in (select season from events_)")
 def a_catalogue_summary(spark, sf):
     return G.catalogue_summary(_table(spark, sf), _events(spark))
 

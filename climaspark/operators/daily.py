@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import calendar as cal
-from ..functions.classes import HEAVY_MM, WET_MM, is_dry, is_heavy, is_wet
+from ..functions.classes import is_dry, is_heavy, is_wet
 
 KEY = ("location",)
 
