@@ -75,7 +75,7 @@ def canonical(records: DataFrame, key: str = "conv_id", record: str = "record",
     """(key, order, place, layout, role, text) of JSON records of mixed layouts, a row for each turn.
 
     `order` names a column that orders records of one key. An unknown layout or malformed record gives one row with null
-    layout, role and text, so that nothing goes unseen; a known one without turns gives none. Roles get their canonical names.
+    layout, role and text, so that nothing goes unseen; a known one without turns gives none. Only the layout `conversations` has other names for roles.
     """
     record_, roles = F.col(record), F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))
     turn = "array<struct<role:string,text:string>>"
