@@ -17,7 +17,7 @@ from .common import bounded, small_batches
 LENGTH, END = 2048, 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 #: Chunks of text whose ids a worker keeps in each of two generations; what the newer one misses it takes from the older.
-CACHE = 300_000
+CACHE = 450_000
 _MARK, _UNKNOWN = "\x02", b"?"
 
 
@@ -53,11 +53,12 @@ class Chunks(dict):
         low = chunk.lower()
         return (low[:-1], low[-1]) if low[-1] in ".," and low[-2:-1].isalpha() else (low, "")
 
-    def fill(self) -> None:
-        """Encodes what was missing: many chunks in one text, a mark between them."""
+    def fill(self) -> dict[str, bytes]:
+        """Ids of what was missing. New stems are encoded many in one text, a mark between them. A chunk that isn't its own stem is
+        kept only from the second time that its stem is met: most rare words are met once."""
         wanted = {c: self.parts(c) for c in self.pending if c}
         self.pending = {}
-        new = dict.fromkeys(stem for stem, _ in wanted.values() if self[stem] is _UNKNOWN)
+        new = {stem: None for stem, _ in wanted.values() if self[stem] is _UNKNOWN}
         self.pending = {}
         # A plain word is one piece for the tokenizer's model, whose alphabet has ASCII as it is.
         model = self.tokenizer.model
@@ -73,9 +74,11 @@ class Chunks(dict):
             else:
                 self.update((c, self.one(c)) for c in part)
         self.update((c, self.one(c)) for c in new if _MARK in c)
-        self.update((c, self[stem] + self.tails[tail]) for c, (stem, tail) in wanted.items())
-        self[""] = b""
+        fresh = {c: self[stem] + self.tails[tail] for c, (stem, tail) in wanted.items()}
+        self.update((c, fresh[c]) for c, (stem, _) in wanted.items() if stem not in new)
+        self[""] = fresh[""] = b""
         self.pending = {}
+        return fresh
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, the same as encoding it whole."""
@@ -85,12 +88,12 @@ class Chunks(dict):
         split = [t.replace("\n", " ").split(" ") for t in texts]
         out = [list(map(self.__getitem__, s)) for s in split]
         if self.pending:
-            self.fill()
+            fresh = self.fill()
             for found, s in zip(out, split, strict=True):
                 i = -1
                 for _ in range(found.count(_UNKNOWN)):
                     i = found.index(_UNKNOWN, i + 1)
-                    found[i] = self[s[i]]
+                    found[i] = fresh[s[i]]
         return [b"".join(found) for found in out]
 
 
