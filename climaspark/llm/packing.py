@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,11 @@ CACHE = 450_000
 _MARK, _UNKNOWN = "\x02", b"?"
 
 
+#: The byte alphabet's rule: printable bytes of Latin-1 stand for themselves, the others for characters from 256 on.
+_OTHERS = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]
+_ALPHABET = {b: 256 + i for i, b in enumerate(_OTHERS)}
+
+
 class Chunks(dict):
     """Ids, as little-endian 32-bit numbers, of chunks of text between spaces and line ends, which this tokenizer treats alone."""
 
@@ -48,7 +54,7 @@ class Chunks(dict):
     def parts(self, chunk: str) -> tuple[str, str]:
         """A chunk that has the same ids, and a mark after it: case doesn't count for this tokenizer, and a single mark after a
         letter is a word of its own. Beyond Latin-1, and where a special token may stand, the chunk is left as it is."""
-        if "<|" in chunk or max(chunk) > "\xff":
+        if "<|" in chunk or not chunk.isascii() and max(chunk) > "\xff":
             return chunk, ""
         low = chunk.lower()
         return (low[:-1], low[-1]) if low[-1] in ".," and low[-2:-1].isalpha() else (low, "")
@@ -60,9 +66,13 @@ class Chunks(dict):
         self.pending = {}
         new = {stem: None for stem, _ in wanted.values() if self[stem] is _UNKNOWN}
         self.pending = {}
-        # A plain word is one piece for the tokenizer's model, whose alphabet has ASCII as it is.
+        # A word of Latin-1 letters is one piece for the tokenizer's model, whose alphabet stands for UTF-8 bytes.
         model = self.tokenizer.model
-        self.update((c, np.array([t.id for t in model.tokenize(c)], "<u4").tobytes()) for c in new if c.isascii() and c.isalpha() and c.islower())
+        for c in new:
+            if c.isalpha() and c.islower() and (c.isascii() or max(c) <= "\xff"):
+                letters = c if c.isascii() else c.encode().decode("latin-1").translate(_ALPHABET)
+                ids = [t.id for t in model.tokenize(letters)]
+                self[c] = struct.pack(f"<{len(ids)}I", *ids)
         plain = [c for c in new if _MARK not in c and c not in self]
         for i in range(0, len(plain), 64):
             part = plain[i : i + 64]
