@@ -1,4 +1,4 @@
-"""Secret scans: fixed patterns, and character Markov models of random strings and of ordinary identifiers."""
+"""Secret scans: fixed patterns, and character Markov models of random strings, by alphabet, and of ordinary identifiers."""
 
 from __future__ import annotations
 
@@ -47,47 +47,67 @@ def transitions(token: str) -> np.ndarray:
     return c[:-1] * _STATES + c[1:]
 
 
-_COUNTS = "random boolean, code int, n long"
+#: What secrets are drawn from, narrow before wide: a labelled sample belongs to the first that holds all its characters.
+ALPHABETS = {"hex": r"[0-9a-f]", "upper": r"[A-Z0-9]", "alnum": r"[A-Za-z0-9]", "base64": r"[A-Za-z0-9+/_=.-]"}
+_ORDINARY = len(ALPHABETS)
+_WHOLE = [re.compile(f"{a}+") for a in ALPHABETS.values()]
+
+
+def alphabet_of(sample: str) -> int:
+    return next((i for i, a in enumerate(_WHOLE) if a.fullmatch(sample)), _ORDINARY - 1)
+
+
+_COUNTS = "side int, code int, n long"
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    counts: list[Counter] = [Counter() for _ in range(_ORDINARY + 1)]
     for pdf in batches:
         for text in pdf["text"]:
             tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text or "")]
-            spans = base_spans(text) if tokens else []
+            # Of an assignment, only the value is a sample.
+            spans = [(ASSIGN.match(text, s).start(2) if k == "assign" else s, e, s) for s, e, k in base_spans(text)] if tokens else []
             for start, end in tokens:
-                label = next((True for s, e, _ in spans if s < end and start < e), False)
+                if not any(s < end and start < e for _, e, s in spans):
+                    counts[_ORDINARY].update(transitions(text[start:end]).tolist())
                 # Of a token that holds a secret, the secret's own characters are the sample.
-                pieces = [text[max(s, start) : min(e, end)] for s, e, _ in spans if s < end and start < e] if label else [text[start:end]]
-                for piece in pieces:
-                    counts[label].update(transitions(piece).tolist())
-    yield pd.DataFrame([(label, code, n) for label, c in counts.items() for code, n in c.items()], columns=["random", "code", "n"])
+                for piece in (text[max(v, start) : min(e, end)] for v, e, _ in spans if v < end and start < e):
+                    counts[alphabet_of(piece)].update(transitions(piece).tolist())
+    yield pd.DataFrame([(side, code, n) for side, c in enumerate(counts) for code, n in c.items()], columns=["side", "code", "n"])
+
+
+def _logs(t: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Log-probabilities of pairs: rows are smoothed towards the single characters, and these towards prior."""
+    single = (t.sum(axis=0) + 50 * prior) / (t.sum() + 50)
+    return np.log((t + 20 * single) / (t.sum(axis=1, keepdims=True) + 20))
 
 
 def train(docs: DataFrame) -> np.ndarray:
-    """Log-likelihood ratio of each pair of characters, random against ordinary, from samples in all texts of docs.
+    """Log-likelihood ratios of each pair of characters, random against ordinary, a table for each model of random strings.
 
-    Tokens of 16 characters and more are the samples: labelled random where a base pattern holds, else ordinary identifiers.
-    Spark sums the pairs' counts; a table of at most 2 x 128 x 128 numbers comes to the driver. Rows are
-    smoothed towards the model's single characters, and these towards uniform ones, which random strings follow: without any
-    samples all ratios are 0.
+    Tokens of 16 characters and more are the samples: those where a base pattern holds are random, by alphabet, the others
+    ordinary identifiers. An alphabet has two models: that of its labelled samples, and that of even chances, which random strings
+    follow, for alphabets with few labelled samples or with words among them. Spark sums the pairs' counts; a table of at most
+    5 x 128 x 128 numbers comes to the driver. Both sides of a ratio are smoothed towards even chances within the alphabet: without
+    any samples all ratios within it are 0.
     """
-    table = np.zeros((2, _STATES, _STATES))
-    for r in small_batches(docs).select("text").mapInPandas(bounded(_count), _COUNTS).groupBy("random", "code").agg(F.sum("n").alias("n")).collect():
-        table[int(r["random"]), r["code"] // _STATES, r["code"] % _STATES] = r["n"]
-    allowed = np.array([bool(re.match(r"[A-Za-z0-9+/_=.-]", chr(i))) for i in range(_STATES)])
-    prior = np.where(allowed, 1.0 / allowed.sum(), 1e-6)
-    prior /= prior.sum()
-    logs = []
-    for t in table:
-        single = (t.sum(axis=0) + 50 * prior) / (t.sum() + 50)
-        logs.append(np.log((t + 20 * single) / (t.sum(axis=1, keepdims=True) + 20)))
-    return logs[1] - logs[0]
+    table = np.zeros((_ORDINARY + 1, _STATES, _STATES))
+    for r in small_batches(docs).select("text").mapInPandas(bounded(_count), _COUNTS).groupBy("side", "code").agg(F.sum("n").alias("n")).collect():
+        table[r["side"], r["code"] // _STATES, r["code"] % _STATES] = r["n"]
+    ratios = []
+    for counts, pattern in zip(table[:_ORDINARY], ALPHABETS.values(), strict=True):
+        allowed = np.array([bool(re.match(pattern, chr(i))) for i in range(_STATES)])
+        prior = np.where(allowed, 1.0 / allowed.sum(), 1e-6)
+        prior /= prior.sum()
+        ordinary = _logs(table[_ORDINARY], prior)
+        # What the alphabet lacks never speaks for it, however rare it is among ordinary tokens.
+        ratios += [np.where(allowed, _logs(t, prior) - ordinary, np.minimum(_logs(t, prior) - ordinary, np.log(1e-6))) for t in (counts, np.zeros_like(counts))]
+    return np.stack(ratios)
 
 
 def score(token: str, model: np.ndarray) -> float:
-    return float(model.ravel()[transitions(token)].mean()) if token else 0.0
+    """The best mean ratio that any of the models gives to the token."""
+    return float(model.reshape(len(model), -1)[:, transitions(token)].mean(axis=1).max()) if token else 0.0
 
 
 def spans_of(text: str, model: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:

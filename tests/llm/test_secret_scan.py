@@ -61,3 +61,19 @@ def test_odd_rows_and_redaction(spark, odd, documents):
     rows = {r["doc_id"]: r for r in S.redact(d).collect()}
     assert secret not in rows[1]["text"] and rows[1]["text"].count(S.MASK) == 2 and rows[1]["n_chars"] == len(rows[1]["text"])
     assert rows[2]["text"] == "clean text"
+
+
+ALPHABETS = {"hex": "0123456789abcdef", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "alnum": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
+ALPHABETS["base64"] = ALPHABETS["alnum"] + "+/"
+
+
+def test_recall_of_each_alphabet_by_the_table_s_own_model(spark, sf):
+    docs = table(spark, sf, "documents")
+    model, rng = S.train(docs), random.Random(5)
+    for name, letters in ALPHABETS.items():
+        for n in (24, 40):
+            found = sum(S.score("".join(rng.choice(letters) for _ in range(n)), model) >= S.THRESHOLD for _ in range(400))
+            assert found >= 360, (name, n, found)
+    texts = [r["text"] or "" for r in docs.select("text").collect()]
+    plain = {m[0] for t in texts if not S.base_spans(t) for m in S.TOKEN.finditer(t)}
+    assert sum(S.score(t, model) >= S.THRESHOLD for t in plain) <= len(plain) / 50
