@@ -223,30 +223,34 @@ def regrid(targets: DataFrame, field: DataFrame, keys: tuple[str, ...], north: f
     return bilinear(places, source, keys, height, width, value, clamp=False)
 
 
-def filled(raster: DataFrame, value: str = "elevation", reach: int = 8, most: int = 4096) -> DataFrame:
+def filled(raster: DataFrame, value: str = "elevation", reach: int = 8) -> DataFrame:
     """The raster with missing values from the nearest valid cell, ties to the first in row-major order.
 
-    Rings widen by doubling: missing cells meet the valid ones of neighbouring squares of side `reach`, and only those whose
-    nearest lies within reach for certain are settled; the others go on with twice the reach. Complete rasters come back as they are.
+    Rings widen by fours: missing cells meet the valid ones of neighbouring squares of side `reach`, and only those whose
+    nearest lies within reach for certain are settled; the others go on with four times the reach, until none is left. Complete
+    rasters come back as they are; only a raster without any valid cell keeps its nulls.
     """
     done = raster.where(F.col(value).isNotNull()).select("row", "col", value)
     left = raster.where(F.col(value).isNull()).select("row", "col")
     out, r = done, reach
-    border = _bordering(done, left)
-    while r <= most:
+    # Kept for the rounds: otherwise each would compute all before it once more.
+    border = _bordering(done, left).persist()
+    if border.limit(1).count() == 0:
+        return out.unionByName(left.withColumn(value, F.lit(None).cast(raster.schema[value].dataType)))
+    while True:
         square = [F.floor(F.col(c) / r).cast("int") for c in ("row", "col")]
         v = border.select(F.col("row").alias("_vr"), F.col("col").alias("_vc"), F.col(value).alias("_v"), square[0].alias("_a"), square[1].alias("_b"))
         around = F.explode(F.array(*(F.struct((square[0] + i).alias("_a"), (square[1] + j).alias("_b")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
         pairs = left.select("row", "col", around.alias("_s")).select("row", "col", "_s.*").join(v, ["_a", "_b"])
-        d2 = (F.col("row") - F.col("_vr")) * (F.col("row") - F.col("_vr")) + (F.col("col") - F.col("_vc")) * (F.col("col") - F.col("_vc"))
+        dr, dc = ((F.col(a) - F.col(b)).cast("bigint") for a, b in (("row", "_vr"), ("col", "_vc")))
+        d2 = dr * dr + dc * dc
         near = pairs.groupBy("row", "col").agg(F.min_by("_v", F.struct(d2, "_vr", "_vc")).alias(value), F.min(d2).alias("_d"))
         settled = near.where(F.col("_d") <= r * r).select("row", "col", value)
         out = out.unionByName(settled)
-        left = left.join(settled, ["row", "col"], "left_anti")
+        left = left.join(settled, ["row", "col"], "left_anti").persist()
         if left.limit(1).count() == 0:
             return out
         r *= 4
-    return out.unionByName(left.withColumn(value, F.lit(None).cast(raster.schema[value].dataType)))
 
 
 def _bordering(valid: DataFrame, missing: DataFrame) -> DataFrame:
