@@ -643,28 +643,28 @@ def g_tile_xy(spark, sf):
 BOXES = "boxes as (select name, lon as west, lat as south, lon + 1.3 as east, lat + 0.9 as north from points where name % 10 = 0)"
 
 
-def _boxes(spark, sf):
-    return V.points(spark, sf).where("name % 10 = 0").select("name", F.col("lon").alias("west"), F.col("lat").alias("south"), (F.col("lon") + 1.3).alias("east"), (F.col("lat") + 0.9).alias("north"))
+def _boxes(spark, sf, every):
+    return V.points(spark, sf).where(F.col("name") % every == 0).select("name", F.col("lon").alias("west"), F.col("lat").alias("south"), (F.col("lon") + 1.3).alias("east"), (F.col("lat") + 0.9).alias("north"))
 
 
 # --- G2
 @query("g_tile_ranges", "points", sql=f"""+ {BOXES}, q as (select name, unnest(generate_series(cast(floor((west + 180) / 360 * 256) as int), cast(floor((east + 180) / 360 * 256) as int))) as x, cast(floor((1 - asinh(tan(radians(north))) / pi()) / 2 * 256) as int) as y0, cast(floor((1 - asinh(tan(radians(south))) / pi()) / 2 * 256) as int) as y1 from boxes)
  select name, cast(x as int) as x, cast(unnest(generate_series(y0, y1)) as int) as y from q""")
-def g_tile_ranges(spark, sf):
-    return R.tile_ranges(_boxes(spark, sf), 8)
+def g_tile_ranges(spark, sf, every=10):
+    return R.tile_ranges(_boxes(spark, sf, every), 8)
 
 
 # --- G5
 @query("g_cells_in_box", "points", sql=f"""+ {BOXES}, q as (select name, unnest(generate_series(cast(ceil(round(south / 0.25, 9)) as bigint), cast(floor(round(north / 0.25, 9)) as bigint))) as i, west, east from boxes)
  select name, {r('i * 0.25', 'lat')}, {r('j * 0.25', 'lon')} from (select name, i, unnest(generate_series(cast(ceil(round(west / 0.25, 9)) as bigint), cast(floor(round(east / 0.25, 9)) as bigint))) as j from q)""")
-def g_cells_in_box(spark, sf):
-    return R.cells_in_box(_boxes(spark, sf))
+def g_cells_in_box(spark, sf, every=10):
+    return R.cells_in_box(_boxes(spark, sf, every))
 
 
 # --- J9
 @query("j_in_view", "points", sql=f"+ {BOXES} select name from boxes where east >= 24 and west <= 26 and north >= -14 and south <= -12")
-def j_in_view(spark, sf):
-    return R.in_view(_boxes(spark, sf), (24, -14, 26, -12)).select("name")
+def j_in_view(spark, sf, every=10):
+    return R.in_view(_boxes(spark, sf, every), (24, -14, 26, -12)).select("name")
 
 
 _P = geo.EqualArea(27.85, -13.15)
@@ -740,26 +740,26 @@ PROFILE = f"""pts as (select name, i, x0 + i / 80.0 * (x1 - x0) as x, y0 + i / 8
  from (select name, i, distance_km, greatest(0, least((500000 - y) / 1000 - 0.5, 498.999)) as r, greatest(0, least(x / 1000 - 0.5, 62.999)) as c from pts), (values (0, 0), (0, 1), (1, 0), (1, 1)) as o(di, dj)) p join raster using (row, col) group by p.name, p.i)"""
 
 
-def _lines(spark, sf):
+def _lines(spark, sf, every):
     n = F.col("name")
-    return V.points(spark, sf).where("name % 25 = 0").select("name", (1000.0 + n % 17 * 100).alias("x0"), (490000.0 - n % 31 * 1000).alias("y0"), F.lit(60000.0).alias("x1"), (20000.0 + n % 13 * 1000).alias("y1"))
+    return V.points(spark, sf).where(n % every == 0).select("name", (1000.0 + n % 17 * 100).alias("x0"), (490000.0 - n % 31 * 1000).alias("y0"), F.lit(60000.0).alias("x1"), (20000.0 + n % 13 * 1000).alias("y1"))
 
 
-def _profile(spark, sf):
-    return R.profile(_lines(spark, sf), V.raster(spark, sf), RASTER_GRID, 81)
+def _profile(spark, sf, every):
+    return R.profile(_lines(spark, sf, every), V.raster(spark, sf), RASTER_GRID, 81)
 
 
 # --- G8
 @query("g_profile", "points", "raster", sql=f"+ {LINES}, {PROFILE} select name, cast(i as int) as i, {r('distance_km', 'distance_km')}, {r('elevation', 'elevation')} from pr")
-def g_profile(spark, sf):
-    return _profile(spark, sf)
+def g_profile(spark, sf, every=25):
+    return _profile(spark, sf, every)
 
 
 MARKS = "marks as (select l.name, m as mark, ((30000 + m * 1000 - x0) * (x1 - x0) + (300000 - m * 20000 - y0) * (y1 - y0)) / sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) / 1000 as spot from lines l, (select unnest(range(5)) as m))"
 
 
-def _marks(spark, sf):
-    lines = _lines(spark, sf)
+def _marks(spark, sf, every):
+    lines = _lines(spark, sf, every)
     m = F.col("mark")
     marks = lines.select("name", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))).alias("mark")).select("name", "mark", (30000 + m * 1000).cast("double").alias("x"), (300000 - m * 20000).cast("double").alias("y"))
     return R.along_line(marks, lines)
@@ -767,14 +767,14 @@ def _marks(spark, sf):
 
 # --- G9
 @query("g_along_line", "points", sql=f"+ {LINES}, {MARKS} select name, mark, {r('spot', 'distance_km')} from marks")
-def g_along_line(spark, sf):
-    return _marks(spark, sf)
+def g_along_line(spark, sf, every=25):
+    return _marks(spark, sf, every)
 
 
 # --- J14
 @query("j_near_marks", "points", "raster", sql=f"+ {LINES}, {PROFILE}, {MARKS} select m.name, mark, {r('max(elevation)', 'highest')} from marks m join pr on pr.name = m.name and abs(pr.distance_km - m.spot) < 20 group by m.name, mark")
-def j_near_marks(spark, sf):
-    return R.near_marks(_profile(spark, sf), _marks(spark, sf))
+def j_near_marks(spark, sf, every=25):
+    return R.near_marks(_profile(spark, sf, every), _marks(spark, sf, every))
 
 
 # --- W13
@@ -782,34 +782,34 @@ def j_near_marks(spark, sf):
  lo as (select name, arg_min((distance_km, elevation), (elevation, distance_km)) filter (distance_km >= 0.7 * far) as l, median(elevation) filter (distance_km < 0.7 * far) as plateau from e group by name),
  rim as (select e.name, any_value(l) as l, any_value(plateau) as plateau, arg_max((distance_km, elevation), (elevation, -distance_km)) as m from e join lo using (name) where distance_km <= l[1] and distance_km >= l[1] - 60 group by e.name)
  select name, {r('l[1]', 'low_km')}, {r('l[2]', 'low')}, {r('m[1]', 'rim_km')}, {r('m[2]', 'rim')}, {r('m[2] - l[2]', '"drop"')}, {r('l[1] - m[1]', 'apart_km')}, {r('plateau', 'plateau')} from rim""")
-def w_profile_features(spark, sf):
-    return R.profile_features(_profile(spark, sf))
+def w_profile_features(spark, sf, every=25):
+    return R.profile_features(_profile(spark, sf, every))
 
 
 # --- S8: shapes through GeoJSON text
 @query("s_geojson", "points", sql=f"+ {BOXES} select cast(name as varchar) as name, 0 as part, 0 as ring, cast(i as int) as i, {r('case when i in (0, 3) then west else east end', 'x')}, {r('case when i < 2 then south else north end', 'y')} from boxes, (select unnest(range(4)) as i)")
-def s_geojson(spark, sf):
+def s_geojson(spark, sf, every=10):
     path = sinks.shared_folder(spark, "shapes")
     coordinates = F.col("geometry")[0]
     feature = F.struct(F.struct(F.col("name").cast("string").alias("name")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"))
     # A feature collection for each hundred shapes, as services split large layers.
-    layers = _shapes(spark, sf).groupBy(F.floor(F.col("name") / 1000).alias("layer")).agg(F.collect_list(feature).alias("features"))
+    layers = _shapes(spark, sf, every).groupBy(F.floor(F.col("name") / 1000).alias("layer")).agg(F.collect_list(feature).alias("features"))
     layers.select("layer", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).write.partitionBy("layer").text(path)
     return R.vertices(tables.shapes(spark, f"{path}/layer=*")).select("name", "part", "ring", "i", "x", "y")
 
 
 # --- A16
 @query("a_bounding_boxes", "points", sql=f"+ {BOXES} select name, {r('west', 'west')}, {r('south', 'south')}, {r('east', 'east')}, {r('north', 'north')} from boxes")
-def a_bounding_boxes(spark, sf):
-    return R.bounding_boxes(_shapes(spark, sf))
+def a_bounding_boxes(spark, sf, every=10):
+    return R.bounding_boxes(_shapes(spark, sf, every))
 
 
-def _shapes(spark, sf):
+def _shapes(spark, sf, every):
     def at(x: str, y: str):
         return F.array(F.col(x), F.col(y))
 
     ring = F.array(at("west", "south"), at("east", "south"), at("east", "north"), at("west", "north"))
-    return _boxes(spark, sf).select("name", F.array(F.array(ring)).alias("geometry"))
+    return _boxes(spark, sf, every).select("name", F.array(F.array(ring)).alias("geometry"))
 
 
 # --- A19
@@ -912,3 +912,9 @@ def w_despike(spark, sf):
 @query("w_inside_runs", "raster", sql="""select row as line, min(col) as "start", max(col) as "end", cast(count(*) as int) as length from (select *, sum(case when elevation > 1200 then 0 else 1 end) over (partition by row order by col rows unbounded preceding) as run from raster) where elevation > 1200 group by row, run having count(*) >= 2""")
 def w_inside_runs(spark, sf):
     return D.spells(V.raster(spark, sf).withColumnRenamed("row", "line"), F.col("elevation") > 1200, 2, ("line",), "col")
+
+
+# Boxes and lines of every point, by the same SQL without its filter.
+for _f, _filter in [(f, " where name % 10 = 0") for f in (g_tile_ranges, g_cells_in_box, j_in_view, s_geojson, a_bounding_boxes)] + [(f, " where name % 25 = 0") for f in (g_profile, g_along_line, j_near_marks, w_profile_features)]:
+    query(f"{_f.__name__}_all")(lambda spark, sf, f=_f: f(spark, sf, every=1))
+    ORACLES[f"{_f.__name__}_all"] = ORACLES[_f.__name__].replace(_filter, "")

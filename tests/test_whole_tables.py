@@ -53,3 +53,12 @@ def test_nearest_fill_of_all_rows(spark, tmp_path):
     filled = np.full(e.shape, np.nan)
     filled[got["row"], got["col"]] = got["elevation"]
     assert np.abs(filled - want).max() < 2e-6
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["g_tile_ranges", "g_cells_in_box", "a_bounding_boxes", "s_geojson", "g_profile", "g_along_line"])
+def test_every_point_has_its_box_or_line(spark, name):
+    from climaspark.jobs.queries import QUERIES
+
+    points = {str(n) for n in pd.read_parquet(f"{SF}/customer.parquet")["c_custkey"]}
+    assert {str(r["name"]) for r in QUERIES[f"{name}_all"](spark, SF).select("name").distinct().collect()} == points
