@@ -2,129 +2,27 @@
 
 from __future__ import annotations
 
-import importlib
-import os
-import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, small_batches
+from .tokens import default_tokenizer, encoder, flat
 
 LENGTH, END = 2048, 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
-#: Chunks of text whose ids a worker keeps in each of two generations; what the newer one misses it takes from the older.
-CACHE = 450_000
-_MARK, _UNKNOWN = "\x02", b"?"
 
 
-#: The byte alphabet's rule: printable bytes of Latin-1 stand for themselves, the others for characters from 256 on.
-_OTHERS = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]
-_ALPHABET = {b: 256 + i for i, b in enumerate(_OTHERS)}
-
-
-class Chunks(dict):
-    """Ids, as little-endian 32-bit numbers, of chunks of text between spaces and line ends, which this tokenizer treats alone."""
-
-    def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.older: dict[str, bytes] = {}
-        self.pending: dict[str, None] = {}
-        self.mark = self.one(_MARK)
-        self.tails = {"": b"", ".": self.one("."), ",": self.one(",")}
-
-    def one(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
-        if ids is None:
-            self.pending[chunk] = None
-            return _UNKNOWN
-        self[chunk] = ids
-        return ids
-
-    def parts(self, chunk: str) -> tuple[str, str]:
-        """A chunk that has the same ids, and a mark after it: case doesn't count for this tokenizer, and a single mark after a
-        letter is a word of its own. Beyond Latin-1, and where a special token may stand, the chunk is left as it is."""
-        if "<|" in chunk or not chunk.isascii() and max(chunk) > "\xff":
-            return chunk, ""
-        low = chunk.lower()
-        return (low[:-1], low[-1]) if low[-1] in ".," and low[-2:-1].isalpha() else (low, "")
-
-    def fill(self) -> dict[str, bytes]:
-        """Ids of what was missing. New stems are encoded many in one text, a mark between them. A chunk that isn't its own stem is
-        kept only from the second time that its stem is met: most rare words are met once."""
-        wanted = {c: self.parts(c) for c in self.pending if c}
-        self.pending = {}
-        new = {stem: None for stem, _ in wanted.values() if self[stem] is _UNKNOWN}
-        self.pending = {}
-        # A word of Latin-1 letters is one piece for the tokenizer's model, whose alphabet stands for UTF-8 bytes.
-        model = self.tokenizer.model
-        for c in new:
-            if c.isalpha() and c.islower() and (c.isascii() or max(c) <= "\xff"):
-                letters = c if c.isascii() else c.encode().decode("latin-1").translate(_ALPHABET)
-                ids = [t.id for t in model.tokenize(letters)]
-                self[c] = struct.pack(f"<{len(ids)}I", *ids)
-        plain = [c for c in new if _MARK not in c and c not in self]
-        for i in range(0, len(plain), 64):
-            part = plain[i : i + 64]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(ids == np.frombuffer(self.mark, "<u4")[0]) if len(self.mark) == 4 else np.empty(0, np.int64)
-            if len(at) == len(part) - 1:
-                raw = ids.tobytes()
-                self.update(zip(part, (raw[x:y] for x, y in zip([0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)], strict=True)), strict=True))
-            else:
-                self.update((c, self.one(c)) for c in part)
-        self.update((c, self.one(c)) for c in new if _MARK in c)
-        fresh = {c: self[stem] + self.tails[tail] for c, (stem, tail) in wanted.items()}
-        self.update((c, fresh[c]) for c, (stem, _) in wanted.items() if stem not in new)
-        self[""] = fresh[""] = b""
-        self.pending = {}
-        return fresh
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, the same as encoding it whole."""
-        if len(self) > CACHE:
-            self.older = dict(self)
-            self.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        out = [list(map(self.__getitem__, s)) for s in split]
-        if self.pending:
-            fresh = self.fill()
-            for found, s in zip(out, split, strict=True):
-                i = -1
-                for _ in range(found.count(_UNKNOWN)):
-                    i = found.index(_UNKNOWN, i + 1)
-                    found[i] = fresh[s[i]]
-        return [b"".join(found) for found in out]
-
-
-_kept: dict[str, Chunks] = {}
-
-
-def chunks_of(tokenizer_path: str) -> Chunks:
-    """One for each Python worker."""
-    if tokenizer_path not in _kept:
-        _kept[tokenizer_path] = Chunks(tokenizer_path)
-    return _kept[tokenizer_path]
-
-
-def binary_lengths(n: int, length: int = LENGTH) -> list[int]:
-    """Whole sequences first, then the powers of two that the rest is made of, the largest first."""
-    rest = n % length
-    return [length] * (n // length) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
-
-
-def default_tokenizer() -> str:
-    return importlib.import_module("public_tokenizers").path("word_bpe_49k.json")
+def binary_lengths(totals: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(document, piece's length) of documents of so many tokens, in order: whole sequences first, then the powers of two that
+    the rest is made of, the largest first."""
+    bits = np.arange(length.bit_length() - 2, -1, -1)
+    times = np.concatenate([(totals // length)[:, None], (totals % length)[:, None] >> bits & 1], axis=1)
+    return np.repeat(np.arange(len(totals)), times.sum(1)), np.repeat(np.tile([length, *(1 << bits)], len(totals)), times.ravel())
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGTH, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -132,32 +30,33 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = LENGT
 
     A null or empty text is the end token alone. bucket is the length's logarithm; sequence_id is the input partition and
     a count in it, so a task that runs again gives the same. `length` is a power of two. with_ids adds the ids themselves,
-    to be written by write_buckets(). No shuffle, and no more than a few texts in a task's memory.
+    to be written by write_buckets(). Other columns are not looked at; rows of one doc_id are packed each for itself; no rows
+    give no pieces. No shuffle, and one Arrow batch of texts in a task's memory. tokenizer_path: see tokens.Whole.
     """
-    if length & (length - 1):
+    if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
     path = tokenizer_path or default_tokenizer()
-    schema = PIECES + (", ids array<int>" if with_ids else "")
-    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, sequence, tail = chunks_of(path), TaskContext.get().partitionId() << 36, np.asarray([end], "<u4").tobytes()
-        for pdf in batches:
-            doc_ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
-            for at in range(0, len(texts), 256):
-                out = []
-                for doc_id, ids in zip(doc_ids[at : at + 256], encoder.ids([t or "" for t in texts[at : at + 256]]), strict=True):
-                    ids += tail
-                    start, total = 0, len(ids) // 4
-                    for n in binary_lengths(total, length):
-                        piece = ids[start * 4 : (start + n) * 4]
-                        out.append((doc_id, start, n, zlib.crc32(piece), total, sequence, 0, n.bit_length() - 1, *([np.frombuffer(piece, "<i4")] if with_ids else [])))
-                        start, sequence = start + n, sequence + 1
-                yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
-
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(bounded(run), schema)
+        tokens, sequence = encoder(path), TaskContext.get().partitionId() << 36
+        for batch in batches:
+            ids, first = tokens.encode(*flat(batch.column(1)))
+            ids, first = np.insert(ids, first[1:], end), first + np.arange(len(first))
+            doc, size = binary_lengths(np.diff(first), length)
+            stop = np.cumsum(size)
+            begin, n = stop - size, len(size)
+            raw = memoryview(ids).cast("B")
+            sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
+            columns = [batch.column(0).take(pa.array(doc)), begin - first[doc], size, sums, np.diff(first)[doc], np.arange(sequence, sequence + n), np.zeros(n, np.int64), np.log2(size).astype(np.int32)]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)), pa.int32()), pa.array(ids.view("<i4"))))
+            names = [c.split()[0] for c in PIECES.split(", ")] + ["ids"] * with_ids
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int32() if name == "bucket" else pa.int64()) for name, c in zip(names, columns, strict=True)], names)
+            sequence += n
+
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(bounded(run), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
