@@ -9,21 +9,22 @@ from ..operators.daily import spine
 
 BASE, RECENT, BASE_SEASONS = (1996, 1999), (1999, 2001), (1996, 1999)
 
-# A day's values come from the lowest and highest price of its rows, so that they vary as much at any scale.
+# A location for every twenty suppliers, a series for every priority and three hundred customers, a cell for every supplier: the keys
+# grow with the tables. A day's values come from the lowest and highest price of its rows, so that they vary as much at any scale.
 DAILY_RAW = """
-select cast(n_regionkey as int) as location, cast(l_shipdate as date) as date,
+select cast(floor(l_suppkey / 20) as int) as location, cast(l_shipdate as date) as date,
  15 + cast(min(cast(round(l_extendedprice * 100) as bigint)) % 2000 as double) / 100 as tmax,
  2 + cast(max(cast(round(l_extendedprice * 100) as bigint)) % 1700 as double) / 100 as tmin,
  cast(greatest(min(cast(round(l_extendedprice * 100) as bigint)) % 61 - 25, 0) as double) as prcp
-from {lineitem} join {supplier} on l_suppkey = s_suppkey join {nation} on s_nationkey = n_nationkey
-group by n_regionkey, cast(l_shipdate as date)"""
+from {lineitem} group by floor(l_suppkey / 20), cast(l_shipdate as date)"""
 SERIES = """
-select o_orderpriority as series, cast(1880 + (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 as int) as year,
+select concat(o_orderpriority, ' ', cast(cast(floor(o_custkey / 300) as int) as {string})) as series, cast(1880 + (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 as int) as year,
  cast(sum(cast(round(o_totalprice * 100) as bigint)) as double) / count(*) / 1000000 as value
-from {orders} group by o_orderpriority, year(o_orderdate), month(o_orderdate)"""
+from {orders} group by o_orderpriority, floor(o_custkey / 300), year(o_orderdate), month(o_orderdate)"""
+# Latitudes of 41 rows, dealt so that both halves have cells at any scale; further suppliers lie further east.
 MONTHLY = """
 select cast(date_trunc('month', l_shipdate) as date) as month,
- cast(-8 as double) - floor(l_suppkey / 10) * 0.25e0 as lat, 22 + cast(l_suppkey % 10 as double) * 0.25e0 as lon,
+ cast(-8 as double) - (cast(floor(l_suppkey / 10) as bigint) * 23 % 41) * 0.25e0 as lat, 22 + cast(l_suppkey % 10 as double) * 0.25e0 + floor(l_suppkey / 410) * 2.5e0 as lon,
  20 + cast(sum(cast(round(l_discount * 100) as bigint)) as double) / count(*) as t2m,
  cast(sum(cast(l_quantity as bigint)) as double) / count(*) / 5 as precip
 from {lineitem} group by date_trunc('month', l_shipdate), l_suppkey"""
@@ -43,6 +44,7 @@ DUCK = {
  from (select vec_id, label, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings)""",
 }
 NEEDS = {"daily": ("daily_raw",)}
+TABLES = ("lineitem", "orders", "customer")
 
 
 def ctes(*names: str) -> str:
@@ -50,7 +52,7 @@ def ctes(*names: str) -> str:
     order: list[str] = []
     for n in names:
         order += [x for x in (*NEEDS.get(n, ()), n) if x not in order]
-    return "with " + ", ".join(f"{n} as ({DUCK[n].format(**{t: t for t in ('lineitem', 'supplier', 'nation', 'orders', 'customer')})})" for n in order)
+    return "with " + ", ".join(f"{n} as ({DUCK[n].format(**{t: t for t in TABLES}, string='varchar')})" for n in order)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +60,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation", "orders", "customer") if f"{{{t}}}" in text})
+    return spark.sql(text.replace("{string}", "string"), **{t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in text})
 
 
 def daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,6 +132,34 @@ def dry_spells(daily: DataFrame, start: str, end: str, min_length: int = 10, key
     return spells(daily.where(F.col("date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))), is_dry("prcp"), min_length, keys)
 
 
+def _onset_marks(rows: DataFrame, by: list[str], start_month: int, rain_mm: float, over_days: int, dry: int, check_days: int) -> tuple[DataFrame, Column, Column]:
+    """rows (by, date, prcp) with what the onset's two aggregates need, and those: the first sound candidate, and the first that ends the search.
+
+    Windows are over a season's rows in order; rows before start_month count for nothing in them.
+    """
+    part = Window.partitionBy(*by).orderBy("_day")
+    late = F.col("date") >= F.make_date("season", F.lit(start_month), F.lit(1))
+    rain = F.when(late, F.col("prcp"))
+    trailing = part.rowsBetween(1 - over_days, 0)
+    total = F.when(F.count(rain).over(trailing) == over_days, F.round(F.sum(rain).over(trailing), 6))
+    in_run = F.sum((late & is_dry("prcp")).cast("int")).over(part.rowsBetween(1 - dry, 0)) == dry
+    rows = rows.withColumn("_day", F.datediff("date", F.lit("1970-01-01").cast("date"))).withColumn("_total", total).withColumn("_run", in_run)
+    # A dry run lies within the days ahead if it ends there, at least `dry` days on.
+    rows = rows.withColumn("_ahead", F.count("*").over(part.rangeBetween(1, check_days))).withColumn("_broken", F.coalesce(F.max("_run").over(part.rangeBetween(dry, check_days)), F.lit(False)))
+    candidate = late & (F.col("_total") >= rain_mm)
+    first = F.min(F.when(candidate & (F.col("_ahead") >= check_days) & ~F.col("_broken"), F.col("date")))
+    stop = F.min(F.when(candidate & (F.col("_ahead") < check_days), F.col("date")))
+    return rows, first, stop
+
+
+def _onset(first: str = "_first", stop: str = "_stop") -> Column:
+    return F.when(F.col(stop).isNull() | (F.col(first) < F.col(stop)), F.col(first))
+
+
+def _onset_day(onset: str = "onset") -> Column:
+    return F.datediff(onset, F.make_date("season", F.lit(10), F.lit(1)))
+
+
 def rain_onset(daily: DataFrame, start_month: int = 10, rain_mm: float = 20.0, over_days: int = 3, dry: int = 10, check_days: int = 30, keys: tuple[str, ...] = KEY) -> DataFrame:
     """(keys, season, onset, onset_day): the first day, from start_month on, whose trailing total reaches rain_mm and which no
     dry spell of `dry` days follows within check_days.
@@ -139,32 +167,32 @@ def rain_onset(daily: DataFrame, start_month: int = 10, rain_mm: float = 20.0, o
     A day that qualifies by its total but has no check_days rows after it ends the season's search. All of it is window
     expressions over the season's rows from start_month on; seasons without an onset have nulls.
     """
-    part = Window.partitionBy(*keys, "season").orderBy("date")
-    rows = with_season(daily)
-    late = rows.where(F.col("date") >= F.make_date("season", F.lit(start_month), F.lit(1)))
-    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
-    late = late.withColumn("_day", day)
-    ahead = Window.partitionBy(*keys, "season").orderBy("_day").rangeBetween(1, check_days)
-    total = F.when(F.count("prcp").over(part.rowsBetween(1 - over_days, 0)) == over_days, F.round(F.sum("prcp").over(part.rowsBetween(1 - over_days, 0)), 6))
-    in_run = F.sum(is_dry("prcp").cast("int")).over(part.rowsBetween(1 - dry, 0)) == dry
-    late = late.withColumn("_total", total).withColumn("_run", in_run)
-    # A dry run lies within the days ahead if it ends there, at least `dry` days on.
-    ends = Window.partitionBy(*keys, "season").orderBy("_day").rangeBetween(dry, check_days)
-    late = late.withColumn("_ahead", F.count("*").over(ahead)).withColumn("_broken", F.coalesce(F.max("_run").over(ends), F.lit(False)))
-    candidate = F.col("_total") >= rain_mm
-    stop = F.min(F.when(candidate & (F.col("_ahead") < check_days), F.col("date")))
-    first = F.min(F.when(candidate & (F.col("_ahead") >= check_days) & ~F.col("_broken"), F.col("date")))
-    out = late.groupBy(*keys, "season").agg(first.alias("_first"), stop.alias("_stop"))
-    onset = F.when(F.col("_stop").isNull() | (F.col("_first") < F.col("_stop")), F.col("_first"))
-    out = out.select(*keys, "season", onset.alias("onset"))
-    return out.withColumn("onset_day", F.datediff("onset", F.make_date("season", F.lit(10), F.lit(1))))
+    by = [*keys, "season"]
+    rows = with_season(daily).where(F.col("date") >= F.make_date("season", F.lit(start_month), F.lit(1)))
+    rows, first, stop = _onset_marks(rows, by, start_month, rain_mm, over_days, dry, check_days)
+    out = rows.groupBy(*by).agg(first.alias("_first"), stop.alias("_stop")).select(*by, _onset().alias("onset"))
+    return out.withColumn("onset_day", _onset_day())
 
 
-def seasonal_rain_indices(daily: DataFrame, base: tuple[int, int], keys: tuple[str, ...] = KEY) -> DataFrame:
-    """All rain indices of complete seasons (July to June)."""
+def seasonal_rain_indices(daily: DataFrame, base: tuple[int, int], keys: tuple[str, ...] = KEY, min_rows: int = 365) -> DataFrame:
+    """All rain indices of complete seasons (July to June): one sort of the daily rows by season and day serves the running totals,
+    the dry runs and the onset, and one aggregation gathers all; only the wet days' percentile reads the rows once more."""
     by = [*keys, "season"]
-    out = rain_totals(daily, base, keys=keys).join(rolling_max_total(daily, 5, keys), by, "left").join(longest_dry_spell(daily, keys=keys), by, "left").fillna(0, ["longest_dry_spell"])
-    out = out.join(rain_onset(daily, keys=keys), by, "left")
+    rows = with_season(daily).join(wet_day_percentile(daily, base, keys=keys), [*keys], "left")
+    rows, first, stop = _onset_marks(rows, by, 10, 20.0, 3, 10, 30)
+    part = Window.partitionBy(*by).orderBy("_day")
+    five = part.rowsBetween(-4, 0)
+    dry_core = cal.in_months("date", cal.CORE_MONTHS) & F.coalesce(is_dry("prcp"), F.lit(False))
+    rows = rows.withColumn("_five", F.when(F.count("prcp").over(five) == 5, F.sum("prcp").over(five))).withColumn("_i", F.row_number().over(part))
+    # A dry run's length so far: rows since the last that isn't dry, or not of the core months.
+    rows = rows.withColumn("_dry", F.col("_i") - F.coalesce(F.max(F.when(~dry_core, F.col("_i"))).over(part.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    out = rows.groupBy(*by).agg(
+        F.count("*").alias("_days"), F.round(F.sum("prcp"), 6).alias("total_mm"), F.count_if(is_wet("prcp")).cast("int").alias("wet_days"), F.max("prcp").alias("rx1day_mm"),
+        F.round(F.max("_five"), 6).alias("rx5day_mm"), F.count_if(is_heavy("prcp")).cast("int").alias("heavy_days"),
+        F.round(F.coalesce(F.sum(F.when(F.col("prcp") > F.col("p"), F.col("prcp"))), F.lit(0.0)), 6).alias("very_wet_mm"),
+        F.max("_dry").alias("longest_dry_spell"), first.alias("_first"), stop.alias("_stop"),
+    ).where(F.col("_days") >= min_rows)
+    out = out.withColumn("onset", _onset()).withColumn("onset_day", _onset_day())
     return out.select(*by, "total_mm", "wet_days", "rx1day_mm", "rx5day_mm", "heavy_days", "very_wet_mm", "longest_dry_spell", "onset", "onset_day")
 
 

@@ -92,9 +92,9 @@ def season_table(seasons: DataFrame, normal: DataFrame, weights: DataFrame) -> D
 
 
 def ranked(table: DataFrame) -> DataFrame:
-    """The table with dry_rank (1 = driest) and heat_rank (1 = hottest) by region; ranks are permutations, ties by season."""
+    """The table with dry_rank (1 = driest) and heat_rank (1 = hottest) by region; ranks are permutations, ties by season, missing values last."""
     by = Window.partitionBy("region")
-    return table.withColumn("dry_rank", F.row_number().over(by.orderBy("rain_pct", "season"))).withColumn("heat_rank", F.row_number().over(by.orderBy(F.desc("temp_anomaly"), "season")))
+    return table.withColumn("dry_rank", F.row_number().over(by.orderBy(F.asc_nulls_last("rain_pct"), "season"))).withColumn("heat_rank", F.row_number().over(by.orderBy(F.desc_nulls_last("temp_anomaly"), "season")))
 
 
 def flagged(table: DataFrame, events: DataFrame) -> DataFrame:
@@ -112,15 +112,22 @@ def present_events(events: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def driest_others(table: DataFrame, events: DataFrame, n: int = 5, region: str = "south") -> DataFrame:
-    """Of the region's n driest seasons those without an El Nino."""
-    driest = table.where(F.col("region") == region).orderBy("rain_pct", "season").limit(n)
+    """Of the region's n driest seasons those without an El Nino; seasons without data come last."""
+    driest = table.where(F.col("region") == region).orderBy(F.asc_nulls_last("rain_pct"), "season").limit(n)
     return driest.join(events, "season", "left_anti")
 
 
-def month_table(anomalies: DataFrame, value: str, events: DataFrame, months: tuple[int, ...] = cal.SEASON_MONTHS) -> DataFrame:
-    """A row for each catalogue season and region, a column a month in the season's order."""
+def month_table(anomalies: DataFrame, value: str, events: DataFrame, table: DataFrame, season_value: str | Column, months: tuple[int, ...] = cal.SEASON_MONTHS) -> DataFrame:
+    """(season, region, a column a month in the season's order, season_value) for each catalogue season and region of the season table."""
     rows = anomalies.where(cal.in_months("month", months)).withColumn("season", cal.season_of("month", months[0])).join(events.select("season"), "season", "left_semi")
-    return rows.withColumn("_m", F.month("month")).groupBy("season", "region").pivot("_m", list(months)).agg(F.first(value))
+    wide = rows.withColumn("_m", F.month("month")).groupBy("season", "region").pivot("_m", list(months)).agg(F.first(value))
+    own = F.col(season_value) if isinstance(season_value, str) else season_value
+    return wide.join(table.select("season", "region", own.alias("season_value")), ["season", "region"])
+
+
+def month_totals(means: DataFrame) -> DataFrame:
+    """Monthly area means with precip, mm a day, as mm of the month."""
+    return means.withColumn("precip", F.col("precip") * cal.days_in_month("month"))
 
 
 def shortfall_share(anomalies: DataFrame, season_rain: DataFrame, least: float = 100.0) -> DataFrame:

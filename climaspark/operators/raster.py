@@ -67,31 +67,43 @@ def cells_of(spark: SparkSession, grid: Grid) -> DataFrame:
 def inside(points: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", name: str = "inside", most_edges: int = 200_000) -> DataFrame:
     """points with `name`, whether they lie in the shape by the even-odd rule, so that holes are out.
 
-    edges is (x0, y0, x1, y1), which goes to every task as numpy arrays: a shape of more than most_edges edges raises, and
-    belongs in inside_by_join(), where its size doesn't matter.
+    edges is (x0, y0, x1, y1), which goes to every task as numpy arrays, by strips of y, so that a point meets the edges of its
+    strip only. A shape of more than most_edges edges raises, and belongs in inside_by_join(), where its size doesn't matter.
     """
     got = edges.select("x0", "y0", "x1", "y1").limit(most_edges + 1).collect()
     if len(got) > most_edges:
         raise ValueError("too many edges to send to every task: use inside_by_join")
     x0, y0, x1, y1 = (np.array([r[i] for r in got], float) for i in range(4))
+    low, high = (np.minimum(y0, y1), np.maximum(y0, y1))
+    cuts = np.unique(np.quantile(low, np.linspace(0, 1, 1 + min(512, 1 + len(low) // 16)))) if len(low) else np.zeros(1)
+    of_strip = [np.flatnonzero((high >= a) & (low < b)) for a, b in zip(cuts, np.append(cuts[1:], np.inf), strict=True)]
 
     def run(px: pd.Series, py: pd.Series) -> pd.Series:
         a, b = px.to_numpy(float), py.to_numpy(float)
         odd = np.zeros(len(a), bool)
-        for i in range(0, len(x0), 512):
-            e = slice(i, i + 512)
-            crosses = (y0[e] > b[:, None]) != (y1[e] > b[:, None])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                at = x0[e] + (b[:, None] - y0[e]) * (x1[e] - x0[e]) / (y1[e] - y0[e])
-            odd ^= (crosses & (a[:, None] < at)).sum(1) % 2 == 1
+        strip = np.searchsorted(cuts, b, "right") - 1
+        for s in np.unique(strip[strip >= 0]):
+            here = np.flatnonzero(strip == s)
+            for i in range(0, len(of_strip[s]), 512):
+                e = of_strip[s][i : i + 512]
+                crosses = (y0[e] > b[here, None]) != (y1[e] > b[here, None])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    at = x0[e] + (b[here, None] - y0[e]) * (x1[e] - x0[e]) / (y1[e] - y0[e])
+                odd[here] ^= (crosses & (a[here, None] < at)).sum(1) % 2 == 1
         return pd.Series(odd)
 
     return points.withColumn(name, F.pandas_udf(run, "boolean")(F.col(x).cast("double"), F.col(y).cast("double")))
 
 
-def inside_by_join(points: DataFrame, edges: DataFrame, keys: tuple[str, ...], x: str = "x", y: str = "y", name: str = "inside", strip: float = 1.0) -> DataFrame:
-    """The same by a join of points and edges on strips of y, counting crossings; for shapes of any number of edges."""
-    e = edges.where("y0 != y1").withColumn("_s", F.explode(F.sequence(F.floor(F.least("y0", "y1") / strip), F.floor(F.greatest("y0", "y1") / strip))))
+def inside_by_join(points: DataFrame, edges: DataFrame, keys: tuple[str, ...], x: str = "x", y: str = "y", name: str = "inside", strip: float | None = None) -> DataFrame:
+    """The same by a join of points and edges on strips of y, counting crossings; for shapes of any number of edges.
+
+    A strip is as high as an edge is on average, in whatever unit, so that the edges become about twice as many rows; or `strip`.
+    """
+    e = edges.where("y0 != y1")
+    if strip is None:
+        strip = e.agg(F.avg(F.abs(F.col("y1") - F.col("y0")))).first()[0] or 1.0
+    e = e.withColumn("_s", F.explode(F.sequence(F.floor(F.least("y0", "y1") / strip), F.floor(F.greatest("y0", "y1") / strip))))
     p = points.withColumn("_s", F.floor(F.col(y) / strip))
     hit = ((F.col("y0") > F.col(y)) != (F.col("y1") > F.col(y))) & (F.col(x) < F.col("x0") + (F.col(y) - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0")))
     crossings = p.join(e, "_s").where(hit).groupBy(*keys).agg(F.count("*").alias("_n"))
@@ -113,11 +125,12 @@ def cell_weights(cells: DataFrame, edges: DataFrame, resolution: float, supersam
     return inside(points, edges).groupBy("lat", "lon").agg((F.avg(F.col("inside").cast("double")) * F.cos(F.radians(F.first("lat")))).alias("w"))
 
 
-def bilinear(points: DataFrame, raster: DataFrame, keys: tuple[str, ...], height: int, width: int, value: str = "elevation", clamp: bool = True) -> DataFrame:
+def bilinear(points: DataFrame, raster: DataFrame, keys: tuple[str, ...], height: int, width: int, value: str = "elevation", clamp: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """points (keys, r, c as fractional places) with the raster's value between the four nearest centres.
 
     Places are clamped to the centres' range (`clamp`), or else null beyond the grid; missing neighbours are left out and
-    the weights of the others rescaled. Each point becomes four narrow rows that meet the raster by an equi-join.
+    the weights of the others rescaled. Each point becomes four narrow rows that meet the raster by an equi-join. `by` are those
+    of the keys that the raster has too, if it is many fields.
     """
     r, c = F.col("r") - 0.5, F.col("c") - 0.5
     if clamp:
@@ -128,7 +141,7 @@ def bilinear(points: DataFrame, raster: DataFrame, keys: tuple[str, ...], height
     rows = rows.withColumn("_i", F.floor("_r").cast("int")).withColumn("_j", F.floor("_c").cast("int"))
     fr, fc = F.col("_r") - F.col("_i"), F.col("_c") - F.col("_j")
     four = F.explode(F.array(*(F.struct((F.col("_i") + di).alias("row"), (F.col("_j") + dj).alias("col"), ((fr if di else 1 - fr) * (fc if dj else 1 - fc)).alias("w")) for di in (0, 1) for dj in (0, 1))))
-    near = rows.select(*keys, four.alias("_n")).select(*keys, "_n.*").join(raster.select("row", "col", F.col(value).alias("_v")), ["row", "col"])
+    near = rows.select(*keys, four.alias("_n")).select(*keys, "_n.*").join(raster.select(*by, "row", "col", F.col(value).alias("_v")), [*by, "row", "col"])
     sampled = near.groupBy(*keys).agg(F.try_divide(F.sum(F.col("w") * F.col("_v")), F.sum(F.when(F.col("_v").isNotNull(), F.col("w")))).alias(value))
     return points.select(*keys).join(sampled, [*keys], "left")
 
@@ -149,10 +162,13 @@ def profile_points(lines: DataFrame, samples: int) -> DataFrame:
 
 
 def profile(lines: DataFrame, raster: DataFrame, grid: Grid, samples: int) -> DataFrame:
+    """(name, i, distance_km, elevation) along the lines, and `inside`, the mask of the cell a sample falls in, if the raster has one."""
     points = profile_points(lines, samples)
     r, c = grid.pixel("x", "y")
     keys = ("name", "i")
-    return points.join(bilinear(points.select(*keys, r.alias("r"), c.alias("c")), raster, keys, grid.height, grid.width), [*keys]).select("name", "i", "distance_km", "elevation")
+    placed = points.select(*keys, r.alias("r"), c.alias("c"))
+    out = points.join(bilinear(placed, raster, keys, grid.height, grid.width), [*keys]).select("name", "i", "distance_km", "elevation")
+    return out.join(masked_at(placed, raster, grid, keys), [*keys]) if "inside" in raster.columns else out
 
 
 def along_line(points: DataFrame, lines: DataFrame) -> DataFrame:
@@ -170,15 +186,18 @@ def near_marks(profile_rows: DataFrame, marks: DataFrame, reach: float = 20.0) -
 
 
 def profile_features(profile_rows: DataFrame, last: float = 0.3, before_km: float = 60.0) -> DataFrame:
-    """(name, low_km, low, rim_km, rim, drop, distance_km, plateau): the lowest point of the last share of the line, the
-    highest within before_km ahead of it, and the median elevation of the rest."""
-    end = F.max("distance_km").over(Window.partitionBy("name"))
-    rows = profile_rows.withColumn("_end", end)
-    first = F.col("distance_km") < (1 - last) * F.col("_end")
-    low = rows.groupBy("name").agg(F.min_by(F.struct("distance_km", "elevation"), F.when(~first, F.struct("elevation", "distance_km"))).alias("_l"), F.median(F.when(first, F.col("elevation"))).alias("plateau"))
-    rows = rows.join(low, "name").where((F.col("distance_km") <= F.col("_l.distance_km")) & (F.col("distance_km") >= F.col("_l.distance_km") - before_km))
-    rim = rows.groupBy("name").agg(F.first("_l").alias("_l"), F.first("plateau").alias("plateau"), F.max_by(F.struct("distance_km", "elevation"), F.struct("elevation", -F.col("distance_km"))).alias("_r"))
-    return rim.select("name", F.col("_l.distance_km").alias("low_km"), F.col("_l.elevation").alias("low"), F.col("_r.distance_km").alias("rim_km"), F.col("_r.elevation").alias("rim"), (F.col("_r.elevation") - F.col("_l.elevation")).alias("drop"), (F.col("_l.distance_km") - F.col("_r.distance_km")).alias("apart_km"), "plateau")
+    """(name, low_km, low, rim_km, rim, drop, apart_km, plateau) of lines (name, distance_km, elevation, inside).
+
+    low is the lowest sample beyond 1 - last of the line, rim the highest strictly between before_km ahead of it and itself,
+    the first on ties; plateau is the median elevation of the inside samples before 1 - last of the line. What has no sample is null.
+    """
+    rows = profile_rows.withColumn("_end", (1 - last) * F.max("distance_km").over(Window.partitionBy("name")))
+    d, e = F.col("distance_km"), F.col("elevation")
+    low = rows.groupBy("name").agg(F.min_by(F.struct(d, e), F.when((d > F.col("_end")) & e.isNotNull(), F.struct(e, d))).alias("_l"), F.median(F.when((d < F.col("_end")) & F.col("inside"), e)).alias("plateau"))
+    ahead = (d < F.col("_l.distance_km")) & (d > F.col("_l.distance_km") - before_km) & e.isNotNull()
+    rim = rows.join(low.select("name", "_l"), "name").where(ahead).groupBy("name").agg(F.max_by(F.struct(d, e), F.struct(e, -d)).alias("_r"))
+    told = low.join(rim, "name", "left")
+    return told.select("name", F.col("_l.distance_km").alias("low_km"), F.col("_l.elevation").alias("low"), F.col("_r.distance_km").alias("rim_km"), F.col("_r.elevation").alias("rim"), (F.col("_r.elevation") - F.col("_l.elevation")).alias("drop"), (F.col("_l.distance_km") - F.col("_r.distance_km")).alias("apart_km"), "plateau")
 
 
 def masked_at(points: DataFrame, raster: DataFrame, grid: Grid, keys: tuple[str, ...]) -> DataFrame:
@@ -187,16 +206,46 @@ def masked_at(points: DataFrame, raster: DataFrame, grid: Grid, keys: tuple[str,
     return points.withColumn("row", row).withColumn("col", col).join(raster.select("row", "col", "inside"), ["row", "col"], "left").select(*keys, F.coalesce("inside", F.lit(False)).alias("inside"))
 
 
-def elevation_stats(raster: DataFrame, cell_km2: float) -> DataFrame:
-    """One row: area, extremes and the first cell in row-major order that has them, mean, median, and shares above 1000 and 1200 and below 600 m."""
+def median_of(cells: DataFrame, value: str = "elevation") -> DataFrame:
+    """One row (median): the exact median, without all values in one task.
+
+    Cells are counted by whole units of value first; only those of the one or two units in the middle are then counted by
+    value. The windows are over these counts, a row a metre of relief and a row a value of a metre.
+    """
+    unit = F.floor(value).alias("_unit")
+    units = cells.groupBy(unit).agg(F.count("*").alias("_n"))
+    placed = units.select("_unit", "_n", (F.sum("_n").over(Window.orderBy("_unit")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_all"))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = placed.where((F.col("_before") <= high) & (F.col("_before") + F.col("_n") > low)).select("_unit", "_before", "_all")
+    # Two rows at most.
+    values = cells.select(unit, F.col(value).alias("_v")).join(F.broadcast(middle), "_unit").groupBy("_v").agg(F.count("*").alias("_n"), F.first("_all").alias("_all"), F.first("_before").alias("_before"))
+    before = F.min("_before").over(Window.partitionBy(F.lit(0))) + F.sum("_n").over(Window.orderBy("_v")) - F.col("_n")
+    values = values.select("_v", "_n", "_all", before.alias("_at"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_at") <= rank) & (F.col("_at") + F.col("_n") > rank), F.col("_v")))
+
+    return values.agg(((at(low) + at(high)) / 2).alias("median"))
+
+
+def elevation_stats(raster: DataFrame, cell_km2: float, grid: Grid | None = None, projection: EqualArea | None = None) -> DataFrame:
+    """One row: area, extremes and the first cell in row-major order that has them, mean, median, and shares above 1000 and 1200 and
+    below 600 m; with a grid and its projection the extremes' places in degrees too."""
     e = F.col("elevation")
     cells = raster.where(F.col("inside") & e.isNotNull())
     at = F.struct("row", "col")
-    return cells.agg(
-        (F.count("*") * cell_km2).alias("area_km2"), F.min(e).alias("min_m"), F.max(e).alias("max_m"), F.avg(e).alias("mean_m"), F.median(e).alias("median_m"),
+    told = cells.agg(
+        (F.count("*") * cell_km2).alias("area_km2"), F.min(e).alias("min_m"), F.max(e).alias("max_m"), F.avg(e).alias("mean_m"),
         F.min_by(at, F.struct(e, "row", "col")).alias("_a"), F.max_by(at, F.struct(e, -F.col("row"), -F.col("col"))).alias("_b"),
         *((F.avg(x.cast("double")) * 100).alias(n) for n, x in (("above_1000_pct", e >= 1000), ("above_1200_pct", e >= 1200), ("below_600_pct", e < 600))),
-    ).select("area_km2", "min_m", "max_m", "mean_m", "median_m", F.col("_a.row").alias("min_row"), F.col("_a.col").alias("min_col"), F.col("_b.row").alias("max_row"), F.col("_b.col").alias("max_col"), "above_1000_pct", "above_1200_pct", "below_600_pct")
+    )
+    places = []
+    if grid is not None and projection is not None:
+        for name, cell in (("min", "_a"), ("max", "_b")):
+            places += [c.alias(f"{name}_{at}") for c, at in zip(projection.inverse(*grid.xy(F.col(f"{cell}.row") + 0.5, F.col(f"{cell}.col") + 0.5)), ("lon", "lat"), strict=True)]
+    one = F.lit(1).alias("_one")
+    told = told.select(one, "*").join(median_of(cells).select(one, "median"), "_one")
+    return told.select("area_km2", "min_m", "max_m", "mean_m", F.col("median").alias("median_m"), F.col("_a.row").alias("min_row"), F.col("_a.col").alias("min_col"), F.col("_b.row").alias("max_row"), F.col("_b.col").alias("max_col"), "above_1000_pct", "above_1200_pct", "below_600_pct", *places)
 
 
 def area_by_band(raster: DataFrame, edges: tuple[float, ...] = BAND_EDGES) -> DataFrame:
@@ -216,11 +265,31 @@ def block_mean(raster: DataFrame, factor: int, height: int, width: int, value: s
     return full.groupBy(F.floor(F.col("row") / factor).cast("int").alias("row"), F.floor(F.col("col") / factor).cast("int").alias("col")).agg(F.when(F.count(value) == n, F.avg(value)).alias(value))
 
 
-def regrid(targets: DataFrame, field: DataFrame, keys: tuple[str, ...], north: float, west: float, step: float, height: int, width: int, value: str) -> DataFrame:
-    """Bilinear values of a lat-lon field (lat, lon, value) at targets (keys, lat, lon); null outside the field's cells."""
-    source = field.select(F.round((F.lit(north) - F.col("lat")) / step).cast("int").alias("row"), F.round((F.col("lon") - west) / step).cast("int").alias("col"), value)
+def regrid(targets: DataFrame, field: DataFrame, keys: tuple[str, ...], north: float, west: float, step: float, height: int, width: int, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Bilinear values of a lat-lon field (by, lat, lon, value) at targets (keys, lat, lon), for each of `by`; null outside the field's cells."""
+    source = field.select(*by, F.round((F.lit(north) - F.col("lat")) / step).cast("int").alias("row"), F.round((F.col("lon") - west) / step).cast("int").alias("col"), value)
     places = targets.select(*keys, ((F.lit(north) - F.col("lat")) / step + 0.5).alias("r"), ((F.col("lon") - west) / step + 0.5).alias("c"))
-    return bilinear(places, source, keys, height, width, value, clamp=False)
+    if by:
+        # A field for each of a few keys, such as months: each target meets each of them once.
+        few = F.broadcast(field.select(*by).distinct().agg(F.collect_list(F.struct(*by)).alias("_by")).select("_by", F.lit(1).alias("_one")))
+        places = places.withColumn("_one", F.lit(1)).join(few, "_one").select(*keys, "r", "c", F.explode("_by").alias("_b")).select(*keys, "r", "c", "_b.*")
+    return bilinear(places, source, (*keys, *by), height, width, value, clamp=False, by=by)
+
+
+def mosaic_to_grid(mosaic: DataFrame, zoom: int, grid: Grid, projection: EqualArea, tile: int = 256) -> DataFrame:
+    """(row, col, elevation) of an equal-area grid from a mosaic of web-map tiles (row, col as pixels of the whole world's map, elevation).
+
+    Each grid cell's centre goes back to degrees and on to its place among the pixels, with bilinear values there; cells
+    beyond the mosaic have 0.
+    """
+    box = mosaic.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    r0, r1, c0, c1 = ((v if v is not None else 0) for v in box)
+    lon, lat = projection.inverse("x", "y")
+    cells = cells_of(mosaic.sparkSession, grid).select(F.col("row").alias("i"), F.col("col").alias("j"), lon.alias("lon"), lat.alias("lat"))
+    places = cells.select("i", "j", (tile_y("lat", zoom) * tile - r0).alias("r"), (tile_x("lon", zoom) * tile - c0).alias("c"))
+    shifted = mosaic.select((F.col("row") - r0).alias("row"), (F.col("col") - c0).alias("col"), "elevation")
+    out = bilinear(places, shifted, ("i", "j"), r1 - r0 + 1, c1 - c0 + 1, clamp=False)
+    return out.select(F.col("i").alias("row"), F.col("j").alias("col"), F.coalesce("elevation", F.lit(0.0)).alias("elevation"))
 
 
 def filled(raster: DataFrame, value: str = "elevation", reach: int = 8) -> DataFrame:
@@ -305,15 +374,22 @@ def despike_twice(raster: DataFrame, height: int, width: int, tile: int = TILE)
     return despike(despike(raster, height, width, 40.0, tile=tile), height, width, 25.0, tile=tile)
 
 
-def pixels(tiles: DataFrame) -> DataFrame:
-    """(x, y, row, col, r, g, b) of Spark image rows whose origins end in x/y.png; channels come as blue, green, red."""
+def pixels(tiles: DataFrame, tile: int = 256) -> DataFrame:
+    """(x, y, row, col, r, g, b) of Spark image rows whose origins end in x/y.png, rows and columns as pixels of the whole map;
+    channels come as blue, green, red."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for pdf in batches:
             for x, y, h, w, n, data in zip(pdf["x"], pdf["y"], pdf["height"], pdf["width"], pdf["n"], pdf["data"], strict=True):
                 a = np.frombuffer(data, np.uint8).reshape(h, w, n).astype(np.int32)
                 i, j = np.divmod(np.arange(h * w), w)
-                yield pd.DataFrame({"x": x, "y": y, "row": y * h + i, "col": x * w + j, "r": a[..., 2].ravel(), "g": a[..., 1].ravel(), "b": a[..., 0].ravel()})
+                held.append(pd.DataFrame({"x": x, "y": y, "row": y * tile + i, "col": x * tile + j, "r": a[..., 2].ravel(), "g": a[..., 1].ravel(), "b": a[..., 0].ravel()}))
+                if len(held) * h * w > 100_000:
+                    yield pd.concat(held)
+                    held = []
+        if held:
+            yield pd.concat(held)
 
     place = F.regexp_extract("image.origin", r"(\d+)/(\d+)\.png$", 1).cast("int"), F.regexp_extract("image.origin", r"(\d+)/(\d+)\.png$", 2).cast("int")
     rows = tiles.select(place[0].alias("x"), place[1].alias("y"), "image.height", "image.width", F.col("image.nChannels").alias("n"), "image.data")

@@ -124,8 +124,8 @@ def _sen(values: pd.DataFrame, z: float = 1.959963984540054) -> tuple:
     return n, int(x[0]), int(x[-1]), float(np.median(slopes)) if len(slopes) else None, low, high, s, float(v0 + v1 + v2), bool(len(ty) or len(tx))
 
 
-def sen_trend(rows: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
-    """Theil-Sen slope a decade with its 95% interval, and Mann-Kendall's p: a row a series.
+def sen_stats(rows: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """(keys, SEN): a row a series with a value.
 
     All pairs of a series' years are needed together; a series is one small group (n years make n squared / 2 numbers in
     numpy), and the scale is the number of series, which Spark partitions.
@@ -137,26 +137,26 @@ def sen_trend(rows: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
     def run(key: tuple, values: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(*key, *_sen(values))], columns=[*keys, *names])
 
-    out = used.groupBy(*keys).applyInPandas(run, schema)
+    return used.groupBy(*keys).applyInPandas(run, schema)
+
+
+def sen_trend(rows: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """Theil-Sen slope a decade with its 95% interval, and Mann-Kendall's p: a row a series."""
     p = kendall_p_value("s", "n", "variance", "ties")
-    return out.select(*keys, "n", "start", "end", (F.col("slope") * 10).alias("slope_per_decade"), (F.col("low") * 10).alias("ci95_low"), (F.col("high") * 10).alias("ci95_high"), p.alias("p_value")).withColumn("significant", F.col("p_value") < 0.05)
+    return sen_stats(rows, keys).select(*keys, "n", "start", "end", (F.col("slope") * 10).alias("slope_per_decade"), (F.col("low") * 10).alias("ci95_low"), (F.col("high") * 10).alias("ci95_high"), p.alias("p_value")).withColumn("significant", F.col("p_value") < 0.05)
 
 
 def sen_slope(rows: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
-    """(keys, slope_per_decade, s): the slope and Mann-Kendall's S by a join of each series with itself; for series of moderate length."""
-    used = rows.where(F.col("value").isNotNull()).select(*keys, "year", "value")
-    later = used.select(*keys, F.col("year").alias("_x"), F.col("value").alias("_y"))
-    pairs = used.join(later, [*keys]).where("_x > year")
-    slope = (F.col("_y") - F.col("value")) / (F.col("_x") - F.col("year"))
-    return pairs.groupBy(*keys).agg((F.median(slope) * 10).alias("slope_per_decade"), F.sum(F.signum(F.col("_y") - F.col("value"))).alias("s"))
+    """(keys, slope_per_decade, s): the slope and Mann-Kendall's S; series without a pair of years give no row."""
+    return sen_stats(rows, keys).where("slope is not null").select(*keys, (F.col("slope") * 10).alias("slope_per_decade"), "s")
 
 
 def sen_line(rows: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
-    """(keys, year, value, fitted): the Theil-Sen line, its intercept the median of value - slope year."""
-    slopes = sen_slope(rows, keys).select(*keys, (F.col("slope_per_decade") / 10).alias("_b"))
+    """(keys, year, value, fitted): the Theil-Sen line, its intercept the median of value - slope year. A slope a series joins the rows."""
+    slopes = sen_stats(rows, keys).where("slope is not null").select(*keys, F.col("slope").alias("_b"))
     used = rows.where(F.col("value").isNotNull()).join(slopes, [*keys])
-    a = used.groupBy(*keys).agg(F.median(F.col("value") - F.col("_b") * F.col("year")).alias("_a"))
-    return used.join(a, [*keys]).select(*keys, "year", "value", (F.col("_a") + F.col("_b") * F.col("year")).alias("fitted"))
+    a = F.median(F.col("value") - F.col("_b") * F.col("year")).over(Window.partitionBy(*keys))
+    return used.withColumn("_a", a).select(*keys, "year", "value", (F.col("_a") + F.col("_b") * F.col("year")).alias("fitted"))
 
 
 def index_trends(table: DataFrame, indices: Sequence[str], keys: tuple[str, ...] = ("location",), at: str = "year") -> DataFrame:

@@ -110,7 +110,7 @@ def test_despike_by_tiles_equals_the_whole(spark):
     rng = np.random.default_rng(0)
     a = 1000 + rng.normal(0, 5, (37, 23)) + (rng.random((37, 23)) < 0.05) * 300
     assert array(R.despike(frame(spark, a), 37, 23, tile=8), 37, 23) == pytest.approx(despiked(a))
-    assert R.despike_twice(frame(spark, a), 37, 23, tile=16).count() == a.size
+    assert array(R.despike_twice(frame(spark, a), 37, 23, tile=16), 37, 23) == pytest.approx(despiked(despiked(a), 25.0))
 
 
 def test_block_mean_trims_and_misses(spark):
@@ -158,21 +158,60 @@ def test_fill_from_the_nearest(spark):
 
 
 def test_marks_and_features(spark):
-    rows = [("p", float(d), 1000.0 - (400 if d == 95 else 0) + (200 if d == 60 else 0)) for d in range(0, 101)]
-    prof = spark.createDataFrame(rows, "name string, distance_km double, elevation double")
+    # Sample 70 stands at 0.7 of the line and belongs to neither side; 35 stands 60 km before the low and is no rim; 20 lies outside.
+    bumps = {95: -400, 60: 200, 70: -900, 35: 500, 20: 5000}
+    rows = [("p", float(d), 1000.0 + bumps.get(d, 0) + (d < 20) * d, d != 20) for d in range(0, 101)]
+    prof = spark.createDataFrame(rows, "name string, distance_km double, elevation double, inside boolean")
     f = R.profile_features(prof).first()
-    assert (f["low_km"], f["rim_km"], f["drop"], f["apart_km"], f["plateau"]) == (95, 60, 600, 35, 1000)
+    plateau = float(np.median([r[2] for r in rows if r[1] < 70 and r[3]]))
+    assert (f["low_km"], f["rim_km"], f["drop"], f["apart_km"], f["plateau"]) == (95, 60, 600, 35, plateau)
+    lone = R.profile_features(prof.where("distance_km > 95")).first()
+    assert lone["low_km"] == 96 and lone["rim"] is None and lone["drop"] is None and lone["plateau"] is None
     marks = spark.createDataFrame([("p", "m", 41.0), ("p", "n", 40.0)], "name string, mark string, distance_km double")
     assert {r["mark"]: r["highest"] for r in R.near_marks(prof, marks).collect()} == {"m": 1200, "n": 1000}
 
 
 def test_pixels_of_image_rows(spark):
     image = F.struct(F.lit("file:/a/7/5/3.png").alias("origin"), F.lit(1).alias("height"), F.lit(2).alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), F.lit(bytearray([0, 0, 128, 0, 44, 129])).alias("data"))
-    got = R.pixels(spark.range(1).select(image.alias("image"))).orderBy("col").collect()
-    assert [(r["x"], r["y"], r["row"], r["col"], r["r"], r["g"], r["b"]) for r in got] == [(5, 3, 3, 10, 128, 0, 0), (5, 3, 3, 11, 129, 44, 0)]
+    got = R.pixels(spark.range(1).select(image.alias("image")), 2).orderBy("col").collect()
+    assert [(r["x"], r["y"], r["row"], r["col"], r["r"], r["g"], r["b"]) for r in got] == [(5, 3, 6, 10, 128, 0, 0), (5, 3, 6, 11, 129, 44, 0)]
 
 
 def test_regrid_outside_is_missing(spark):
     field = spark.createDataFrame([(0.0, 0.0, 1.0), (0.0, 1.0, 3.0), (-1.0, 0.0, 5.0), (-1.0, 1.0, 7.0)], "lat double, lon double, v double")
     t = spark.createDataFrame([(0, -0.5, 0.5), (1, -9.0, 0.0)], "k int, lat double, lon double")
     assert {r["k"]: r["v"] for r in R.regrid(t, field, ("k",), 0.0, 0.0, 1.0, 2, 2, "v").collect()} == {0: 4.0, 1: None}
+
+
+def test_median_of_units_and_values(spark):
+    rng = random.Random(4)
+    for n in (1, 2, 7, 200, 201):
+        v = [round(rng.uniform(-3, 3), 2) for _ in range(n)]
+        assert R.median_of(spark.createDataFrame([(x,) for x in v], "elevation double")).first()[0] == pytest.approx(float(np.median(v)), abs=1e-12)
+    assert R.median_of(spark.createDataFrame([], "elevation double")).first()[0] is None
+
+
+def test_stats_in_degrees(spark):
+    a = np.array([[500.0, 1500.0], [1000.0, 900.0]])
+    p, g = geo.EqualArea(28.0, -13.0), geo.Grid(-1000.0, 1000.0, 1000.0, 2, 2)
+    s = R.elevation_stats(frame(spark, a), g.cell_km2, g, p).first()
+    at = spark.createDataFrame([(-500.0, 500.0), (500.0, 500.0)], "x double, y double").select(*p.inverse("x", "y")).collect()
+    assert (s["min_lon"], s["min_lat"], s["max_lon"], s["max_lat"]) == pytest.approx((*at[0], *at[1]))
+
+
+def test_mosaic_to_grid(spark):
+    """A mosaic whose values are its pixels' own places gives each grid cell its place, and 0 beyond."""
+    zoom, tile = 8, 256
+    p = geo.EqualArea(28.0, -13.0)
+    g = geo.Grid(-30_000.0, 30_000.0, 5000.0, 12, 12)
+    c0, r0 = int((28.0 + 180) / 360 * 65536) - 20, int((1 - math.asinh(math.tan(math.radians(-13.0))) / math.pi) / 2 * 65536) - 20
+    mosaic = spark.createDataFrame([(r0 + i, c0 + j, 1000.0 + i + 100.0 * j) for i in range(40) for j in range(40)], "row int, col int, elevation double")
+    got = {(r["row"], r["col"]): r["elevation"] for r in R.mosaic_to_grid(mosaic, zoom, g, p, tile).collect()}
+    assert len(got) == 144 and got[0, 0] == 0
+    lon, lat = p.inverse("x", "y")
+    for q in R.cells_of(spark, g).select("row", "col", lon.alias("lon"), lat.alias("lat")).collect():
+        c, r = (q["lon"] + 180) / 360 * 65536 - c0, (1 - math.asinh(math.tan(math.radians(q["lat"]))) / math.pi) / 2 * 65536 - r0
+        if 1 < r < 39 and 1 < c < 39:
+            assert got[q["row"], q["col"]] == pytest.approx(1000 + (r - 0.5) + 100 * (c - 0.5))
+        elif not (0 <= r <= 40 and 0 <= c <= 40):
+            assert got[q["row"], q["col"]] == 0

@@ -48,7 +48,7 @@ def test_nearest_fill_of_all_rows(spark, tmp_path):
     for r, c in np.argwhere(~valid):
         d = ((at - (r, c)) ** 2).sum(1)
         want[r, c] = e[tuple(at[d.argmin()])]
-    got = QUERIES["j_nearest_fill_all"](spark, str(tmp_path)).toPandas()
+    got = QUERIES["j_nearest_fill"](spark, str(tmp_path)).toPandas()
     assert len(got) == e.size
     filled = np.full(e.shape, np.nan)
     filled[got["row"], got["col"]] = got["elevation"]
@@ -61,4 +61,4 @@ def test_every_point_has_its_box_or_line(spark, name):
     from climaspark.jobs.queries import QUERIES
 
     points = {str(n) for n in pd.read_parquet(f"{SF}/customer.parquet")["c_custkey"]}
-    assert {str(r["name"]) for r in QUERIES[f"{name}_all"](spark, SF).select("name").distinct().collect()} == points
+    assert {str(r["name"]) for r in QUERIES[name](spark, SF).select("name").distinct().collect()} == points

@@ -38,7 +38,7 @@ def test_seasons(spark):
     rows = [(date(y, m, 1), lat, 25.0, 20.0 + y % 3, 5.0 + (y * m) % 4) for y in range(1990, 2000) for m in range(1, 13) for lat in (-10.0, -14.0)]
     monthly = spark.createDataFrame(rows, "month date, lat double, lon double, t2m double, precip double")
     got = {n: t.collect() for n, t in W.seasons(monthly, G.cosine_weights(monthly), G.catalogue(spark, {1991: 1.7, 1997: 2.4, 2015: 2.6}), (1991, 1996)).items()}
-    assert len(got["seasons"]) == 27 and len(got["catalogue_months"]) == 6 and [r["season"] for r in got["missing"]] == [2015] and got["catalogue"][0]["seasons"] == 2
+    assert len(got["seasons"]) == 27 and len(got["catalogue_rain"]) == len(got["catalogue_heat"]) == 6 and got["catalogue_heat"][0]["season_value"] is not None and [r["season"] for r in got["missing"]] == [2015] and got["catalogue"][0]["seasons"] == 2
 
 
 def test_long_term(spark):
