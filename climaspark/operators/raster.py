@@ -379,17 +379,14 @@ def pixels(tiles: DataFrame, tile: int = 256) -> DataFrame:
     channels come as blue, green, red."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
         for pdf in batches:
-            for x, y, h, w, n, data in zip(pdf["x"], pdf["y"], pdf["height"], pdf["width"], pdf["n"], pdf["data"], strict=True):
-                a = np.frombuffer(data, np.uint8).reshape(h, w, n).astype(np.int32)
-                i, j = np.divmod(np.arange(h * w), w)
-                held.append(pd.DataFrame({"x": x, "y": y, "row": y * tile + i, "col": x * tile + j, "r": a[..., 2].ravel(), "g": a[..., 1].ravel(), "b": a[..., 0].ravel()}))
-                if len(held) * h * w > 100_000:
-                    yield pd.concat(held)
-                    held = []
-        if held:
-            yield pd.concat(held)
+            for (h, w, n), same in pdf.groupby(["height", "width", "n"]):
+                i, j = (k.ravel() for k in np.indices((h, w)))
+                for part in np.array_split(np.arange(len(same)), len(same) * h * w // 4_000_000 + 1):
+                    some = same.iloc[part]
+                    a = np.frombuffer(b"".join(some["data"]), np.uint8).reshape(len(some), h * w, n).astype(np.int32)
+                    x, y = (np.repeat(some[c].to_numpy(), h * w) for c in ("x", "y"))
+                    yield pd.DataFrame({"x": x, "y": y, "row": y * tile + np.tile(i, len(some)), "col": x * tile + np.tile(j, len(some)), "r": a[..., 2].ravel(), "g": a[..., 1].ravel(), "b": a[..., 0].ravel()})
 
     place = F.regexp_extract("image.origin", r"(\d+)/(\d+)\.png$", 1).cast("int"), F.regexp_extract("image.origin", r"(\d+)/(\d+)\.png$", 2).cast("int")
     rows = tiles.select(place[0].alias("x"), place[1].alias("y"), "image.height", "image.width", F.col("image.nChannels").alias("n"), "image.data")

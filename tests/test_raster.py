@@ -167,7 +167,7 @@ def test_marks_and_features(spark):
     assert (f["low_km"], f["rim_km"], f["drop"], f["apart_km"], f["plateau"]) == (95, 60, 600, 35, plateau)
     lone = R.profile_features(prof.where("distance_km > 95")).first()
     assert lone["low_km"] == 96 and lone["rim"] is None and lone["drop"] is None and lone["plateau"] is None
-    marks = spark.createDataFrame([("p", "m", 41.0), ("p", "n", 40.0)], "name string, mark string, distance_km double")
+    marks = spark.createDataFrame([("p", "m", 79.0), ("p", "n", 80.0)], "name string, mark string, distance_km double")
     assert {r["mark"]: r["highest"] for r in R.near_marks(prof, marks).collect()} == {"m": 1200, "n": 1000}
 
 
