@@ -38,6 +38,10 @@ MAPPINGS = (
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+#: Parser's options: strings of any length, and an error where a record doesn't parse, instead of nulls.
+WHOLE = {"mode": "FAILFAST", "maxStringLen": "2147483647"}
+
+
 def _printed(texts: pd.Series) -> pd.Series:
     def one(text: str | None) -> int | None:
         try:
@@ -72,10 +76,10 @@ def _turn_of(role: str, text: str) -> Callable[[Column], Column]:
 
 
 def canonical(records: DataFrame, key: str = "conv_id", record: str = "record", order: str | None = None, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """(key, order, place, layout, role, text) of JSON records of mixed layouts, a row for each turn.
+    """(key, order, place, layout, role, text) of JSON records of mixed layouts, a row for each turn. Texts may have any length.
 
     `order` names a column that orders records of one key. An unknown layout or malformed record gives one row with null
-    layout, role and text, so that nothing goes unseen; a known one without turns gives none. Only the layout `conversations` has other names for roles.
+    layout, role and text, so that nothing goes unseen; a known one without turns gives none; one that cannot be parsed raises. Only the layout `conversations` has other names for roles.
     """
     record_, roles = F.col(record), F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))
     turn = "array<struct<role:string,text:string>>"
@@ -84,13 +88,13 @@ def canonical(records: DataFrame, key: str = "conv_id", record: str = "record",
     for m in mappings:
         if m.listed and m.listed[0]:
             at, role, text = m.listed
-            parsed = F.from_json(record_, f"`{at}` array<struct<`{role}`:string,`{text}`:string>>")[at]
+            parsed = F.from_json(record_, f"`{at}` array<struct<`{role}`:string,`{text}`:string>>", WHOLE)[at]
             found = F.transform(parsed, _turn_of(role, text))
         elif m.listed:
-            parsed = F.from_json(record_, f"`{m.listed[1]}` string, `{m.listed[2]}` string")
+            parsed = F.from_json(record_, f"`{m.listed[1]}` string, `{m.listed[2]}` string", WHOLE)
             found = F.array(F.struct(parsed[m.listed[1]].alias("role"), parsed[m.listed[2]].alias("text")))
         else:
-            parsed = F.from_json(record_, ", ".join(f"`{f}` string" for _, f in m.turns))
+            parsed = F.from_json(record_, ", ".join(f"`{f}` string" for _, f in m.turns), WHOLE)
             found = F.filter(F.array(*(F.struct(F.lit(r).alias("role"), parsed[f].alias("text")) for r, f in m.turns)), lambda x: x["text"].isNotNull())
         chosen = F.col("_print") == F.lit(hashed(m.paths))
         layout, turns = F.when(chosen, F.lit(m.name)).otherwise(layout), F.when(chosen, found.cast(turn)).otherwise(turns)
@@ -124,14 +128,16 @@ def read_segments(text: str) -> list[tuple[str, str, bool]]:
 
     def until(stop: str) -> str:
         nonlocal i
-        piece = []
+        piece, slash, end = [], -1, -1
         while True:
-            ends = [x for x in (text.find("\\", i), text.find(stop, i)) if x >= 0]
-            if not ends:
+            # Places that are found stay until they are passed, so that a text of many escapes is read once.
+            slash = slash if slash >= i else text.find("\\", i) % (len(text) + 1)
+            end = end if end >= i else text.find(stop, i) % (len(text) + 1)
+            at = min(slash, end)
+            if at == len(text):
                 raise ValueError("the text ends within a turn")
-            at = min(ends)
             piece.append(text[i:at])
-            if text[at] != "\\":
+            if at == end:
                 i = at + len(stop)
                 return "".join(piece)
             piece.append(text[at + 1])
@@ -190,3 +196,32 @@ def digests(segments: DataFrame) -> DataFrame:
 def records_of(conversations: DataFrame) -> DataFrame:
     """Rows by turn as JSON records of the layout `turn`; null texts and roles are empty."""
     return conversations.select("conv_id", "turn", F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"))).alias("record"))
+
+
+#: Conversations of more turns stay rows by turn where layouts are mixed: a record of the others holds a whole conversation.
+MOST_TURNS = 500
+
+
+def mixed_records(conversations: DataFrame) -> DataFrame:
+    """Conversations as records (conv_id, turn, record) of six layouts, chosen by conv_id, number of turns and roles.
+
+    Those of one user's and one assistant's turn are prompts with responses or completions, or instructions; others lists of messages,
+    of `from` and `value` where the roles are those of that layout, or records by turn. Null texts and roles are empty.
+    """
+    rows = conversations.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    sizes = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.min(F.col("role").isin("system", "user", "assistant", "tool")).alias("plain"), F.min_by("role", "turn").alias("first"), F.max_by("role", "turn").alias("last"))
+    pick = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(3))
+    pair = (F.col("n") == 2) & (F.col("first") == "user") & (F.col("last") == "assistant")
+    layout = F.when(F.col("n") > MOST_TURNS, "turn").when(pair, F.array(F.lit("prompt-response"), F.lit("instruction"), F.lit("prompt-completion"))[pick.cast("int")])
+    layout = layout.when(pick == 0, "messages").when((pick == 1) & F.col("plain"), "conversations").otherwise("turn")
+    told = rows.withColumnRenamed("conv_id", "id").join(sizes.select("conv_id", layout.alias("layout")), F.col("id").eqNullSafe(F.col("conv_id")))
+    by_turn = told.where("layout = 'turn'").select("conv_id", "turn", F.to_json(F.struct("role", "text", "turn")).alias("record"))
+    whole = told.where("layout != 'turn'").groupBy("conv_id", "layout").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    t = F.col("t")
+    back = {v: k for k, v in ROLES.items() if k in ("human", "gpt")}
+    theirs = F.create_map(*(F.lit(x) for kv in back.items() for x in kv))
+    record = F.when(F.col("layout") == "messages", F.to_json(F.struct(F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))))
+    record = record.when(F.col("layout") == "conversations", F.to_json(F.struct(F.transform(t, lambda x: F.struct(F.coalesce(theirs[x["role"]], x["role"]).alias("from"), x["text"].alias("value"))).alias("conversations"))))
+    for name, ask, say in (("prompt-response", "prompt", "response"), ("prompt-completion", "prompt", "completion"), ("instruction", "instruction", "output")):
+        record = record.when(F.col("layout") == name, F.to_json(F.struct(t[0]["text"].alias(ask), t[1]["text"].alias(say))))
+    return by_turn.unionByName(whole.select("conv_id", F.lit(0).cast("long").alias("turn"), record.alias("record")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import tempfile
@@ -10,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -94,16 +95,23 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset, one made here (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode, as in tests; on a cluster ValueError."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not at.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = at.get() if at.isDefined() else f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def quoted(df: DataFrame) -> list[Column]:
+    """The columns of df by their whole names, dots included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def give_back() -> None:
     """Returns what this Python worker has freed to the system: workers live on, and their heaps would keep their largest size."""
     pa.default_memory_pool().release_unused()
@@ -136,11 +144,41 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_left: dict[str, SparkSession] = {}
+
+
+def _remove(path: str) -> None:
+    spark = _left.pop(path, None)
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the session may be gone
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_left):
+        _remove(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: read again it has no lineage and a known size, and no lost executor takes it away."""
+    """df as a table in the shared folder: read again it has no lineage and a known size, and no lost executor takes it away.
+
+    It goes with done(), or at the driver's end at the latest. Writing it runs a job at once.
+    """
     path = new_folder(df.sparkSession, name)
+    _left[path] = df.sparkSession
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def done(*tables: DataFrame) -> None:
+    """Removes written tables that nothing will read any more."""
+    for t in tables:
+        if getattr(t, "_written", None):
+            _remove(t._written)
 
 
 def least_hashed(df: DataFrame, n: int, *keys: str) -> DataFrame:
@@ -155,32 +193,49 @@ def least_hashed(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return near.orderBy(h, *keys).limit(n)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+#: A node of more than a share of 1 / HOT of all edges, and of HOT_LEAST, is joined by broadcast: at most 2 x HOT nodes can be so hot.
+HOT, HOT_LEAST = 5_000, 1_000
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 1_000) -> DataFrame:
     """Connected components as (node, root), root being the component's smallest node; nodes without an edge don't occur.
 
     Alternating large and small stars: each round moves every edge towards the smallest node of its neighbourhood, with
-    aggregations that combine before the shuffle, and ends when no edge moved. Nothing but a count and a checksum comes
-    to the driver.
+    aggregations that combine before the shuffle, and ends when no edge moved. The least neighbours of hot nodes, a few
+    thousand at most, go to the edges by broadcast, so that no task has all edges of a star's centre. Nothing but a count and
+    a checksum comes to the driver. RuntimeError if `rounds` don't suffice.
     """
-    def small_star(df: DataFrame) -> DataFrame:
-        least = df.groupBy("u").agg(F.min("v").alias("m"))
+
+    def with_least(df: DataFrame, near: DataFrame, size: int) -> DataFrame:
+        """df (u, v) with m, the least v of near at its u, or u itself if that is less."""
+        least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        limit = max(HOT_LEAST, size // HOT)
+        hot = F.broadcast(least.where(F.col("n") > limit).select("u", "m"))
+        cold = df.join(hot.select("u"), "u", "left_anti").join(least.where(F.col("n") <= limit).select("u", "m"), "u")
+        return df.join(hot, "u").select("u", "v", "m").unionByName(cold.select("u", "v", "m"))
+
+    def small_star(df: DataFrame, size: int) -> DataFrame:
         both = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))
-        return df.join(least, "u").select(F.explode(both).alias("e")).select("e.u", "e.v").where("u != v").distinct()
+        return with_least(df, df, size).select(F.explode(both).alias("e")).select("e.u", "e.v").where("u != v").distinct()
 
-    def large_star(df: DataFrame) -> DataFrame:
+    def large_star(df: DataFrame, size: int) -> DataFrame:
         both = df.unionByName(df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        return with_least(both.where("v > u"), both, size).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     pairs = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     # Many links of one node to nodes that are linked themselves become one and theirs: the rounds begin with fewer.
-    pairs, before = written(small_star(pairs), "edges"), None
-    for _ in range(rounds):
-        pairs = written(small_star(large_star(pairs)), "edges")
+    now = state(pairs)
+    for i in range(rounds + 1):
+        moved = written(small_star(pairs if i == 0 else large_star(pairs, now[0]), now[0]), "edges")
+        done(pairs)
         # A star's edges all end at nodes that begin none.
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        pairs, before, now = moved, now, state(moved)
+        if now == before and i:
             break
-        before = now
+    else:
+        raise RuntimeError("the components' rounds don't suffice")
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded, by_size, components, give_back, mix, segment_hashes, shingle_hashes, small_batches, word_hashes, written
+from .common import U64, bounded, by_size, components, done, give_back, mix, quoted, segment_hashes, shingle_hashes, small_batches, word_hashes, written
 
 WORDS, LIKE = 5, 0.8
 TREES, DEEPEST, RECALL = 10, 9, 0.999
@@ -72,8 +72,8 @@ def sketched(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(bounded(run), "doc_id long, key binary, sketch binary, shingles long")
 
 
-def keyed(docs: DataFrame, name: str = "_key") -> DataFrame:
-    """docs with the key of each text's words."""
+def key_of(text: str | Column) -> Column:
+    """keys() of a column of texts."""
 
     @F.pandas_udf("binary")
     def run(texts: pd.Series) -> pd.Series:
@@ -81,7 +81,7 @@ def keyed(docs: DataFrame, name: str = "_key") -> DataFrame:
         give_back()
         return out
 
-    return small_batches(docs).withColumn(name, run("text"))
+    return run(text)
 
 
 def candidate_edges(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
@@ -283,7 +283,8 @@ def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """The rows of docs, all columns, that stand for their class: of the least doc_id, one row only."""
-    kept = classes(docs, recall).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_class")).distinct()
-    found = keyed(docs).join(written(kept, "kept"), (F.col("_key") == F.col("_class")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return found.dropDuplicates(["_key"]).select(*docs.columns)
+    """The rows of docs, all columns of any names, that stand for their class: of the least doc_id, one row only."""
+    kept = classes(docs, recall).where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))).select(F.col("doc_id").alias("first"), F.col("key").alias("words")).distinct()
+    rows = small_batches(docs).select(F.struct(*quoted(docs)).alias("doc"), key_of(F.col("text")).alias("key"))
+    found = rows.join(written(kept, "kept"), (F.col("key") == F.col("words")) & F.col("doc.doc_id").eqNullSafe(F.col("first")), "left_semi")
+    return found.dropDuplicates(["key"]).select("doc.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,42 +59,42 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_table(), "hash long, template int, phrase boolean, label string, at int, grams int")
 
 
-HITS = "row long, doc_id long, n_words long, hits array<struct<pos:int,hash:long>>"
+GRAMS = "row long, doc_id long, n_words long, two array<long>, four array<long>"
 
 
 def rolling(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n_words, hits): every text's rolling 2-gram and 4-gram hashes, of which those of no template, which the
-    join would drop, are left out at once. row numbers the input rows."""
-    known = np.unique(np.array([r[0] for r in _table()], np.int64).view(np.uint64))
+    """(row, doc_id, n_words, two, four): every text's rolling 2-gram and 4-gram hashes in order. row numbers the input rows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 36
-        for pdf in batches:
-            ids, done = pdf["doc_id"].tolist(), 0
-            for texts in by_size(pdf["text"]):
+        for batch in batches:
+            ids, done = batch.column(0), 0
+            for texts in by_size(batch.column(1).to_pylist()):
                 words, at = word_hashes(texts)
-                n = np.diff(at)
-                hits: list[list[tuple[int, int]]] = [[] for _ in texts]
+                grams = []
                 for k in (PHRASE_GRAM, GRAM):
-                    grams, first = shingle_hashes(words, at, k)
-                    found = np.flatnonzero(np.isin(grams, known))
-                    doc = np.searchsorted(first, found, "right") - 1
-                    for d, p, h in zip(doc.tolist(), (found - first[doc]).tolist(), grams[found].view(np.int64).tolist(), strict=True):
-                        if n[d] >= k:
-                            hits[d].append((p, h))
-                yield pd.DataFrame({"row": np.arange(row, row + len(texts)), "doc_id": pd.array(ids[done : done + len(texts)], "Int64") if None not in ids else ids[done : done + len(texts)], "n_words": n, "hits": hits}).astype({"doc_id": "Int64"})
+                    found, first = shingle_hashes(words, at, k)
+                    # A text of fewer words than k has no k-gram.
+                    n, short = np.diff(first), np.diff(at) < k
+                    keep = ~np.repeat(short, n)
+                    grams.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(short, 0, n))), pa.int32()), pa.array(found[keep].view(np.int64))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(texts))), ids.slice(done, len(texts)), pa.array(np.diff(at)), *grams], ["row", "doc_id", "n_words", "two", "four"])
                 row, done = row + len(texts), done + len(texts)
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(bounded(run), HITS)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(bounded(run), GRAMS)
 
 
 def votes(docs: DataFrame) -> DataFrame:
-    """A row for each document, template and offset diagonal with the template's positions that voted for it; documents without a vote have one null row."""
-    spark = docs.sparkSession
-    rows = rolling(docs).select("row", "doc_id", "n_words", F.explode_outer("hits").alias("hit")).select("row", "doc_id", "n_words", "hit.pos", "hit.hash")
-    joined = rows.join(F.broadcast(templates(spark)), "hash", "left").withColumn("diagonal", F.col("pos") - F.col("at"))
+    """A row for each document, template and offset diagonal with the template's positions that voted for it; documents without a vote have one null row.
+
+    All k-grams meet the templates' positions, a few hundred rows, by a broadcast join, and what meets none goes before the shuffle.
+    """
+    one = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("hash")))
+    hits = F.concat(one, *(F.transform(c, lambda h, i: F.struct(i.alias("pos"), h.alias("hash"))) for c in ("two", "four")))
+    rows = rolling(docs).select("row", "doc_id", "n_words", F.explode(hits).alias("hit")).select("row", "doc_id", "n_words", "hit.pos", "hit.hash")
+    joined = rows.join(F.broadcast(templates(docs.sparkSession)), "hash", "left").where("template is not null or pos < 0").withColumn("diagonal", F.col("pos") - F.col("at"))
     return joined.groupBy("row", "doc_id", "n_words", "template", "diagonal").agg(
         F.first("phrase").alias("phrase"), F.first("label").alias("label"), F.first("grams").alias("grams"), F.count("at").alias("votes"), F.min("pos").alias("begin"), F.max("pos").alias("last"), F.collect_set("at").alias("positions")
     )

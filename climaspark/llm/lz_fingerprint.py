@@ -122,14 +122,31 @@ def edited_likeness(docs: DataFrame, spans: int | None = None) -> DataFrame:
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spans = spans or 4 * width  # several a task, so that tasks are about even
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = sorted({c for c in (docs.agg(F.percentile_approx("doc_id", [i / spans for i in range(1, spans)], 10_000)).first()[0] or [])}) if spans > 1 else []
-    span = F.coalesce(sum((F.when(F.col("doc_id") >= c, 1).otherwise(0) for c in cuts), F.lit(0)), F.lit(0)) if len(cuts) < 24 else F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))), F.lit(0))
+    found = docs.agg(F.percentile_approx("doc_id", [i / spans for i in range(1, spans)], 20 * spans)).first()[0] if spans > 1 else None
+    cuts = np.unique(np.array(found or [], np.int64))
+
+    def spans_at(ids: pd.Series) -> pd.Series:
+        """How many cuts are not above the id; nulls belong to the first span."""
+        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(cuts, ids.fillna(0).to_numpy(np.int64), "right")).astype(np.int32))
+
     # At most one row for each span: which document comes first in it, and so is the guest of the span before.
-    firsts = docs.select(span.alias("span"), F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id").alias("id")).groupBy("span").agg(F.min("id").alias("id")).orderBy("span").collect()
-    before = {r["id"]["doc_id"]: firsts[i - 1]["span"] for i, r in enumerate(firsts)}
-    known = [F.create_map(*(F.lit(x) for kv in before.items() if kv[0] is not None for x in kv))] if any(k is not None for k in before) else []
-    host = known[0][F.col("doc_id")] if known else F.lit(None).cast("int")
-    if None in before:
-        host = F.when(F.col("doc_id").isNull(), F.lit(before[None])).otherwise(host)
-    rows = docs.select("doc_id", "text", F.explode(F.filter(F.array(F.struct(span.alias("span"), F.lit(False).alias("guest")), F.struct(host.cast("int").alias("span"), F.lit(True).alias("guest"))), lambda x: x["span"].isNotNull())).alias("at"))
-    return rows.select("at.span", "at.guest", "doc_id", "text").repartition(width, "span").sortWithinPartitions("span", "guest", "doc_id", "text").mapInPandas(bounded(_edited), EDITED)
+    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")
+    firsts = docs.groupBy(F.pandas_udf(spans_at, "int")("doc_id").alias("span")).agg(F.min(order).alias("id")).orderBy("span").collect()
+    hosts = {r["id"]["doc_id"]: firsts[i - 1]["span"] for i, r in enumerate(firsts)}
+    of_null = hosts.pop(None, None)
+    guests = np.array(sorted(hosts), np.int64)
+    before = np.array([hosts[g] for g in guests.tolist()], np.int32)
+
+    @F.pandas_udf("array<int>")
+    def places(ids: pd.Series) -> pd.Series:
+        """The row's span, and the span that it is a guest of, if any."""
+        span, known = spans_at(ids), ids.notna().to_numpy()
+        x = ids.fillna(0).to_numpy(np.int64)
+        at = np.minimum(np.searchsorted(guests, x), max(len(guests) - 1, 0))
+        host = np.where(guests[at] == x, before[at], -1) if len(guests) else np.full(len(x), -1)
+        host = np.where(known, host, -1 if of_null is None else of_null)
+        return pd.Series([[s] if h < 0 else [s, h] for s, h in zip(span.tolist(), host.tolist(), strict=True)])
+
+    rows = docs.select("doc_id", "text", F.posexplode(places("doc_id")).alias("guest", "span"))
+    rows = rows.select("span", (F.col("guest") > 0).alias("guest"), "doc_id", "text")
+    return rows.repartition(width, "span").sortWithinPartitions("span", "guest", "doc_id", "text").mapInPandas(bounded(_edited), EDITED)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import quoted, written
 
 #: Up to so many sources their rates are broadcast; beyond, the join is a shuffled one with salted sources.
 MOST_SOURCES = 10_000
@@ -65,20 +65,20 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: float = 1.0,
     """Every row of docs as often as its Poisson count says, with `copy` (from 1) and `shuffle_key`, in globally shuffled order.
 
     The count depends on doc_id, rate and seed alone; rows of one doc_id share it. Empty and null texts, null ids and null
-    sources take part like others; no rows give no rows. Columns `copy` and `shuffle_key` of docs are replaced.
+    sources take part like others; no rows give no rows. Columns `copy` and `shuffle_key` of docs are replaced; other names are free.
     """
-    kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    # All columns as one, so that no name of theirs meets one of these.
+    rows = docs.select(F.struct(*quoted(docs.drop("copy", "shuffle_key"))).alias("doc"))
+    source = F.col("doc.source")
     table = rates(docs, weights, epochs)
     few = table.limit(MOST_SOURCES + 1).collect()
-    told = F.struct(*(F.col(f"d.{c}").alias(c) for c in kept)).alias("doc")
     if len(few) <= MOST_SOURCES:
-        small = docs.sparkSession.createDataFrame([(r["source"], r["rate"]) for r in few], "_source string, rate double").select("_source", inverted(F.col("rate")).alias("inverse"))
-        joined = docs.alias("d").join(F.broadcast(small), F.col("d.source").eqNullSafe(F.col("_source"))).select(told, "inverse")
+        small = docs.sparkSession.createDataFrame([(r["source"], r["rate"]) for r in few], "named string, rate double").select("named", inverted(F.col("rate")).alias("inverse"))
+        joined = rows.join(F.broadcast(small), source.eqNullSafe(F.col("named"))).select("doc", "inverse")
     else:
-        large = table.select(F.col("source").alias("_source"), inverted(F.col("rate")).alias("inverse"))
-        large = large.select("_source", "inverse", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-        salt = F.pmod(F.xxhash64("d.doc_id"), F.lit(SALTS)).cast("int")
-        joined = docs.alias("d").join(large, F.col("d.source").eqNullSafe(F.col("_source")) & (salt == F.col("_salt"))).select(told, "inverse")
+        large = table.select(F.col("source").alias("named"), inverted(F.col("rate")).alias("inverse"))
+        large = large.select("named", "inverse", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        joined = rows.join(large, source.eqNullSafe(F.col("named")) & (F.pmod(F.xxhash64("doc.doc_id"), F.lit(SALTS)).cast("int") == F.col("salt"))).select("doc", "inverse")
     counted = joined.select("doc", copies(F.col("doc.doc_id"), F.col("inverse"), seed).alias("n")).where("n > 0")
     out = counted.select("doc.*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     key = F.conv(F.substring(digest(F.col("doc_id"), F.col("copy"), F.lit("order"), F.lit(seed)), 1, 13), 16, 10).cast("long")

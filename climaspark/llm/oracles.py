@@ -41,4 +41,7 @@ links as (select a.doc_id as x, b.doc_id as y from s a join s b on a.shingle = b
 reach as (select doc_id as x, doc_id as y from w union select r.x, l.y from reach r join links l on l.x = r.y)
 select w.doc_id, c.class_id, coalesce(l.n, 0) as n_links, count(*) over (partition by words) as copies from w join (select x, min(y) as class_id from reach group by x) c on c.x = w.doc_id left join (select x, count(*) as n from links group by x) l on l.x = w.doc_id"""
 
-ORACLES = {"op5_chat_formatting": CHAT, "op6_poisson_mixing": MIX, "op8_warc": WARC, "op10_jaccard_join": JACCARD}
+MIXED = CHAT.replace("""
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'""", "")
+
+ORACLES = {"op5_chat_formatting": CHAT, "chat_mixed_layouts": MIXED, "op6_poisson_mixing": MIX, "op8_warc": WARC, "op10_jaccard_join": JACCARD}

@@ -34,6 +34,12 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.canonical(chat.records_of(rows), order="turn")))
 
 
+def chat_mixed_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same digests by way of records of six layouts."""
+    records = chat.mixed_records(table(spark, sf_dir, "conversations"))
+    return chat.digests(chat.formatted(chat.canonical(records, order="turn")))
+
+
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -55,4 +61,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_lz_fingerprints, op2_secret_scan, op3_license_scan, op4_binary_packing, op5_chat_formatting, op6_poisson_mixing, op7_toxicity, op8_warc, op9_nearest_neighbours, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_lz_fingerprints, op2_secret_scan, op3_license_scan, op4_binary_packing, op5_chat_formatting, op6_poisson_mixing, op7_toxicity, op8_warc, op9_nearest_neighbours, op10_jaccard_join, chat_mixed_layouts)}

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, give_back, small_batches
+from .common import bounded, give_back, quoted, small_batches
 
 # The kinds of the base patterns, in their order, with the least length of what must be matched.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -24,7 +24,8 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 #: What the models look at: long unbroken tokens.
 TOKEN_LEAST = 16
 TOKEN = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % TOKEN_LEAST)
-#: A token is a secret from this mean log-likelihood ratio a character (nats) on, random against ordinary.
+PIECE = re.compile("[A-Za-z0-9]{%d,}" % TOKEN_LEAST)
+#: A piece of a token, or a whole one, is a secret from this mean log-likelihood ratio a character (nats) on, random against ordinary.
 THRESHOLD = 0.5
 _STATES = 128
 MASK = "[SECRET]"
@@ -110,10 +111,25 @@ def score(token: str, model: np.ndarray) -> float:
     return float(model.reshape(len(model), -1)[:, transitions(token)].mean(axis=1).max()) if token else 0.0
 
 
+def random_spans(text: str, start: int, end: int, model: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """What is random in a stretch of a token: its pieces of letters and digits alone, so that ordinary text joined to a secret doesn't
+    hide it; where none is, the whole stretch, as a secret may hold other characters."""
+    found = [(m.start(), m.end()) for m in PIECE.finditer(text, start, end) if score(m[0], model) >= threshold]
+    if found or end - start < TOKEN_LEAST:
+        return found
+    return [(start, end)] if score(text[start:end], model) >= threshold else []
+
+
 def spans_of(text: str, model: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
-    """Base spans, and tokens that the models call random and no base span touches; by start, then kind."""
-    spans = base_spans(text)
-    more = [(m.start(), m.end(), "markov") for m in TOKEN.finditer(text) if not any(s < m.end() and m.start() < e for s, e, _ in spans) and score(m[0], model) >= threshold]
+    """Base spans, and what the models call random in the stretches of tokens that base spans leave over; by start, then kind."""
+    spans, more = base_spans(text), []
+    for m in TOKEN.finditer(text):
+        at = m.start()
+        for s, e, _ in [*spans, (m.end(), m.end(), "")]:
+            if s >= at and s <= m.end() and s - at >= TOKEN_LEAST:
+                more += [(*r, "markov") for r in random_spans(text, at, s, model, threshold)]
+            if s <= m.end() and e > m.start():
+                at = max(at, e)
     return sorted(spans + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -161,4 +177,4 @@ def redact(docs: DataFrame, model: np.ndarray | None = None, threshold: float =
     out = small_batches(docs).withColumn("text", run("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*quoted(docs))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,15 +12,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, give_back, least_hashed, small_batches, written
+from .common import bounded, done, give_back, least_hashed, quoted, small_batches, written
 
-#: At most so many labelled rows (those with the least hashes) tell lexicon entries; at most so many posteriors fit the classifier.
-LABELLED_ROWS, FIT_ROWS = 20_000, 20_000
-#: Lexicon entries that become voters, and how much oftener they must stand in toxic texts.
-ENTRIES, LEAST_DOCS, LEAST_RATIO = 64, 3, 8.0
-ROUNDS = 8
+#: At most so many labelled rows, those with the least hashes, tell lexicon entries (the default of fit()'s labelled_rows).
+LABELLED_ROWS = 20_000
+#: In how many toxic texts a lexicon entry must stand, and how much oftener than in others.
+LEAST_DOCS, LEAST_RATIO = 3, 8.0
+#: Rounds of expectation maximisation, and of Newton's method at most.
+ROUNDS, STEPS = 8, 12
 #: What an unlabelled row counts in the models' fits against a labelled one; labelled rows that correlations are told from.
 UNLABELLED, ENOUGH = 0.2, 100
+#: How far posteriors of labelled rows, and the classifier's targets, stay from 0 and 1; how often a label is right, as a vote of the label model.
+SOFT = 0.01
+ANNOTATOR = 0.999
 #: Nats by which an entry's toxic documents must beat chance; less will do if they use it twice each and more.
 SURE, LIKELY = 9.0, 5.0
 # A seed lexicon of insults.
@@ -45,10 +49,10 @@ def in_fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1
 
 
-def mined(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int, int]]:
+def mined(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> list[tuple[str, int, int]]:
     """Lexicon entries told by the labelled rows outside the held-out fold: (entry, toxic documents, other documents with it), best first."""
     told = labels.where(F.col("toxic").isNotNull() & F.coalesce(in_fold(), F.lit(False))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = least_hashed(told, LABELLED_ROWS, "doc_id")
+    sample = least_hashed(told, labelled_rows, "doc_id")
     rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,26 +82,20 @@ def mined(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int, int]]:
         return []
     P, N = total["p"], total["n"]
     ratio = ((F.col("p") + 0.5) / (P + 1)) / ((F.col("n") + 0.5) / (N + 1))
-    found = sums.where("entry != ''").where(ratio >= LEAST_RATIO).withColumn("gain", F.col("p") * F.log(ratio))
-    best = [(r["entry"], r["p"], r["n"], r["uses"]) for r in found.orderBy(F.desc("gain"), F.desc(F.length("entry")), "entry").limit(40 * ENTRIES).collect()]
-    return chosen(best, P, N)
+    p, n, base = F.col("p"), F.col("n"), P / (P + N)
+    chance = p * F.log(p / ((p + n) * base)) + F.when(n > 0, n * F.log(n / ((p + n) * (1 - base)))).otherwise(0.0) if N else F.lit(0.0)
+    # So few pass that the driver may have them: each stands in toxic texts of the bounded sample far beyond chance.
+    sure = chance >= F.when(F.col("uses") < 2 * p, SURE).otherwise(LIKELY)
+    found = sums.where("entry != ''").where((ratio >= LEAST_RATIO) & sure).withColumn("gain", p * F.log(ratio))
+    return chosen([(r["entry"], r["p"], r["n"]) for r in found.orderBy(F.desc("gain"), F.desc(F.length("entry")), "entry").collect()])
 
 
-def chosen(best: list[tuple[str, int, int, int]], P: int, N: int) -> list[tuple[str, int, int]]:
-    """The best entries, without those that another one implies with the same counts, and without those that chance explains.
-
-    A share of P/(P+N) of an entry's documents is toxic by chance; with so many candidates an entry must beat that by far,
-    or somewhat if toxic texts use it again and again.
-    """
+def chosen(best: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The entries, best first, without those that a better one implies with the same counts."""
     out: list[tuple[str, int, int]] = []
-    base = P / (P + N)
-    for entry, p, n, uses in best:
-        surprise = p * np.log(max(p, 1) / ((p + n) * base)) + (n * np.log(n / ((p + n) * (1 - base))) if n else 0.0)
-        near = any((e.startswith(entry) or entry.startswith(e) or entry == f"={e}" or e == f"={entry}" or (e[0] == "=" and e[1:].startswith(entry)) or (entry[0] == "=" and entry[1:].startswith(e))) and (p2 >= p and n2 <= n) for e, p2, n2 in out)
-        if surprise >= (SURE if uses < 2 * p else LIKELY) and not near:
+    for entry, p, n in best:
+        if not any((e.startswith(entry) or entry.startswith(e) or entry == f"={e}" or e == f"={entry}" or (e[0] == "=" and e[1:].startswith(entry)) or (entry[0] == "=" and entry[1:].startswith(e))) and (p2 >= p and n2 <= n) for e, p2, n2 in out):
             out.append((entry, p, n))
-        if len(out) == ENTRIES:
-            break
     return out
 
 
@@ -146,73 +144,87 @@ def ballots(x: np.ndarray, m: int) -> np.ndarray:
 
 @dataclass
 class LabelModel:
-    """P(vote is right, given that it is cast) of each voter, its weight after correlations, and the share of toxic rows."""
+    """P(vote is right, given that it is cast) of each voter, how often two voters err together (their errors' cosine), and the share of toxic rows.
+
+    A voter's log-odds are divided by one and the sum of its correlations, so that voters that err together count about once.
+    """
 
     right: np.ndarray
-    weight: np.ndarray
+    together: np.ndarray
     prior: float
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        z = np.log(self.prior / (1 - self.prior)) + votes @ (self.weight * np.log(self.right / (1 - self.right)))
+    def posterior(self, votes: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """P(toxic) of rows from their votes and, where known isn't nan, from the label: one more vote, of an annotator who is right with ANNOTATOR."""
+        z = np.log(self.prior / (1 - self.prior)) + votes @ (np.log(self.right / (1 - self.right)) / (1 + self.together.sum(1)))
+        if known is not None:
+            z = z + np.where(np.isnan(known), 0.0, np.where(known > 0, 1.0, -1.0)) * np.log(ANNOTATOR / (1 - ANNOTATOR))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_labels(rows: DataFrame, first: LabelModel, m: int) -> LabelModel:
-    """Expectation maximisation over all rows (x, toxic): each round is one aggregation, from which 3 numbers a voter come to the driver.
+def label_sums(model: LabelModel, votes: np.ndarray, known: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What one round of expectation maximisation sums over rows (votes, label or nan, times that the row occurs).
 
-    A label, where there is one, is its row's posterior, and such a row counts more. The last round gives the voters' joint
-    errors too, from labelled rows if there are enough: a voter's weight is divided by one and its errors' correlations, so
-    that voters that are wrong together count about once.
+    A row with a label counts more, as its posterior is surer.
     """
+    told = ~np.isnan(known)
+    p = np.where(told, np.clip(model.posterior(votes, known), SOFT, 1 - SOFT), model.posterior(votes, known))
+    counts = (np.where(told, 1.0, UNLABELLED) * n)[:, None]
+    cast, agree = votes != 0, np.where(votes > 0, p[:, None], 1 - p[:, None])
+    wrong = cast * (1 - agree)
+    joint = [(wrong * (n * of)[:, None]).T @ wrong for of in (told, np.ones(len(n)))]
+    return np.concatenate([[counts.sum(), (counts[:, 0] * p).sum(), (n * told).sum()], (counts * cast * agree).sum(0), (counts * cast).sum(0), *(j.ravel() for j in joint)])
+
+
+def label_step(first: LabelModel, s: np.ndarray) -> LabelModel:
+    """The model of a round's sums; accuracies are smoothed towards those of the first model."""
+    v = len(first.right)
+    n, toxic, labelled, agree, cast = s[0], s[1], s[2], s[3 : 3 + v], s[3 + v : 3 + 2 * v]
+    # Correlations are told by labelled rows, if there are enough.
+    joint = s[3 + 2 * v :].reshape(2, v, v)[0 if labelled >= ENOUGH else 1]
+    errors = np.diag(joint)
+    together = joint / np.sqrt(np.maximum(errors[:, None] * errors[None], 1e-9)) * (np.minimum(errors[:, None], errors[None]) >= 2)
+    np.fill_diagonal(together, 0)
+    return LabelModel(np.clip((agree + 2 * first.right) / (cast + 2), 0.3, 0.995), np.clip(together, 0, 1), float(np.clip((toxic + 1) / (n + 10), 0.005, 0.5)))
+
+
+def summed(rows: DataFrame, part: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum over tasks of part(features, label or nan, times) of rows (x, toxic, n): `size` numbers a task meet in one aggregation."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for pdf in batches:
+            if len(pdf):
+                total += part(np.frombuffer(b"".join(pdf["x"]), np.float32).reshape(len(pdf), -1).astype(float), pdf["toxic"].to_numpy(float), pdf["n"].to_numpy(float))
+        yield pd.DataFrame({"i": np.arange(size), "s": total})
+
+    got = {r["i"]: r["s"] for r in rows.mapInPandas(bounded(run), "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()}
+    return np.array([got.get(j, 0.0) for j in range(size)])
+
+
+def fit_labels(rows: DataFrame, first: LabelModel, m: int, rounds: int = ROUNDS) -> LabelModel:
+    """Expectation maximisation over all rows (x, toxic, n): each round is one aggregation, of which numbers by voters and pairs of voters come to the driver."""
     model, v = first, len(first.right)
-    for i in range(ROUNDS):
-        last = i == ROUNDS - 1
-        size = 3 + 2 * v + (2 * v * v if last else 0)
-
-        def sums(batches, model=model, last=last, size=size):
-            total = np.zeros(size)
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                b = ballots(np.frombuffer(b"".join(pdf["x"]), np.float32).reshape(len(pdf), -1), m).astype(float)
-                known = pdf["toxic"].to_numpy(float)
-                told = ~np.isnan(known)
-                p = np.where(told, np.clip(known, 0.01, 0.99), model.posterior(b))
-                counts = np.where(told, 1.0, UNLABELLED)[:, None]
-                cast, agree = b != 0, np.where(b > 0, p[:, None], 1 - p[:, None])
-                parts = [[counts.sum(), (counts[:, 0] * p).sum(), told.sum()], (counts * cast * agree).sum(0), (counts * cast).sum(0)]
-                if last:
-                    wrong = cast * (1 - agree)
-                    parts += [(wrong[told].T @ wrong[told]).ravel(), (wrong.T @ wrong).ravel()]
-                total += np.concatenate(parts)
-            yield pd.DataFrame({"i": np.arange(size), "s": total})
-
-        got = {r["i"]: r["s"] for r in rows.mapInPandas(bounded(sums), "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()}
-        s = np.array([got.get(j, 0.0) for j in range(size)])
-        n, toxic, labelled, agree, cast = s[0], s[1], s[2], s[3 : 3 + v], s[3 + v : 3 + 2 * v]
-        right = np.clip((agree + 2 * first.right) / (cast + 2), 0.3, 0.995)
-        weight = model.weight
-        if last:
-            joint = s[3 + 2 * v :].reshape(2, v, v)[0 if labelled >= ENOUGH else 1]
-            errors = np.diag(joint)
-            share = joint / np.sqrt(np.maximum(errors[:, None] * errors[None], 1e-9)) * (np.minimum(errors[:, None], errors[None]) >= 2)
-            np.fill_diagonal(share, 0)
-            weight = 1 / (1 + np.clip(share, 0, 1).sum(1))
-        model = LabelModel(right, weight, float(np.clip((toxic + 1) / (n + 10), 0.005, 0.5)))
+    for _ in range(rounds):
+        model = label_step(first, summed(rows, lambda x, known, n, model=model: label_sums(model, ballots(x, m).astype(float), known, n), 3 + 2 * v + 2 * v * v))
     return model
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, counts: np.ndarray | None = None, ridge: float = 0.05, rounds: int = 25) -> np.ndarray:
-    """Logistic regression on soft targets by Newton steps; the last weight is the constant. counts tells what each row counts."""
-    counts = np.ones(len(x)) if counts is None else counts
+def linear_sums(w: np.ndarray, x: np.ndarray, target: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Gradient and curvature of the logistic likelihood at weights w, the last of which is the constant."""
     a = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    w, penalty = np.zeros(a.shape[1]), np.full(a.shape[1], ridge)
-    penalty[-1] = 1e-6
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (counts * p * (1 - p))[:, None]).T @ a + np.diag(penalty) + 1e-6 * np.eye(len(w))
-        step = np.linalg.solve(h, a.T @ (counts * (target - p)) - penalty * w)
-        w += np.clip(step, -4, 4)
+    p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+    return np.concatenate([a.T @ (counts * (target - p)), ((a * (counts * p * (1 - p))[:, None]).T @ a).ravel()])
+
+
+def fit_linear(sums: Callable[[np.ndarray], np.ndarray], d: int, ridge: float = 0.05, steps: int = STEPS) -> np.ndarray:
+    """Logistic regression on soft targets by Newton steps over what sums(weights) tells; ends when no weight moves by a hundredth."""
+    w, penalty = np.zeros(d + 1), np.append(np.full(d, ridge), 1e-6)
+    for _ in range(steps):
+        s = sums(w)
+        step = np.clip(np.linalg.solve(s[d + 1 :].reshape(d + 1, d + 1) + np.diag(penalty) + 1e-6 * np.eye(d + 1), s[: d + 1] - penalty * w), -4, 4)
+        w = w + step
+        if np.abs(step).max() < 1e-2:
+            break
     return w
 
 
@@ -249,23 +261,28 @@ class Fitted:
         return run(x)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Fitted:
-    """Mines the lexicon, has all texts' votes modelled, and fits the classifier. Texts are read twice: for the labelled sample and for features."""
-    found = mined(docs, labels)
+def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Fitted:
+    """Mines the lexicon from at most labelled_rows labelled rows, has all texts' votes modelled, and fits the classifier on all posteriors.
+
+    Texts are read twice: for the labelled sample and for features. Rows of equal features and label are one row and a number from then on.
+    """
+    found = mined(docs, labels, labelled_rows)
     entries = [e for e, *_ in found] + [f"={w}" for w in SEED if f"={w}" not in {e for e, *_ in found}]
     fitted, m = Fitted(Lexicon(entries), None, np.zeros(len(entries) + 5), None), len(entries)
     told = labels.where(F.col("toxic").isNotNull() & F.coalesce(in_fold(), F.lit(False))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("double").alias("toxic"))
     fitted.table = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fitted.features("text").alias("x")), "features")
-    votes = written(fitted.table.join(told, "doc_id", "left").select("doc_id", "x", "toxic"), "votes")
+    votes = written(fitted.table.join(told, "doc_id", "left").groupBy("x", "toxic").agg(F.count("*").cast("double").alias("n")), "votes")
     counts = {e: (p, n) for e, p, n in found}
     right = np.array([(counts[e][0] + 2) / (sum(counts[e]) + 4) if e in counts else 0.8 for e in entries] + [0.85, 0.85, 0.8, 0.8, 0.85, 0.85])
-    fitted.labels = fit_labels(votes, LabelModel(np.clip(right, 0.55, 0.99), np.ones(len(right)), 0.1), m)
-    sample = [r for known in (True, False) for r in least_hashed(votes.where(F.col("toxic").isNotNull() == known), FIT_ROWS // 2, "doc_id", "x").select("x", "toxic").collect()]
-    if sample:
-        x = np.frombuffer(b"".join(bytes(r["x"]) for r in sample), np.float32).reshape(len(sample), -1).astype(float)
-        known = np.array([np.nan if r["toxic"] is None else r["toxic"] for r in sample])
-        posterior = np.where(np.isnan(known), fitted.labels.posterior(ballots(x, m)), np.clip(known, 0.01, 0.99))
-        fitted.weights = fit_linear(x, posterior, np.where(np.isnan(known), UNLABELLED, 1.0))
+    v = len(right)
+    labels_ = fitted.labels = fit_labels(votes, LabelModel(np.clip(right, 0.55, 0.99), np.zeros((v, v)), 0.1), m)
+    d = m + 4
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        return summed(votes, lambda x, known, n: linear_sums(w, x, np.clip(labels_.posterior(ballots(x, m), known), SOFT, 1 - SOFT), n * np.where(np.isnan(known), UNLABELLED, 1.0)), (d + 1) * (d + 2))
+
+    fitted.weights = fit_linear(sums, d)
+    done(votes)
     return fitted
 
 
@@ -284,4 +301,4 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, whose texts aren't predicted toxic. The score depends on the text alone, so no row is joined to its score."""
     fitted = fit(docs, labels)
-    return docs.where(F.coalesce(fitted.scored(fitted.features("text")), F.lit(0.0)) < 0.7).select(*docs.columns)
+    return docs.where(F.coalesce(fitted.scored(fitted.features("text")), F.lit(0.0)) < 0.7).select(*quoted(docs))

@@ -57,6 +57,29 @@ def test_vectors_that_take_no_part(spark):
     assert A.search(d.where("false")).count() == 0 and A.search(d.where("vec_id = 0")).count() == 0
 
 
-def test_repeated_ids_count_once(spark):
+def test_repeated_ids_are_rows_each(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [1.0, 0.1], 0), (1, [1.0, 0.1], 0), (2, [0.0, 1.0], 0)], SCHEMA)
-    assert [(r["rank"], r["vec_id"]) for r in A.search(d).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+    assert [(r["rank"], r["vec_id"]) for r in A.search(d).orderBy("rank").collect()] == [(1, 1), (2, 1), (3, 2)]
+    twice = spark.createDataFrame([(0, [1.0, 0.0], 0), (0, [1.0, 0.5], 0)], SCHEMA)
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in A.search(twice).collect()] == [(0, 1, 0)] * 2
+
+
+def test_large_and_small_components(spark):
+    v = [[1e200, 0.0], [1e200, 1e200], [1e-200, 0.0], [-1e300, 1.0]]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = A.search(d).orderBy("rank").collect()
+    assert [(r["vec_id"], round(r["score"], 9)) for r in got] == [(2, 1.0), (1, round(0.5**0.5, 9)), (3, -1.0)]
+
+
+def test_lengths_are_indexes_of_their_own(spark):
+    d = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [1.0, 0.1], 0), (50, [1.0, 0.0, 2.0], 0), (3, [1.0, 0.0, 1.0], 0), (100, [2.0], 0)], SCHEMA)
+    assert sorted((r["query_id"], r["vec_id"]) for r in A.search(d).collect()) == [(0, 1), (50, 3)]
+
+
+def test_recall_against_probes(spark, sf):
+    """Recall grows with the probes; what the sample chooses reaches the target."""
+    rows = table(spark, sf, "embeddings").collect()
+    want = exact([r["vec_id"] for r in rows], [r["embedding"] for r in rows])
+    d, index = table(spark, sf, "embeddings"), A.fit(A.usable(table(spark, sf, "embeddings")))
+    shares = [recall(A.search(d, index=index, probes=p).collect(), want)[0] for p in (1, index.probes, len(index.centroids))]
+    assert shares[0] < shares[1] <= shares[2] + 0.02 and shares[1] >= 0.9 and shares[2] >= 0.97

@@ -72,3 +72,29 @@ def test_odd_turns(spark):
     d = C.digests(C.formatted(C.canonical(C.records_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), order="turn")))
     assert {r["conv_id"]: r["n_turns"] for r in d.collect()} == {1: 3, None: 1, 2: 1}
     assert C.digests(C.formatted(C.canonical(C.records_of(spark.createDataFrame([], "conv_id long, turn long, role string, text string")), order="turn"))).count() == 0
+
+
+def test_mixed_layouts(spark, sf):
+    """Six layouts, chosen by their fingerprints, give the digests of the rows by turn."""
+    from climaspark.llm.queries import chat_mixed_layouts
+
+    want = {r["conv_id"]: tuple(r) for r in op5_chat_formatting(spark, sf).where("conv_id != -7").collect()}
+    assert {r["conv_id"]: tuple(r) for r in chat_mixed_layouts(spark, sf).collect()} == want
+    layouts = {r["layout"] for r in C.canonical(C.mixed_records(table(spark, sf, "conversations")), order="turn").select("layout").distinct().collect()}
+    assert None not in layouts and len(layouts) >= 3
+
+
+def test_every_layout_of_mixed_records(spark):
+    rows = [(i, t, r, f"{r}<s>{i}") for i in range(9) for t, r in enumerate(["user", "assistant"] if i < 3 else ["user", "assistant", "user"] if i < 6 else ["human", "x]", None])]
+    table_ = spark.createDataFrame(rows + [(None, 0, None, None)], "conv_id long, turn long, role string, text string")
+    turns = C.canonical(C.mixed_records(table_), order="turn")
+    assert {r["layout"] for r in turns.select("layout").distinct().collect()} == {"prompt-response", "prompt-completion", "instruction", "messages", "conversations", "turn"}
+    a, b = (sorted(map(str, C.digests(C.formatted(x)).collect())) for x in (turns, C.canonical(C.records_of(table_), order="turn")))
+    assert a == b
+
+
+def test_a_text_beyond_the_parser_s_default_length(spark):
+    n = 21_000_000
+    d = spark.range(1).selectExpr("5L as conv_id", "0L as turn", "'assistant' as role", f"repeat('[long] ', {n // 7}) as text")
+    got = C.digests(C.formatted(C.canonical(C.records_of(d), order="turn"))).first()
+    assert (got["n_turns"], got["loss_chars"], got["loss_sha256"]) == (1, n, hashlib.sha256(b"[long] " * (n // 7)).hexdigest())

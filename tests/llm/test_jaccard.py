@@ -131,3 +131,24 @@ def test_components(spark):
         parent[y] = x
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {x: root(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_any_column_names(spark, documents):
+    rows = texts(3, groups=3, size=4)
+    d = documents(rows)
+    for name in ("_id", "_class", "_key", "key", "class_id", "doc", "a.b"):
+        d = d.withColumn(name, d["doc_id"])
+    kept = J.one_of_each(d)
+    assert kept.columns == d.columns and all(r["_key"] == r["a.b"] == r["doc_id"] for r in kept.collect()) and kept.count() == len({c for _, c, _ in expected(rows)})
+
+
+def test_components_around_a_hot_node(spark, monkeypatch):
+    from climaspark.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 5)
+    monkeypatch.setattr(common, "HOT", 50)
+    edges = [(7, i) for i in range(100, 400)] + [(i, i + 1000) for i in range(100, 200)] + [(3, 399), (5000, 5001)]
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(found.values()) == {3, 5000} and sum(v == 3 for v in found.values()) == len(found) - 2
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long"), rounds=1)

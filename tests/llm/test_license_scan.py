@@ -1,4 +1,6 @@
+import random
 import re
+from collections import Counter
 
 from climaspark.llm import license_scan as L
 from climaspark.llm.queries import op3_license_scan, table
@@ -50,3 +52,32 @@ def test_last_word_tells_versions_apart(spark, documents):
 def test_odd_rows(spark, odd):
     got = L.scan(odd).collect()
     assert len(got) == odd.count() and all(r["score"] == 0 for r in got) and L.scan(odd.where("false")).count() == 0
+
+
+def aligned(text, template, k):
+    """Votes by diagonal, by comparing every k-gram with every place."""
+    votes = Counter()
+    for i in range(len(text) - k + 1):
+        for j in range(len(template) - k + 1):
+            if text[i : i + k] == template[j : j + k]:
+                votes[i - j] += 1
+    return votes
+
+
+def test_votes_by_brute_force(spark, documents):
+    rng, vocabulary = random.Random(2), "a b c the of this software license".split()
+    rows = []
+    for i in range(40):
+        t = [rng.choice(vocabulary) for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(3)):
+            part = rng.choice([*L.PHRASES, *L.TEMPLATES]).split()
+            cut = sorted(rng.sample(range(len(part) + 1), 2))
+            at = rng.randrange(len(t) + 1)
+            t[at:at] = part[cut[0] : cut[1]]
+        rows.append((i, " ".join(t)))
+    got = {(r["doc_id"], r["template"], r["diagonal"]): r["votes"] for r in L.votes(documents(rows)).where("template is not null").collect()}
+    want = {}
+    for n, (template, k) in enumerate([*((p, L.PHRASE_GRAM) for p in L.PHRASES), *((p, L.GRAM) for p in L.TEMPLATES)]):
+        for i, t in rows:
+            want |= {(i, n, d): v for d, v in aligned(t.split(), template.split(), k).items()}
+    assert got == want

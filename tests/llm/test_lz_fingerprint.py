@@ -45,6 +45,7 @@ def test_spans_do_not_show(spark, documents):
     d = documents([(i * 7 % 31, "text number %d of a few " % (i % 5) * (i % 4)) for i in range(31)])
     one = sorted(map(tuple, L.edited_likeness(d, 1).collect()))
     assert one == sorted(map(tuple, L.edited_likeness(d, 9).collect())) and len(one) == 31
+    assert one == sorted(map(tuple, L.edited_likeness(d, 400).collect()))
 
 
 def test_odd_rows(spark, odd):

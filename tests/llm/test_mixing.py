@@ -66,3 +66,11 @@ def test_odd_rows(spark, odd):
 def test_rates(spark, documents):
     d = sized(documents, {"a": 30, "b": 10})
     assert {r["source"]: r["rate"] for r in M.rates(d).collect()} == pytest.approx({"a": 2 / 3, "b": 2.0})
+
+
+def test_any_column_names(spark, documents):
+    d = documents([(1, "a"), (2, "b b")])
+    for name in ("_source", "inverse", "rate", "doc", "n", "a.b"):
+        d = d.withColumn(name, d["doc_id"])
+    got = M.mix(d, epochs=3.0)
+    assert got.columns == [*d.columns, "copy", "shuffle_key"] and all(r["a.b"] == r["inverse"] == r["doc_id"] for r in got.collect())

@@ -37,3 +37,30 @@ def test_stages_one_by_one(spark, sf):
 def test_run(spark, sf):
     got = C.run(spark, sf)
     assert got.columns == packing.pack(table(spark, sf, "documents")).columns and got.count() > 0
+
+
+def labels_at(spark, path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_odd_rows_through_all_stages(spark, odd, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing names: what each stage is said to do with them."""
+    sf = labels_at(spark, tmp_path)
+    docs = odd
+    for name in ("_id", "_class", "_key", "_source", "inverse", "a.b"):
+        docs = docs.withColumn(name, docs["doc_id"])
+    columns, n = docs.columns, []
+    for _, stage in C.STAGES[:-1]:
+        docs = written(stage(spark, docs, sf), "stage")
+        assert docs.columns == columns
+        n.append(docs.count())
+    # All clean; rows of the same words become one, of the least doc_id; none lost to secrets.
+    assert n[0] == 9 and n[1] == n[2] == 5
+    assert C.STAGES[-1][1](spark, docs, sf).count() >= n[3]
+
+
+def test_an_empty_table(spark, odd, tmp_path):
+    sf = labels_at(spark, tmp_path)
+    odd.where("false").write.parquet(f"{sf}/documents.parquet")
+    assert C.run(spark, sf).count() == 0

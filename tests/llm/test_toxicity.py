@@ -1,7 +1,9 @@
+import math
 import random
 import zlib
 
 import numpy as np
+import pytest
 
 from climaspark.llm import toxicity as X
 from climaspark.llm.queries import op7_toxicity, table
@@ -77,14 +79,66 @@ def test_label_model_discounts_copies_of_a_voter(spark):
         x[:, j] = np.where(rng.random(n) < right, y, rng.random(n) < 0.1)
     x[:, 2] = x[:, 1]
     x[:, 3] = (x[:, :3] > 0).sum(1)
-    rows = spark.createDataFrame([(bytes(r.tobytes()), None) for r in x], "x binary, toxic double")
-    model = X.fit_labels(rows, X.LabelModel(np.full(9, 0.8), np.ones(9), 0.3), 3)
-    assert model.weight[1] < model.weight[0] + 1e-9 and (model.right > 0.5).all()
+    rows = spark.createDataFrame([(bytes(r.tobytes()), float(t) if i % 2 else None, 1.0) for i, (r, t) in enumerate(zip(x, y, strict=True))], "x binary, toxic double, n double")
+    model = X.fit_labels(rows, X.LabelModel(np.full(9, 0.8), np.zeros((9, 9)), 0.3), 3)
+    assert model.together[1, 2] > 0.95 and model.together[0, 1] < 0.7 and model.together[1].sum() > model.together[0].sum() + 0.2 and (model.right > 0.5).all()
     assert auc(model.posterior(X.ballots(x, 3))[y], model.posterior(X.ballots(x, 3))[~y]) > 0.9
 
 
 def test_linear():
     rng = np.random.default_rng(1)
     a = rng.normal(size=(500, 2))
-    w = X.fit_linear(a, (a[:, 0] > 0).astype(float))
+    target, one = (a[:, 0] > 0).astype(float), np.ones(500)
+    w = X.fit_linear(lambda w: X.linear_sums(w, a, target, one), 2)
     assert w[0] > 1 and abs(w[1]) < w[0] / 3
+    # At the optimum no weight's slope, penalty included, is left; rows that occur twice count twice.
+    slope = X.linear_sums(w, a, target, one)[:3] - np.array([0.05, 0.05, 1e-6]) * w
+    assert np.abs(slope).max() < 0.1
+    assert np.allclose(X.linear_sums(w, a, target, 2 * one), X.linear_sums(w, np.concatenate([a, a]), np.tile(target, 2), np.ones(1000)))
+
+
+def expectation_maximisation(rows, right, prior, rounds):
+    """Row by row and voter by voter."""
+    v = len(right)
+    first, together = list(right), [[0.0] * v for _ in range(v)]
+    for _ in range(rounds):
+        total = toxic = labelled = 0.0
+        agree, cast = [0.0] * v, [0.0] * v
+        joint = {True: [[0.0] * v for _ in range(v)], False: [[0.0] * v for _ in range(v)]}
+        for votes, label, n in rows:
+            z = math.log(prior / (1 - prior)) + sum(votes[j] * math.log(right[j] / (1 - right[j])) / (1 + sum(together[j])) for j in range(v))
+            if label is not None:
+                z += (1 if label else -1) * math.log(X.ANNOTATOR / (1 - X.ANNOTATOR))
+            p = 1 / (1 + math.exp(-max(-30, min(30, z))))
+            if label is not None:
+                p = min(max(p, X.SOFT), 1 - X.SOFT)
+            c = n * (1.0 if label is not None else X.UNLABELLED)
+            total, toxic, labelled = total + c, toxic + c * p, labelled + n * (label is not None)
+            wrong = [0.0 if votes[j] == 0 else 1 - p if votes[j] > 0 else p for j in range(v)]
+            for j in range(v):
+                if votes[j]:
+                    agree[j] += c * (p if votes[j] > 0 else 1 - p)
+                    cast[j] += c
+                for k in range(v):
+                    joint[False][j][k] += n * wrong[j] * wrong[k]
+                    joint[True][j][k] += (label is not None) * n * wrong[j] * wrong[k]
+        q = joint[labelled >= X.ENOUGH]
+        right = [min(max((agree[j] + 2 * first[j]) / (cast[j] + 2), 0.3), 0.995) for j in range(v)]
+        together = [[0.0 if j == k or min(q[j][j], q[k][k]) < 2 else min(1.0, q[j][k] / math.sqrt(max(q[j][j] * q[k][k], 1e-9))) for k in range(v)] for j in range(v)]
+        prior = min(max((toxic + 1) / (total + 10), 0.005), 0.5)
+    return right, together, prior
+
+
+@pytest.mark.parametrize("share", [0.0, 0.6])
+def test_label_model_by_brute_force(spark, share):
+    rng = np.random.default_rng(3)
+    x = np.zeros((300, 7), np.float32)
+    x[:, :3] = np.log1p(rng.integers(0, 3, (300, 3)) * (rng.random((300, 3)) < 0.3))
+    x[:, 3] = (x[:, :3] > 0).sum(1)
+    x[:, 6] = rng.random(300) < 0.1
+    label = [int(v > 0) if rng.random() < share else None for v in x[:, 0]]
+    n = rng.integers(1, 4, 300).tolist()
+    rows = spark.createDataFrame([(r.tobytes(), None if y is None else float(y), float(k)) for r, y, k in zip(x, label, n, strict=True)], "x binary, toxic double, n double")
+    model = X.fit_labels(rows, X.LabelModel(np.full(9, 0.75), np.zeros((9, 9)), 0.2), 3, rounds=3)
+    right, together, prior = expectation_maximisation(list(zip(X.ballots(x, 3).tolist(), label, n, strict=True)), [0.75] * 9, 0.2, 3)
+    assert np.allclose(model.right, right) and np.allclose(model.together, together) and abs(model.prior - prior) < 1e-9

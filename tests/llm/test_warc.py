@@ -71,3 +71,52 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(W.member(1, "u", b"one", None) + W.member(2, "u", b"one", 1))
     got = W.read_files(spark, str(tmp_path)).orderBy("page_id").collect()
     assert [(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got] == [(1, "response", None, 3), (2, "revisit", 1, 3)]
+
+
+def foreign(kind, headers, block, http=True):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"Content-Length: {len(block)}", *headers]
+    if http:
+        head.append("Content-Type: application/http;msgtype=response")
+    return gzip.compress("\r\n".join([*head, "", ""]).encode() + block + b"\r\n\r\n")
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    body = b"<html>x</html>"
+    sha, hexed = W.base32_sha1(body), __import__("hashlib").sha256(body).hexdigest()
+    urn = "WARC-Record-ID: <urn:uuid:5e1b2f5a-0000-4000-8000-0123456789ab>"
+    data = (
+        foreign("warcinfo", [urn, "Content-Type: application/warc-fields"], b"software: x\r\n", http=False)
+        + foreign("request", [urn, "WARC-Target-URI: http://a/"], b"GET / HTTP/1.1\r\nHost: a\r\n\r\n")
+        + foreign("response", [urn, "WARC-Target-URI: http://a/", f"WARC-Payload-Digest: sha1:{sha}"], b"HTTP/1.1 200 OK\r\nServer: y\r\n\r\n" + body)
+        + foreign("response", [urn, f"WARC-Payload-Digest: sha256:{hexed}", "WARC-Block-Digest: blake3:abc"], b"HTTP/1.1 200 OK\r\nContent-Length: 99\r\n\r\n" + body)
+        + foreign("response", [urn, "WARC-Payload-Digest: sha1:AAAA"], b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n0\r\n\r\n")
+        + foreign("revisit", [urn, "WARC-Refers-To: <urn:uuid:1>"], b"HTTP/1.1 304 Not Modified\r\n\r\n")
+        + foreign("resource", [urn, "WARC-Target-URI: dns:a"], b"1.2.3.4", http=False)
+    )
+    (tmp_path / "b.warc.gz").write_bytes(data)
+    got = W.read_files(spark, str(tmp_path)).collect()
+    assert [r["record_type"] for r in got] == ["warcinfo", "request", "response", "response", "response", "revisit", "resource"]
+    assert bytes(got[2]["payload"]) == bytes(got[3]["payload"]) == body and got[2]["payload_digest"] == sha and got[3]["payload_bytes"] == len(body)
+    assert got[5]["payload"] is None and got[5]["refers_to_id"] == "<urn:uuid:1>" and got[6]["payload_digest"] == W.base32_sha1(b"1.2.3.4")
+    assert all(r["page_id"] is None for r in got)
+
+
+def test_archives_roll_over(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", " ".join(str(hash((i, j))) for j in range(20_000))) for i in range(12)], "page_id long, url string, html string").coalesce(1)
+    want = sorted((r["page_id"], r["payload_bytes"]) for r in W.read(W.written(W.archives(pages), "one")).collect())
+    one = W.archives(pages).select("archive").distinct().count()
+    monkeypatch.setattr(W, "ROLL", W.CHUNK)
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(W)
+    try:
+        rolled = W.written(W.archives(pages), "rolled")
+        assert rolled.select("archive").distinct().count() > one == 1
+        assert sorted((r["page_id"], r["payload_bytes"]) for r in W.read(rolled).collect()) == want
+    finally:
+        cloudpickle.unregister_pickle_by_value(W)
+
+
+def test_members_inflate_in_steps():
+    bomb = W.member(1, "u", b"a" * 5_000_000, None)
+    assert len(bomb) < 20_000 and len(W.record(next(W.members([bomb])))[-1]) == 5_000_000
