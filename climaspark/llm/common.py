@@ -206,33 +206,42 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 1_000
     a checksum comes to the driver. RuntimeError if `rounds` don't suffice.
     """
 
-    def with_least(df: DataFrame, near: DataFrame, size: int) -> DataFrame:
-        """df (u, v) with m, the least v of near at its u, or u itself if that is less."""
+    def with_least(df: DataFrame, near: DataFrame, limit: int | None) -> DataFrame:
+        """df (u, v) with m, the least v of near at its u, or u itself if that is less. limit: from how many neighbours on a node is hot; none is, if None."""
         least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        limit = max(HOT_LEAST, size // HOT)
+        if limit is None:
+            return df.join(least, "u").select("u", "v", "m")
         hot = F.broadcast(least.where(F.col("n") > limit).select("u", "m"))
         cold = df.join(hot.select("u"), "u", "left_anti").join(least.where(F.col("n") <= limit).select("u", "m"), "u")
         return df.join(hot, "u").select("u", "v", "m").unionByName(cold.select("u", "v", "m"))
 
-    def small_star(df: DataFrame, size: int) -> DataFrame:
+    def turned(df: DataFrame) -> DataFrame:
+        return df.unionByName(df.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+    def small_star(df: DataFrame, limit: int | None) -> DataFrame:
         both = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))
-        return with_least(df, df, size).select(F.explode(both).alias("e")).select("e.u", "e.v").where("u != v").distinct()
+        return with_least(df, df, limit).select(F.explode(both).alias("e")).select("e.u", "e.v").where("u != v").distinct()
 
-    def large_star(df: DataFrame, size: int) -> DataFrame:
-        both = df.unionByName(df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        return with_least(both.where("v > u"), both, size).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    def large_star(df: DataFrame, limit: int | None) -> DataFrame:
+        both = turned(df)
+        return with_least(both.where("v > u"), both, limit).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def state(df: DataFrame) -> tuple[tuple, int | None]:
+        """(edges, checksum) and the limit of hot nodes, if there are any."""
+        degrees = turned(df).groupBy("u").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
+        n, total, most = degrees.agg(F.sum("n"), F.sum("s"), F.max("n")).first()
+        limit = max(HOT_LEAST, (n or 0) // 2 // HOT)
+        return (n, total), limit if (most or 0) > limit else None
 
     pairs = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     # Many links of one node to nodes that are linked themselves become one and theirs: the rounds begin with fewer.
-    now = state(pairs)
+    now, limit = state(pairs)
     for i in range(rounds + 1):
-        moved = written(small_star(pairs if i == 0 else large_star(pairs, now[0]), now[0]), "edges")
+        moved = written(small_star(large_star(pairs, limit) if i else pairs, limit), "edges")
         done(pairs)
         # A star's edges all end at nodes that begin none.
-        pairs, before, now = moved, now, state(moved)
+        pairs, before = moved, now
+        now, limit = state(moved)
         if now == before and i:
             break
     else:

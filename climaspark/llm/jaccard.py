@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from .common import U64, bounded, by_size, components, done, give_back, mix, quoted, segment_hashes, shingle_hashes, small_batches, word_hashes, written
 
 WORDS, LIKE = 5, 0.8
-TREES, DEEPEST, RECALL = 10, 9, 0.999
+#: Trees of paths of so many hashes; prefixes are never shortened below SHALLOW hashes, nor where more than FULL texts, or one of
+#: MOST_HOT parts of all paths, would share one.
+TREES, DEEPEST, SHALLOW, RECALL = 18, 5, 3, 0.999
+FULL, MOST_HOT = 2048, 10_000
 #: Within a subtree a text joins its nearest leader if their estimated likeness is the first of these, and that leader is
 #: linked to all others from the second on: of two texts of likeness 0.8 the one's leader is then linked to the other's
 #: (Jaccard distance obeys the triangle: 0.35 and 0.2 make 0.55; the rest is for the estimate's error).
@@ -24,7 +27,7 @@ FEW = 48
 
 
 def depth(trees: int = TREES, deepest: int = DEEPEST, like: float = LIKE, recall: float = RECALL) -> int:
-    """Prefixes are shortened from the deepest until two texts of the given likeness share one in some tree with the target probability."""
+    """The longest prefix that two texts of the given likeness share in some tree with the target probability: longer ones are always shortened to it."""
     k = deepest
     while k > 1 and 1 - (1 - like**k) ** trees < recall:
         k -= 1
@@ -87,16 +90,25 @@ def key_of(text: str | Column) -> Column:
 def candidate_edges(nodes: DataFrame, recall: float = RECALL) -> DataFrame:
     """(a, b) keys: links that connect at least the texts of likeness 0.8, from the forest's subtrees.
 
-    Each tree's paths are sorted, which is its trie; texts under one node at the adaptive depth come one after another, those
-    with longer common prefixes next to each other. The stream through a node holds its leaders only, one-byte minhashes,
-    and gives out a link only where it connects something new: one a text at most.
+    A text's matched prefix in a tree begins at the length that meets the target recall, depth(), and is shortened on, down to
+    SHALLOW hashes, where the subtree that it would then share is small; a large subtree is split by its next hashes. So recall is
+    at least the target anywhere, and higher where the shared prefixes are rare. The large subtrees, MOST_HOT at most, are told by
+    counts and go to the paths by broadcast. Each tree's paths are sorted, which is its trie; texts under one node come one after
+    another, those with longer common prefixes next to each other. The stream through a node holds its leaders only, one-byte
+    minhashes, and gives out a link where a text joins a leader or connects two of them.
     """
-    d = depth(recall=recall)
+    longest = depth(recall=recall)
+    short_ = min(SHALLOW, longest)
     width = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     step = 4 * DEEPEST
     paths = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.cast("byte").alias("tree"), F.substring(F.col("sketch"), t * step + 1, F.lit(step)).alias("path"))))
-    short = F.pandas_udf(lambda s: pd.Series([b[3::4] for b in s], dtype=object), "binary")
-    rows = nodes.select("key", short("sketch").alias("brief"), "sketch").select("key", "brief", paths.alias("at")).select("key", "brief", "at.tree", F.substring("at.path", 1, 4 * d).alias("node"), F.substring("at.path", 4 * d + 1, step).alias("rest"))
+    top = F.substring("at.path", 1, 4 * short_).alias("top")
+    limit = max(FULL, nodes.count() * TREES // MOST_HOT)
+    large = nodes.select(paths.alias("at")).select("at.tree", top).groupBy("tree", "top").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("tree", "top", F.lit(True).alias("large"))
+    brief = F.pandas_udf(lambda s: pd.Series([b[3::4] for b in s], dtype=object), "binary")
+    rows = nodes.select("key", brief("sketch").alias("brief"), "sketch").select("key", "brief", paths.alias("at")).select("key", "brief", "at.tree", top, F.substring("at.path", 4 * short_ + 1, step).alias("rest"))
+    rows = rows.join(F.broadcast(large), ["tree", "top"], "left")
+    rows = rows.select("key", "brief", "tree", F.when(F.col("large"), F.concat("top", F.substring("rest", 1, 4 * (longest - short_)))).otherwise(F.col("top")).alias("node"), "rest")
     rows = rows.repartition(width, "tree", "node").sortWithinPartitions("tree", "node", "rest", "key")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -264,19 +276,23 @@ def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     are, also when they have fewer than five (their one shingle) or none. class_id is the least doc_id of the connected rows,
     n_links the number of other rows linked to the row. Nulls: a null text is empty; null ids come first.
     """
-    rows = written(sketched(docs), "sketches")
+    sketches = written(sketched(docs), "sketches")
+    rows = written(sketches.select("doc_id", "key"), "keys")
     rep = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")
-    nodes = written(rows.groupBy("key").agg(rep, F.count("*").alias("copies"), F.min("sketch").alias("sketch"), F.max("shingles").alias("shingles")).select("key", F.col("first.doc_id").alias("rep"), "copies", "sketch", "shingles"), "nodes")
+    nodes = written(sketches.groupBy("key").agg(rep, F.count("*").alias("copies"), F.min("sketch").alias("sketch"), F.max("shingles").alias("shingles")).select("key", F.col("first.doc_id").alias("rep"), "copies", "sketch", "shingles"), "nodes")
+    done(sketches)
     worded = nodes.where(F.col("key") != F.lit(bytes(16)))
     groups = components(candidate_edges(worded, recall))
     members = groups.join(nodes.select("key", "rep", "copies", "shingles"), F.col("node") == F.col("key"))
     sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     groups = written(members.join(sizes, "root").select("key", "root", "rep", "copies", "blocks"), "groups")
     links = written(verified(docs, groups), "links")
+    done(groups)
     of = components(links.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
     counted = links.groupBy("key").agg(F.sum("links").alias("links"))
     told = nodes.select("key", "rep", "copies").join(counted, "key", "left").join(of.select(F.col("node").alias("key"), "root"), "key", "left")
     told = written(told.select("key", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "key").alias("root")), "told")
+    done(nodes, links)
     first = told.groupBy("root").agg(F.min(F.struct(F.col("rep").isNotNull().alias("known"), "rep", "key")).alias("first"))
     named = told.join(first, "root").select("key", F.col("first.rep").alias("class_id"), F.col("first.key").alias("class_key"), (F.col("links") + F.col("copies") - 1).alias("n_links"), "copies")
     return rows.select("doc_id", "key").join(named, "key").select("doc_id", "key", "class_id", "class_key", "n_links", "copies")

@@ -93,8 +93,35 @@ def test_one_of_each(spark, odd, documents):
 
 def test_depth_reaches_its_recall():
     d = J.depth()
-    assert 1 - (1 - J.LIKE**d) ** J.TREES >= J.RECALL > 1 - (1 - J.LIKE ** (d + 1)) ** J.TREES
-    assert J.depth(recall=0.5) > d
+    assert 1 - (1 - J.LIKE**d) ** J.TREES >= J.RECALL
+    assert J.depth(recall=0.9999999) < d == J.DEEPEST and J.depth(deepest=9) < 9
+
+
+def test_large_nodes_are_split_without_loss(spark, documents, monkeypatch):
+    rows = texts(5, groups=6, size=12)
+    monkeypatch.setattr(J, "FULL", 3)
+    assert got(J.classes(documents(rows))) == expected(rows)
+
+
+def test_recall_of_pairs_at_the_threshold(spark, documents):
+    """Pairs whose likeness lies between 0.8 and 0.85, each alone: linked as the target recall says, the leaders' estimates included."""
+    rng, rows, pairs = random.Random(9), [], 0
+    for g in range(400):
+        base = [f"w{g}x{i}" for i in range(200)]
+        for seed in range(50):
+            t, r = list(base), random.Random(g * 100 + seed)
+            for _ in range(r.choice([3, 4])):
+                t[r.randrange(200)] = f"n{g}y{r.randrange(10**6)}"
+            a, b = shingles(" ".join(base)), shingles(" ".join(t))
+            if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+                break
+        else:
+            continue
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(t))]
+        pairs += 1
+    rng.shuffle(rows)
+    found = sum(r["n_links"] for r in J.classes(documents(rows)).collect()) / 2
+    assert pairs > 300 and found >= 0.995 * pairs
 
 
 def test_words_are_those_of_the_pattern():
