@@ -16,6 +16,8 @@ from .common import bounded, done, give_back, least_hashed, quoted, small_batche
 
 #: At most so many labelled rows, those with the least hashes, tell lexicon entries (the default of fit()'s labelled_rows).
 LABELLED_ROWS = 20_000
+#: The model has at most so many voters from the lexicon, the best (the default of fit()'s entries): their pairs are its correlations.
+ENTRIES = 64
 #: In how many toxic texts a lexicon entry must stand, and how much oftener than in others.
 LEAST_DOCS, LEAST_RATIO = 3, 8.0
 #: Rounds of expectation maximisation, and of Newton's method at most.
@@ -49,7 +51,7 @@ def in_fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1
 
 
-def mined(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> list[tuple[str, int, int]]:
+def mined(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, entries: int = ENTRIES) -> list[tuple[str, int, int]]:
     """Lexicon entries told by the labelled rows outside the held-out fold: (entry, toxic documents, other documents with it), best first."""
     told = labels.where(F.col("toxic").isNotNull() & F.coalesce(in_fold(), F.lit(False))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = least_hashed(told, labelled_rows, "doc_id")
@@ -87,15 +89,17 @@ def mined(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     # So few pass that the driver may have them: each stands in toxic texts of the bounded sample far beyond chance.
     sure = chance >= F.when(F.col("uses") < 2 * p, SURE).otherwise(LIKELY)
     found = sums.where("entry != ''").where((ratio >= LEAST_RATIO) & sure).withColumn("gain", p * F.log(ratio))
-    return chosen([(r["entry"], r["p"], r["n"]) for r in found.orderBy(F.desc("gain"), F.desc(F.length("entry")), "entry").collect()])
+    return chosen([(r["entry"], r["p"], r["n"]) for r in found.orderBy(F.desc("gain"), F.desc(F.length("entry")), "entry").collect()], entries)
 
 
-def chosen(best: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """The entries, best first, without those that a better one implies with the same counts."""
+def chosen(best: list[tuple[str, int, int]], entries: int = ENTRIES) -> list[tuple[str, int, int]]:
+    """So many entries, best first, without those that a better one implies with the same counts."""
     out: list[tuple[str, int, int]] = []
     for entry, p, n in best:
         if not any((e.startswith(entry) or entry.startswith(e) or entry == f"={e}" or e == f"={entry}" or (e[0] == "=" and e[1:].startswith(entry)) or (entry[0] == "=" and entry[1:].startswith(e))) and (p2 >= p and n2 <= n) for e, p2, n2 in out):
             out.append((entry, p, n))
+        if len(out) == entries:
+            break
     return out
 
 
@@ -261,19 +265,19 @@ class Fitted:
         return run(x)
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Fitted:
-    """Mines the lexicon from at most labelled_rows labelled rows, has all texts' votes modelled, and fits the classifier on all posteriors.
+def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, entries: int = ENTRIES) -> Fitted:
+    """Mines at most so many lexicon entries from at most labelled_rows labelled rows, has all texts' votes modelled, and fits the classifier on all posteriors.
 
     Texts are read twice: for the labelled sample and for features. Rows of equal features and label are one row and a number from then on.
     """
-    found = mined(docs, labels, labelled_rows)
-    entries = [e for e, *_ in found] + [f"={w}" for w in SEED if f"={w}" not in {e for e, *_ in found}]
-    fitted, m = Fitted(Lexicon(entries), None, np.zeros(len(entries) + 5), None), len(entries)
+    found = mined(docs, labels, labelled_rows, entries)
+    lexicon = [e for e, *_ in found] + [f"={w}" for w in SEED if f"={w}" not in {e for e, *_ in found}]
+    fitted, m = Fitted(Lexicon(lexicon), None, np.zeros(len(lexicon) + 5), None), len(lexicon)
     told = labels.where(F.col("toxic").isNotNull() & F.coalesce(in_fold(), F.lit(False))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("double").alias("toxic"))
     fitted.table = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fitted.features("text").alias("x")), "features")
     votes = written(fitted.table.join(told, "doc_id", "left").groupBy("x", "toxic").agg(F.count("*").cast("double").alias("n")), "votes")
     counts = {e: (p, n) for e, p, n in found}
-    right = np.array([(counts[e][0] + 2) / (sum(counts[e]) + 4) if e in counts else 0.8 for e in entries] + [0.85, 0.85, 0.8, 0.8, 0.85, 0.85])
+    right = np.array([(counts[e][0] + 2) / (sum(counts[e]) + 4) if e in counts else 0.8 for e in lexicon] + [0.85, 0.85, 0.8, 0.8, 0.85, 0.85])
     v = len(right)
     labels_ = fitted.labels = fit_labels(votes, LabelModel(np.clip(right, 0.55, 0.99), np.zeros((v, v)), 0.1), m)
     d = m + 4
