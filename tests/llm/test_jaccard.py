@@ -163,11 +163,7 @@ def test_any_column_names(spark, documents):
     assert kept.columns == d.columns and all(r["_key"] == r["a.b"] == r["doc_id"] for r in kept.collect()) and kept.count() == len({c for _, c, _ in expected(rows)})
 
 
-def test_components_around_a_hot_node(spark, monkeypatch):
-    from climaspark.llm import common
-
-    monkeypatch.setattr(common, "HOT_LEAST", 5)
-    monkeypatch.setattr(common, "HOT", 50)
+def test_components_around_a_hot_node(spark):
     edges = [(7, i) for i in range(100, 400)] + [(i, i + 1000) for i in range(100, 200)] + [(3, 399), (5000, 5001)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert set(found.values()) == {3, 5000} and sum(v == 3 for v in found.values()) == len(found) - 2
