@@ -197,7 +197,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """Connected components as (node, root), root being the component's smallest node; nodes without an edge don't occur.
 
     Alternating large and small stars: each round moves every edge towards the smallest node of its neighbourhood, with
-    aggregations that combine before the shuffle, and ends when no edge moved. Nothing but a count and a checksum comes
+    aggregations that combine before the shuffle, and ends when only stars are left. Nothing but that answer comes
     to the driver. RuntimeError if so many rounds don't suffice.
     """
     def small_star(df: DataFrame) -> DataFrame:
@@ -210,17 +210,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         return both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
+    def stars(df: DataFrame) -> bool:
+        """Whether every node either begins one edge or only ends some: then a component's edges all end at its smallest node."""
+        ends = df.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("begins")), F.struct(F.col("v").alias("node"), F.lit(0).alias("begins")))).alias("e"))
+        nodes = ends.groupBy("e.node").agg(F.sum("e.begins").alias("begun"), F.min("e.begins").alias("least"))
+        return nodes.where("begun > 1 or begun = 1 and least = 0").isEmpty()
+
     pairs = written(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     # Many links of one node to nodes that are linked themselves become one and theirs: the rounds begin with fewer.
-    pairs, before = written(small_star(pairs), "edges"), None
+    pairs, before = written(small_star(pairs), "edges"), pairs
+    done(before)
     for _ in range(rounds):
-        pairs = written(small_star(large_star(pairs)), "edges")
-        # A star's edges all end at nodes that begin none.
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        if stars(pairs):
             break
-        before = now
+        pairs, before = written(small_star(large_star(pairs)), "edges"), pairs
+        done(before)
     else:
-        raise RuntimeError("the components' rounds don't suffice")
+        if not stars(pairs):
+            raise RuntimeError("the components' rounds don't suffice")
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
