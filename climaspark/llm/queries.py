@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, ann, chat, jaccard, license_scan, lz_fingerprint, mixing, packing, secret_scan, toxicity, warc
+from . import alignment, ann, chat, collocation, jaccard, license_scan, lz_fingerprint, mixing, packing, secret_scan, toxicity, vector_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +61,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copies")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language of all `documents`."""
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All `embeddings`, linked within their labels from a cosine of 0.93 on."""
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents`: tokens of byte_bpe_50k.json and piece_bpe_32k.model, and their links."""
     return alignment.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lz_fingerprints, op2_secret_scan, op3_license_scan, op4_binary_packing, op5_chat_formatting, op6_poisson_mixing, op7_toxicity, op8_warc, op9_nearest_neighbours, op10_jaccard_join, op13_token_alignment, chat_mixed_layouts)}
+QUERIES = {f.__name__: f for f in (op1_lz_fingerprints, op2_secret_scan, op3_license_scan, op4_binary_packing, op5_chat_formatting, op6_poisson_mixing, op7_toxicity, op8_warc, op9_nearest_neighbours, op10_jaccard_join, op11_collocations, op12_vector_dedup, op13_token_alignment, chat_mixed_layouts)}
