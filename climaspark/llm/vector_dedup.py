@@ -171,6 +171,7 @@ def links(nodes: DataFrame, like: float = LIKE, cells: int | None = None) -> Dat
     left = left.select("label", "cell", F.pmod(F.xxhash64("node"), pieces).cast("int").alias("piece"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "node", "copies", "v", "code", "err")
     right = asked.join(sizes, ["label", "cell"])
     right = right.select("label", "cell", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", "copies", "v", "own")
+    right = right.toDF(*right.columns)  # columns of their own, as both sides come from one table
     group = ("label", "cell", "piece", "part")
 
     def run(key: tuple, lists: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
