@@ -43,8 +43,8 @@ class Index:
         r = (q - self.centroids[cell]).reshape(len(q), len(self.books), -1)
         out = np.zeros((len(q), len(codes)), np.float32)
         for p, book in enumerate(self.books):
-            table = ((r[:, p, None, :] - book[None]) ** 2).sum(-1).astype(np.float32)
-            out += table[:, codes[:, p]]
+            table = (r[:, p] ** 2).sum(1)[:, None] + (book**2).sum(1) - 2 * r[:, p] @ book.T
+            out += table.astype(np.float32)[:, codes[:, p]]
         return out
 
 

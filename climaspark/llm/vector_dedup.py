@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,8 +17,8 @@ from .common import components, done, least_hashed, written
 LIKE = 0.93
 #: The index is fitted on at most so many vectors, those whose keys have the least hashes; every vector is indexed.
 FIT_ROWS, PARTS, CODES = 20_000, 16, 256
-#: Cells are about half the root of the vectors, and at most a twentieth of those it is fitted on; a probe looks at so many
-#: nearest centroids for its bound. Neither changes what is found.
+#: Cells are about half the root of the vectors that share a label with one, and at most a twentieth of those that they are fitted on; a
+#: probe looks at so many nearest centroids for its bound. Neither changes what is found.
 FEWEST, WITNESSES = 16, 8
 #: Vectors of a list, and queries, that one group holds at most, about; a larger list is split.
 BLOCK, QUERIES = 4096, 2048
@@ -28,8 +28,18 @@ SLACK = 1e-5
 LINKS = "node binary, links long, other binary"
 
 
+def kind_of(embeddings: DataFrame) -> str:
+    """The numbers that hold the components as they are: floats if the column has floats, else doubles."""
+    return "<f4" if embeddings.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+
+
+def units(blobs: Sequence[bytes], kind: str) -> np.ndarray:
+    return unit(np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1).astype(float))
+
+
 def keyed(embeddings: DataFrame, vectors: bool) -> DataFrame:
     """(vec_id, label, key), and with vectors v, its components' bytes: key tells label and vector, and is null where the row takes no part."""
+    kind = kind_of(embeddings)
     v = F.col("embedding").cast("array<double>")
     good = F.col("label").isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
     good = F.coalesce(good, F.lit(False))
@@ -40,6 +50,7 @@ def keyed(embeddings: DataFrame, vectors: bool) -> DataFrame:
             ids, labels, v = batch.columns
             at = v.offsets.to_numpy().astype(np.int64)
             flat = v.values.to_numpy(zero_copy_only=False) + 0.0  # no negative zero
+            flat = flat.astype(kind)
             raw = [flat[a:b].tobytes() if ok else None for a, b, ok in zip(at[:-1], at[1:], v.is_valid().to_pylist(), strict=True)]
             keys = [None if x is None else hashlib.blake2b(x, digest_size=16, key=hashlib.sha256(t.encode()).digest()).digest() for x, t in zip(raw, labels.to_pylist(), strict=True)]
             columns = [ids, labels, pa.array(keys, pa.binary())] + ([pa.array(raw, pa.binary())] if vectors else [])
@@ -58,10 +69,12 @@ def id_of(node: Column) -> Column:
     return F.when(F.substring(node, 1, 1) == F.lit(b"\x00"), F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63))))
 
 
-def fit(nodes: DataFrame, cells: int | None = None) -> Index:
+def fit(nodes: DataFrame, kind: str, cells: int | None = None) -> Index:
     """Centroids and code books from at most FIT_ROWS of the vectors, those whose keys have the least hashes."""
-    n = nodes.count()
-    x = unit([np.frombuffer(r["v"]) for r in least_hashed(nodes.select("key", "v"), FIT_ROWS, "key").collect()])
+    # Of the labels' sizes only two sums come to the driver.
+    sizes = nodes.groupBy("label").agg(F.count("*").cast("double").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+    n = sizes[1] / sizes[0]
+    x = units([r["v"] for r in least_hashed(nodes.select("key", "v"), FIT_ROWS, "key").collect()], kind)
     x = np.pad(x, ((0, 0), (0, -x.shape[1] % PARTS)))
     centroids = k_means(x, cells or max(1, min(max(round(n**0.5 / 2), FEWEST), len(x) // 20)))
     r = (x - centroids[closest(x, centroids)]).reshape(len(x), PARTS, -1)
@@ -112,7 +125,7 @@ def forest(linked: np.ndarray) -> Iterator[tuple[int, int, bool]]:
                 front.append((i, not is_row))
 
 
-def links_of(index: Index, cell: int, like: float, lists: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+def links_of(index: Index, cell: int, like: float, lists: pd.DataFrame, asked: pd.DataFrame, kind: str = "<f8") -> pd.DataFrame:
     """Links between a list's vectors (node, copies, code, err, v) and queries (node, copies, own, v): counts, copies included, and edges.
 
     A code passes where its table distance from the query is at most the radius and the code's own error, which loses no pair;
@@ -120,7 +133,7 @@ def links_of(index: Index, cell: int, like: float, lists: pd.DataFrame, asked: p
     """
     out: dict[str, list] = {"node": [], "links": [], "other": []}
     if len(lists) and len(asked):
-        v, q = (unit([np.frombuffer(b) for b in part["v"]]) for part in (lists, asked))
+        v, q = (units(list(part["v"]), kind) for part in (lists, asked))
         code = np.frombuffer(b"".join(lists["code"]), np.uint8).reshape(len(lists), -1)
         most = (radius(like) + lists["err"].to_numpy() + SLACK) ** 2 + SLACK
         names, asking = lists["node"].to_numpy(), asked["node"].to_numpy()
@@ -147,14 +160,14 @@ def links_of(index: Index, cell: int, like: float, lists: pd.DataFrame, asked: p
     return pd.DataFrame(out).astype({"links": "int64"})
 
 
-def links(nodes: DataFrame, like: float = LIKE, cells: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, kind: str, like: float = LIKE, cells: int | None = None) -> DataFrame:
     """(node, links, other) of vectors (label, node, key, copies, v) of one length: parts of the counts, and edges."""
-    index = fit(nodes, cells)
+    index = fit(nodes, kind, cells)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                x = index.padded(unit([np.frombuffer(b) for b in pdf["v"]]))
+                x = index.padded(units(list(pdf["v"]), kind))
                 own, wanted = probed(index, x, like)
                 code = index.encode(x, own)
                 r = (x - index.centroids[own]).reshape(len(x), PARTS, -1)
@@ -175,7 +188,7 @@ def links(nodes: DataFrame, like: float = LIKE, cells: int | None = None) -> Dat
     group = ("label", "cell", "piece", "part")
 
     def run(key: tuple, lists: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        return links_of(index, int(key[1]), like, lists, queries)
+        return links_of(index, int(key[1]), like, lists, queries, kind)
 
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(run, LINKS)
 
@@ -193,7 +206,7 @@ def near_duplicates(embeddings: DataFrame, like: float = LIKE, cells: int | None
         raise ValueError("like must be above 0 and at most 1")
     each = keyed(embeddings, True).where("key is not null").groupBy("label", "key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"), F.first("v").alias("v"))
     nodes = written(each.select("label", "key", node_of(F.col("first"), F.col("key")).alias("node"), "copies", F.length("v").alias("width"), "v"), "vectors")
-    found = [written(links(nodes.where(F.col("width") == r["width"]), like, cells), "links") for r in nodes.select("width").distinct().orderBy("width").collect()]
+    found = [written(links(nodes.where(F.col("width") == r["width"]), kind_of(embeddings), like, cells), "links") for r in nodes.select("width").distinct().orderBy("width").collect()]
     told = nodes.select("key", "node", (F.col("copies") - 1).alias("links"))
     if found:
         every = found[0]
