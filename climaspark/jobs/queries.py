@@ -332,7 +332,7 @@ def t_sen_slope(spark, sf):
     return T.sen_slope(V.series(spark, sf))
 
 
-# --- T4, T5 (and T6 without its p-value, which has no SQL)
+# --- T4, T5
 @query("t_sen_trend", "series", sql=f"""+ long as (select series as k, year as x, value as y from series), {SEN_SQL},
  sorted as (select k, s, row_number() over (partition by k order by s) as i, count(*) over (partition by k) as m from pairs),
  n as (select k, count(*) as n, min(x) as a, max(x) as b from long where y is not null group by k),
@@ -344,7 +344,22 @@ def t_sen_trend(spark, sf):
     return T.sen_trend(V.series(spark, sf)).select("series", "n", "start", "end", "slope_per_decade", "ci95_low", "ci95_high")
 
 
-@query("t_mann_kendall")
+# --- T6: the exact distribution of S by the counts of permutations, each from the one before; the normal tail by its series
+KENDALL = """kendall as (with recursive d as (select 1 as n, [1.0::double] as p union all select n + 1, list_transform(range(0, len(p) + n), lambda i: list_sum(p[greatest(i - n, 0) + 1 : least(i, len(p) - 1) + 1]) / (n + 1)) from d where n < 33) select * from d),
+ told as (select k, sum(g) as s from pairs group by k),
+ sized as (select k, count(*) as n from long where y is not null group by k),
+ tied as (select k, sum(c * (c - 1) * (2 * c + 5)) as t from (select k, y, count(*) as c from long where y is not null group by k, y having count(*) > 1) group by k),
+ stat as (select z.k, z.n, s, t is not null as ties, (z.n * (z.n - 1.0) * (2 * z.n + 5) - coalesce(t, 0)) / 18 as v, z.n * (z.n - 1) // 2 as m, least(cast(round((z.n * (z.n - 1) // 2 - s) / 2) as bigint), z.n * (z.n - 1) // 2 - cast(round((z.n * (z.n - 1) // 2 - s) / 2) as bigint)) as c, abs(s) / sqrt((z.n * (z.n - 1.0) * (2 * z.n + 5) - coalesce(t, 0)) / 9) as x
+  from sized z left join told using (k) left join tied using (k)),
+ p as (select stat.k, stat.n, case when stat.n < 2 or v <= 0 then null
+  when not ties and stat.n <= 33 then case when 2 * c = m then 1 else least(1, 2 * list_sum(d.p[1 : c + 1])) end
+  when not ties and c <= 1 then 2 * (case when c = 0 then 1 else stat.n end) * exp(-lgamma(stat.n + 1))
+  when x = 0 then 1 when x > 6 then 0
+  else 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 200), lambda i: exp(2 * i * ln(2) + lgamma(i + 1) + (2 * i + 1) * ln(x) - lgamma(2 * i + 2)))) end as p
+  from stat left join kendall d on d.n = stat.n)"""
+
+
+@query("t_mann_kendall", "series", sql=f"+ long as (select series as k, year as x, value as y from series), {SEN_SQL}, {KENDALL} select k as series, n, {r('p', 'p_value')}, p < 0.05 as significant from p")
 def t_mann_kendall(spark, sf):
     return T.sen_trend(V.series(spark, sf)).select("series", "n", "p_value", "significant")
 
@@ -379,7 +394,20 @@ def t_linear_trend(spark, sf):
     return out.select("series", "n", "start", "end", "slope_per_decade", "r_squared", "total_change", (F.col("ci95_per_decade") / t_critical(F.col("n") - 2)).alias("stderr"))
 
 
-@query("t_linear_trend_p")
+def STUDENT(t: str, df: str) -> str:
+    """P(|T| < t) for whole degrees of freedom: finite sums of powers of a cosine, one for odd and one for even ones."""
+    angle = f"atan({t} / sqrt({df}))"
+    odd = f"list_sum(list_transform(range(0, ({df} - 1) // 2), lambda i: exp(2 * i * ln(2) + 2 * lgamma(i + 1) - lgamma(2 * i + 2) + (2 * i + 1) * ln(cos({angle})))))"
+    even = f"list_sum(list_transform(range(0, {df} // 2), lambda i: exp(lgamma(2 * i + 1) - 2 * i * ln(2) - 2 * lgamma(i + 1) + 2 * i * ln(cos({angle})))))"
+    return f"(case when {df} % 2 = 1 then 2 / pi() * ({angle} + sin({angle}) * coalesce({odd}, 0)) else sin({angle}) * {even} end)"
+
+
+# --- T1: the t distribution in closed form, its quantile by bisection
+@query("t_linear_trend_p", "series", sql=f"""+ o as ({OLS.format(where='value is not null')}),
+ e as (select series, n, m, n - 2 as df, sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2) / sxx) as err from o where n >= 3),
+ q as (with recursive b as (select df, 0.0e0 as lo, 20.0e0 as hi, 0 as i from (select distinct df from e) union all
+  select df, case when a < 0.95 then (lo + hi) / 2 else lo end, case when a < 0.95 then hi else (lo + hi) / 2 end, i + 1 from (select *, {STUDENT('((lo + hi) / 2)', 'df')} as a from b where i < 60)) select df, lo as t from b where i = 60)
+ select o.series, {r('t * err * 10', 'ci95_per_decade')}, {r(f"case when err > 0 then 1 - {STUDENT('abs(e.m / err)', 'e.df')} when e.m = 0 then 1 when e.m is not null then 0 end", 'p_value')} from o left join e on e.series = o.series left join q on q.df = e.df""")
 def t_linear_trend_p(spark, sf):
     return T.linear_trend(V.series(spark, sf)).select("series", "ci95_per_decade", "p_value")
 
@@ -739,9 +767,9 @@ def _height(spark, sf):
     return V.raster(spark, sf).agg(F.max("row")).first()[0] + 1
 
 
-def _places(spark, sf):
+def _places(spark, sf, h):
     n = F.col("name")
-    return V.points(spark, sf).select("name", (n * 37 % _height(spark, sf) + n % 10 * 0.1 + 0.03).alias("r"), (n % 64 + n % 7 * 0.14).alias("c"))
+    return V.points(spark, sf).select("name", (n * 37 % h + n % 10 * 0.1 + 0.03).alias("r"), (n % 64 + n % 7 * 0.14).alias("c"))
 
 
 # --- G10: places projected onto a grid as high as the raster, over 1200 km
@@ -757,13 +785,15 @@ def g_elevations_at(spark, sf):
 # --- G7
 @query("g_bilinear", "points", "raster", sql=f"+ {PLACES}, {BILINEAR} select p.name, {r('e', 'elevation')} from places p left join (select name, sum(w * elevation) / sum(w) as e from near join raster using (row, col) group by name) x using (name)")
 def g_bilinear(spark, sf):
-    return R.bilinear(_places(spark, sf), V.raster(spark, sf), ("name",), _height(spark, sf), 64)
+    h = _height(spark, sf)
+    return R.bilinear(_places(spark, sf, h), V.raster(spark, sf), ("name",), h, 64)
 
 
 # --- J15
 @query("j_mask_lookup", "points", "raster", sql=f"+ {PLACES} select p.name, coalesce(inside, false) as inside from (select * from places, h) p left join raster on row = greatest(0, least(h - 1, cast(trunc(r) as int))) and col = greatest(0, least(63, cast(trunc(c) as int)))")
 def j_mask_lookup(spark, sf):
-    return R.masked_at(_places(spark, sf), V.raster(spark, sf), geo.Grid(0, 0, 1, 64, _height(spark, sf)), ("name",))
+    h = _height(spark, sf)
+    return R.masked_at(_places(spark, sf, h), V.raster(spark, sf), geo.Grid(0, 0, 1, 64, h), ("name",))
 
 
 LINES = f"{HIGH}, lines as (select name, 1000.0e0 + name % 17 * 100 as x0, 1000.0e0 * (name * 37 % h) + 500 as y0, 60000.0e0 as x1, 1000.0e0 * ((name * 37 + 170 + name % 13) % h) + 300 as y1 from points, h)"
@@ -773,27 +803,26 @@ PROFILE = f"""pts as (select name, i, x0 + i / 80.0e0 * (x1 - x0) as x, y0 + i /
  from (select name, i, distance_km, greatest(0, least(r - 0.5e0, h - 1.001e0)) as r, greatest(0, least(c - 0.5e0, 62.999e0)) as c from pix, h), (values (0, 0), (0, 1), (1, 0), (1, 1)) as o(di, dj)) p join raster using (row, col) group by p.name, p.i)"""
 
 
-def _lines(spark, sf):
-    n, h = F.col("name"), _height(spark, sf)
+def _lines(spark, sf, h):
+    n = F.col("name")
     return V.points(spark, sf).select("name", (1000.0 + n % 17 * 100).alias("x0"), (1000.0 * (n * 37 % h) + 500).alias("y0"), F.lit(60000.0).alias("x1"), (1000.0 * ((n * 37 + 170 + n % 13) % h) + 300).alias("y1"))
 
 
-def _profile(spark, sf):
-    h = _height(spark, sf)
-    return R.profile(_lines(spark, sf), V.raster(spark, sf), geo.Grid(0.0, h * 1000.0, 1000.0, 64, h), 81)
+def _profile(spark, sf, h):
+    return R.profile(_lines(spark, sf, h), V.raster(spark, sf), geo.Grid(0.0, h * 1000.0, 1000.0, 64, h), 81)
 
 
 # --- G8
 @query("g_profile", "points", "raster", sql=f"+ {LINES}, {PROFILE} select name, cast(i as int) as i, {r('distance_km', 'distance_km')}, {r('elevation', 'elevation')} from pr")
 def g_profile(spark, sf):
-    return _profile(spark, sf).drop("inside")
+    return _profile(spark, sf, _height(spark, sf)).drop("inside")
 
 
 MARKS = "marks as (select l.name, m as mark, ((30000 + m * 1000 - x0) * (x1 - x0) + ((y1 - y0) / 2 + (m - 2) * 20000) * (y1 - y0)) / sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) / 1000 as spot from lines l, (select unnest(range(5)) as m))"
 
 
-def _marks(spark, sf):
-    lines = _lines(spark, sf)
+def _marks(spark, sf, h):
+    lines = _lines(spark, sf, h)
     m = F.col("mark")
     marks = lines.select("name", "y0", "y1", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))).alias("mark"))
     marks = marks.select("name", "mark", (30000 + m * 1000).cast("double").alias("x"), (F.col("y0") + ((F.col("y1") - F.col("y0")) / 2 + (m - 2) * 20000)).alias("y"))
@@ -803,13 +832,14 @@ def _marks(spark, sf):
 # --- G9
 @query("g_along_line", "points", "raster", sql=f"+ {LINES}, {MARKS} select name, mark, {r('spot', 'distance_km')} from marks")
 def g_along_line(spark, sf):
-    return _marks(spark, sf)
+    return _marks(spark, sf, _height(spark, sf))
 
 
 # --- J14
 @query("j_near_marks", "points", "raster", sql=f"+ {LINES}, {PROFILE}, {MARKS} select m.name, mark, {r('max(elevation)', 'highest')} from marks m join pr on pr.name = m.name and abs(pr.distance_km - m.spot) < 20 group by m.name, mark")
 def j_near_marks(spark, sf):
-    return R.near_marks(_profile(spark, sf), _marks(spark, sf))
+    h = _height(spark, sf)
+    return R.near_marks(_profile(spark, sf, h), _marks(spark, sf, h))
 
 
 # --- W13: the low beyond 0.7 of the line, the rim strictly within 60 km ahead of it, the plateau inside before 0.7
@@ -820,7 +850,7 @@ def j_near_marks(spark, sf):
  flat as (select name, median(height) filter (inside and distance_km < far * 0.7e0) as plateau from e group by name)
  select flat.name, {r('low_km', 'low_km')}, {r('low', 'low')}, {r('rim_km', 'rim_km')}, {r('rim', 'rim')}, {r('rim - low', '"drop"')}, {r('low_km - rim_km', 'apart_km')}, {r('plateau', 'plateau')} from flat left join east on east.name = flat.name left join rim on rim.name = flat.name""")
 def w_profile_features(spark, sf):
-    return R.profile_features(_profile(spark, sf))
+    return R.profile_features(_profile(spark, sf, _height(spark, sf)))
 
 
 # --- S8: shapes through GeoJSON text
@@ -933,6 +963,32 @@ def j_point_in_polygon_join(spark, sf):
     return R.inside_by_join(V.points(spark, sf), edges, ("name",), "lon", "lat").select("name", "inside")
 
 
+# --- J10: a triangle about each place on the raster's own grid; a cell is inside if an odd number of them covers it
+TRIANGLES = f"""{PLACES}, corners as (select name, [c - 3.3e0, c + 4.2e0, c + 0.7e0, c - 3.3e0] as xs, [h - r - 2.1e0, h - r - 1.3e0, h - r + 3.6e0, h - r - 2.1e0] as ys, r, h from places, h),
+ sides as (select name, xs[i] as x0, ys[i] as y0, xs[i + 1] as x1, ys[i + 1] as y1, r, h from corners, (select unnest(range(1, 4)) as i)),
+ hits as (select name, row, col from (select name, x0, y0, x1, y1, cast(floor(r) as bigint) + k as row, h - (cast(floor(r) as bigint) + k + 0.5e0) as y from sides, (select unnest(range(-5, 5)) as k)) e, (select unnest(range(64)) as col) c
+  where (y0 > y) <> (y1 > y) and col + 0.5e0 < x0 + (y - y0) * (x1 - x0) / (y1 - y0))"""
+
+
+def _triangles(spark, sf, h):
+    r, c = F.col("r"), F.col("c")
+    xs, ys = (c - 3.3, c + 4.2, c + 0.7), (h - r - 2.1, h - r - 1.3, h - r + 3.6)
+    sides = F.array(*(F.struct(xs[i].alias("x0"), ys[i].alias("y0"), xs[(i + 1) % 3].alias("x1"), ys[(i + 1) % 3].alias("y1")) for i in range(3)))
+    return _places(spark, sf, h).select("name", F.explode(sides).alias("s")).select("name", "s.*")
+
+
+@query("j_scanline_mask", "points", "raster", sql=f"+ {TRIANGLES} select row, col, coalesce(n % 2 = 1, false) as inside from (select row, col from raster) left join (select row, col, count(*) as n from hits group by row, col) using (row, col)")
+def j_scanline_mask(spark, sf):
+    h = _height(spark, sf)
+    return R.mask(V.raster(spark, sf).select("row", "col"), _triangles(spark, sf, h), geo.Grid(0.0, float(h), 1.0, 64, h))
+
+
+@query("a_shape_areas", "points", "raster", sql=f"+ {TRIANGLES} select name, count(*) as cells, {r('count(*) * 1e-6', 'area_km2')} from (select name, row, col from hits, h where row >= 0 and row < h group by name, row, col having count(*) % 2 = 1) group by name")
+def a_shape_areas(spark, sf):
+    h = _height(spark, sf)
+    return R.areas(_triangles(spark, sf, h), geo.Grid(0.0, float(h), 1.0, 64, h))
+
+
 # --- A18
 @query("a_cell_weights", "monthly", sql=f"""+ {EDGES}, sub as (select lat, lon, lon + ((i + 0.5e0) / 10 - 0.5e0) * 0.25e0 as x, lat + ((j + 0.5e0) / 10 - 0.5e0) * 0.25e0 as y, i, j from (select distinct lat, lon from monthly), (select unnest(range(10)) as i), (select unnest(range(10)) as j)),
  hit as (select lat, lon, i, j, count(*) as n from sub, edges where (y0 > y) <> (y1 > y) and x < x0 + (y - y0) * (x1 - x0) / (y1 - y0) group by all)
@@ -992,8 +1048,3 @@ def w_despike_twice(spark, sf):
 @query("w_inside_runs", "raster", sql="""select row as line, min(col) as "start", max(col) as "end", cast(count(*) as int) as length from (select *, sum(case when elevation > 1200 then 0 else 1 end) over (partition by row order by col rows unbounded preceding) as run from raster) where elevation > 1200 group by row, run having count(*) >= 2""")
 def w_inside_runs(spark, sf):
     return D.spells(V.raster(spark, sf).withColumnRenamed("row", "line"), F.col("elevation") > 1200, 2, ("line",), "col")
-
-
-# Names from when the queries took a part of their tables: they take all now, and are the same.
-for _name in ("g_tile_ranges", "g_cells_in_box", "j_in_view", "s_geojson", "a_bounding_boxes", "g_profile", "g_along_line", "j_near_marks", "w_profile_features", "j_nearest_fill"):
-    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]

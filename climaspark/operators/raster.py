@@ -12,6 +12,11 @@ from pyspark.sql.window import Window
 
 from ..functions.classes import band_of
 from ..functions.geo import EqualArea, Grid, tile_x, tile_y
+from . import tiles
+from .nearest import filled
+from .scanlines import areas, cell_weights, inside, mask
+
+__all__ = ["areas", "cell_weights", "filled", "inside", "mask"]  # of the modules beside this one
 
 # Edges of the elevation bands in metres.
 BAND_EDGES = (300.0, 600.0, 900.0, 1000.0, 1100.0, 1200.0, 1300.0, 1400.0, 1600.0, 2400.0)
@@ -64,39 +69,8 @@ def cells_of(spark: SparkSession, grid: Grid) -> DataFrame:
     return spark.range(grid.height).select(F.col("id").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(grid.width - 1))).alias("col")).select("row", "col", x.alias("x"), y.alias("y"))
 
 
-def inside(points: DataFrame, edges: DataFrame, x: str = "x", y: str = "y", name: str = "inside", most_edges: int = 200_000) -> DataFrame:
-    """points with `name`, whether they lie in the shape by the even-odd rule, so that holes are out.
-
-    edges is (x0, y0, x1, y1), which goes to every task as numpy arrays, by strips of y, so that a point meets the edges of its
-    strip only. A shape of more than most_edges edges raises, and belongs in inside_by_join(), where its size doesn't matter.
-    """
-    got = edges.select("x0", "y0", "x1", "y1").limit(most_edges + 1).collect()
-    if len(got) > most_edges:
-        raise ValueError("too many edges to send to every task: use inside_by_join")
-    x0, y0, x1, y1 = (np.array([r[i] for r in got], float) for i in range(4))
-    low, high = (np.minimum(y0, y1), np.maximum(y0, y1))
-    cuts = np.unique(np.quantile(low, np.linspace(0, 1, 1 + min(512, 1 + len(low) // 16)))) if len(low) else np.zeros(1)
-    of_strip = [np.flatnonzero((high >= a) & (low < b)) for a, b in zip(cuts, np.append(cuts[1:], np.inf), strict=True)]
-
-    def run(px: pd.Series, py: pd.Series) -> pd.Series:
-        a, b = px.to_numpy(float), py.to_numpy(float)
-        odd = np.zeros(len(a), bool)
-        strip = np.searchsorted(cuts, b, "right") - 1
-        for s in np.unique(strip[strip >= 0]):
-            here = np.flatnonzero(strip == s)
-            for i in range(0, len(of_strip[s]), 512):
-                e = of_strip[s][i : i + 512]
-                crosses = (y0[e] > b[here, None]) != (y1[e] > b[here, None])
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    at = x0[e] + (b[here, None] - y0[e]) * (x1[e] - x0[e]) / (y1[e] - y0[e])
-                odd[here] ^= (crosses & (a[here, None] < at)).sum(1) % 2 == 1
-        return pd.Series(odd)
-
-    return points.withColumn(name, F.pandas_udf(run, "boolean")(F.col(x).cast("double"), F.col(y).cast("double")))
-
-
 def inside_by_join(points: DataFrame, edges: DataFrame, keys: tuple[str, ...], x: str = "x", y: str = "y", name: str = "inside", strip: float | None = None) -> DataFrame:
-    """The same by a join of points and edges on strips of y, counting crossings; for shapes of any number of edges.
+    """inside() by a join of points and edges on strips of y, counting crossings; for shapes of any number of edges.
 
     A strip is as high as an edge is on average, in whatever unit, so that the edges become about twice as many rows; or `strip`.
     """
@@ -117,33 +91,14 @@ def edges_of(points: DataFrame, keys: tuple[str, ...] = ("name", "part", "ring")
     return points.select(*keys, F.col("x").alias("x0"), F.col("y").alias("y0"), F.coalesce(F.lead("x").over(w), F.first("x").over(whole)).alias("x1"), F.coalesce(F.lead("y").over(w), F.first("y").over(whole)).alias("y1"))
 
 
-def cell_weights(cells: DataFrame, edges: DataFrame, resolution: float, supersample: int = 10) -> DataFrame:
-    """(lat, lon, w): the share of each cell's sub-points inside the shape, by the cosine of latitude."""
-    n = supersample
-    off = F.explode(F.array(*(F.lit((k + 0.5) / n - 0.5) for k in range(n))))
-    points = cells.select("lat", "lon", off.alias("_a")).select("lat", "lon", "_a", off.alias("_b")).select("lat", "lon", (F.col("lon") + F.col("_a") * resolution).alias("x"), (F.col("lat") + F.col("_b") * resolution).alias("y"))
-    return inside(points, edges).groupBy("lat", "lon").agg((F.avg(F.col("inside").cast("double")) * F.cos(F.radians(F.first("lat")))).alias("w"))
-
-
 def bilinear(points: DataFrame, raster: DataFrame, keys: tuple[str, ...], height: int, width: int, value: str = "elevation", clamp: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """points (keys, r, c as fractional places) with the raster's value between the four nearest centres.
 
     Places are clamped to the centres' range (`clamp`), or else null beyond the grid; missing neighbours are left out and
-    the weights of the others rescaled. Each point becomes four narrow rows that meet the raster by an equi-join. `by` are those
-    of the keys that the raster has too, if it is many fields.
+    the weights of the others rescaled. Points meet tiles of the raster, see tiles.sampled(). `by` are those of the keys that the
+    raster has too, if it is many fields.
     """
-    r, c = F.col("r") - 0.5, F.col("c") - 0.5
-    if clamp:
-        r, c = F.greatest(F.lit(0.0), F.least(r, F.lit(height - 1.001))), F.greatest(F.lit(0.0), F.least(c, F.lit(width - 1.001)))
-    rows = points.select(*keys, r.alias("_r"), c.alias("_c"), ((F.col("r") >= 0) & (F.col("r") <= height) & (F.col("c") >= 0) & (F.col("c") <= width)).alias("_in"))
-    if not clamp:
-        rows = rows.where("_in")
-    rows = rows.withColumn("_i", F.floor("_r").cast("int")).withColumn("_j", F.floor("_c").cast("int"))
-    fr, fc = F.col("_r") - F.col("_i"), F.col("_c") - F.col("_j")
-    four = F.explode(F.array(*(F.struct((F.col("_i") + di).alias("row"), (F.col("_j") + dj).alias("col"), ((fr if di else 1 - fr) * (fc if dj else 1 - fc)).alias("w")) for di in (0, 1) for dj in (0, 1))))
-    near = rows.select(*keys, four.alias("_n")).select(*keys, "_n.*").join(raster.select(*by, "row", "col", F.col(value).alias("_v")), [*by, "row", "col"])
-    sampled = near.groupBy(*keys).agg(F.try_divide(F.sum(F.col("w") * F.col("_v")), F.sum(F.when(F.col("_v").isNotNull(), F.col("w")))).alias(value))
-    return points.select(*keys).join(sampled, [*keys], "left")
+    return tiles.sampled(points.select(*keys, "r", "c"), tiles.tiled(raster, (value,), by), height, width, value, clamp, by).select(*keys, value)
 
 
 def elevations_at(places: DataFrame, raster: DataFrame, grid: Grid, projection: EqualArea) -> DataFrame:
@@ -163,12 +118,11 @@ def profile_points(lines: DataFrame, samples: int) -> DataFrame:
 
 def profile(lines: DataFrame, raster: DataFrame, grid: Grid, samples: int) -> DataFrame:
     """(name, i, distance_km, elevation) along the lines, and `inside`, the mask of the cell a sample falls in, if the raster has one."""
-    points = profile_points(lines, samples)
     r, c = grid.pixel("x", "y")
-    keys = ("name", "i")
-    placed = points.select(*keys, r.alias("r"), c.alias("c"))
-    out = points.join(bilinear(placed, raster, keys, grid.height, grid.width), [*keys]).select("name", "i", "distance_km", "elevation")
-    return out.join(masked_at(placed, raster, grid, keys), [*keys]) if "inside" in raster.columns else out
+    placed = profile_points(lines, samples).select("name", "i", "distance_km", r.alias("r"), c.alias("c"))
+    mask = "inside" if "inside" in raster.columns else None
+    met = tiles.sampled(placed, tiles.tiled(raster, ("elevation", *([mask] if mask else []))), grid.height, grid.width, mask=mask)
+    return met.select("name", "i", "distance_km", "elevation", *([mask] if mask else []))
 
 
 def along_line(points: DataFrame, lines: DataFrame) -> DataFrame:
@@ -292,42 +246,6 @@ def mosaic_to_grid(mosaic: DataFrame, zoom: int, grid: Grid, projection: EqualAr
     return out.select(F.col("i").alias("row"), F.col("j").alias("col"), F.coalesce("elevation", F.lit(0.0)).alias("elevation"))
 
 
-def filled(raster: DataFrame, value: str = "elevation", reach: int = 8) -> DataFrame:
-    """The raster with missing values from the nearest valid cell, ties to the first in row-major order.
-
-    Rings widen by fours: missing cells meet the valid ones of neighbouring squares of side `reach`, and only those whose
-    nearest lies within reach for certain are settled; the others go on with four times the reach, until none is left. Complete
-    rasters come back as they are; only a raster without any valid cell keeps its nulls.
-    """
-    done = raster.where(F.col(value).isNotNull()).select("row", "col", value)
-    left = raster.where(F.col(value).isNull()).select("row", "col")
-    out, r = done, reach
-    # Kept for the rounds: otherwise each would compute all before it once more.
-    border = _bordering(done, left).persist()
-    if border.limit(1).count() == 0:
-        return out.unionByName(left.withColumn(value, F.lit(None).cast(raster.schema[value].dataType)))
-    while True:
-        square = [F.floor(F.col(c) / r).cast("int") for c in ("row", "col")]
-        v = border.select(F.col("row").alias("_vr"), F.col("col").alias("_vc"), F.col(value).alias("_v"), square[0].alias("_a"), square[1].alias("_b"))
-        around = F.explode(F.array(*(F.struct((square[0] + i).alias("_a"), (square[1] + j).alias("_b")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-        pairs = left.select("row", "col", around.alias("_s")).select("row", "col", "_s.*").join(v, ["_a", "_b"])
-        dr, dc = ((F.col(a) - F.col(b)).cast("bigint") for a, b in (("row", "_vr"), ("col", "_vc")))
-        d2 = dr * dr + dc * dc
-        near = pairs.groupBy("row", "col").agg(F.min_by("_v", F.struct(d2, "_vr", "_vc")).alias(value), F.min(d2).alias("_d"))
-        settled = near.where(F.col("_d") <= r * r).select("row", "col", value)
-        out = out.unionByName(settled)
-        left = left.join(settled, ["row", "col"], "left_anti").persist()
-        if left.limit(1).count() == 0:
-            return out
-        r *= 4
-
-
-def _bordering(valid: DataFrame, missing: DataFrame) -> DataFrame:
-    """Valid cells with a missing neighbour: one of them is nearest to any missing cell of a raster without absent cells."""
-    around = F.explode(F.array(*(F.struct((F.col("row") + i).alias("row"), (F.col("col") + j).alias("col")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    return valid.join(missing.select(around.alias("_s")).select("_s.*").distinct(), ["row", "col"], "left_semi")
-
-
 TILE = 256
 
 

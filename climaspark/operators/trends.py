@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import calendar as cal
 from ..functions.distributions import kendall_p_value, t_critical, t_p_value
+from ..functions.pairs import Slopes, concordance
 
 KEY = ("series",)
 
@@ -102,10 +103,7 @@ def _sen(values: pd.DataFrame, z: float = 1.959963984540054) -> tuple:
     n = len(x)
     if n < 2:
         return n, int(x[0]) if n else None, int(x[-1]) if n else None, None, None, None, None, None, None
-    i, j = np.triu_indices(n, 1)
-    later = x[j] > x[i]
-    slopes = np.sort((y[j] - y[i])[later] / (x[j] - x[i])[later])
-    s = float(np.sign((y[j] - y[i])[later]).sum())
+    slopes, s = Slopes(x, y), float(concordance(x, y))
 
     def tied(a: np.ndarray) -> np.ndarray:
         c = np.unique(a, return_counts=True)[1].astype(float)
@@ -116,19 +114,20 @@ def _sen(values: pd.DataFrame, z: float = 1.959963984540054) -> tuple:
     v0 = (m * (2 * n + 5) - (ty * (ty - 1) * (2 * ty + 5)).sum() - (tx * (tx - 1) * (2 * tx + 5)).sum()) / 18
     v1 = (tx * (tx - 1)).sum() * (ty * (ty - 1)).sum() / (2 * m)
     v2 = (tx * (tx - 1) * (tx - 2)).sum() * (ty * (ty - 1) * (ty - 2)).sum() / (9 * m * max(n - 2, 1))
-    low = high = None
-    if len(slopes):
+    middle = low = high = None
+    if slopes.n:
         reach = z * np.sqrt(max(interval, 0.0))
-        low = slopes[max(int(np.round((len(slopes) - reach) / 2)) - 1, 0)]
-        high = slopes[min(int(np.round((len(slopes) + reach) / 2)), len(slopes) - 1)]
-    return n, int(x[0]), int(x[-1]), float(np.median(slopes)) if len(slopes) else None, low, high, s, float(v0 + v1 + v2), bool(len(ty) or len(tx))
+        middle = slopes.median()
+        low = slopes[max(int(np.round((slopes.n - reach) / 2)) - 1, 0)]
+        high = slopes[min(int(np.round((slopes.n + reach) / 2)), slopes.n - 1)]
+    return n, int(x[0]), int(x[-1]), middle, low, high, s, float(v0 + v1 + v2), bool(len(ty) or len(tx))
 
 
 def sen_stats(rows: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
     """(keys, SEN): a row a series with a value.
 
-    All pairs of a series' years are needed together; a series is one small group (n years make n squared / 2 numbers in
-    numpy), and the scale is the number of series, which Spark partitions.
+    A series is a group of its years, of any number: S counts inversions and the slopes are selected, in O(n log n) and without
+    the n squared / 2 pairs. The scale is the number of series, which Spark partitions.
     """
     used = rows.where(F.col("value").isNotNull()).select(*keys, "year", F.col("value").cast("double").alias("value"))
     schema = ", ".join(f"{k} {used.schema[k].dataType.simpleString()}" for k in keys) + ", " + SEN

@@ -131,8 +131,7 @@ def test_polygon_with_a_hole(spark):
     want = {r["k"]: 0 < r["x"] < 10 and 0 < r["y"] < 10 and not (4 < r["x"] < 6 and 4 < r["y"] < 6) for r in pts.collect()}
     assert {r["k"]: r["inside"] for r in R.inside(pts, edges).collect()} == want
     assert {r["k"]: r["inside"] for r in R.inside_by_join(pts, edges, ("k",)).collect()} == want
-    with pytest.raises(ValueError, match="edges"):
-        R.inside(pts, edges, most_edges=3)
+    assert {r["k"]: r["inside"] for r in R.inside(pts, edges, strip=0.7).collect()} == want
     boxes = {r["name"]: r["west"] for r in R.bounding_boxes(shape).collect()}
     assert boxes == {"s": 0.0, "e": None} and R.in_view(R.bounding_boxes(shape), (9, 9, 20, 20)).count() == 1
 
@@ -148,7 +147,7 @@ def test_fill_from_the_nearest(spark):
     a = rng.normal(0, 1, (24, 30))
     a[rng.random(a.shape) < 0.5] = np.nan
     a[3:20, 5:25] = np.nan
-    got = array(R.filled(frame(spark, a), reach=2), 24, 30)
+    got = array(R.filled(frame(spark, a), strip=7), 24, 30)
     valid = np.argwhere(~np.isnan(a))
     for i, j in np.argwhere(np.isnan(a)):
         d = ((valid - (i, j)) ** 2).sum(1)

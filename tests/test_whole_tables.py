@@ -17,13 +17,13 @@ def test_a_far_valid_cell_fills_the_whole_raster(spark):
     cells = pd.DataFrame({"row": np.arange(rows, dtype="int32"), "col": np.int32(0), "elevation": np.nan})
     cells.loc[0, "elevation"] = 7.0
     raster = spark.createDataFrame(cells).selectExpr("row", "col", "nullif(elevation, double('NaN')) as elevation")
-    got = R.filled(raster, reach=512).toPandas()
+    got = R.filled(raster).toPandas()
     assert len(got) == rows and (got["elevation"] == 7.0).all()
 
 
 def test_a_far_cell_beyond_the_range_of_int_squares(spark):
     raster = spark.createDataFrame([(0, 0, 5.0), (1, 0, None), (70_000, 0, None)], "row int, col int, elevation double")
-    assert {r["elevation"] for r in R.filled(raster, reach=60_000).collect()} == {5.0}
+    assert {r["elevation"] for r in R.filled(raster).collect()} == {5.0}
 
 
 def test_a_raster_without_valid_cells_keeps_its_nulls(spark):
