@@ -79,22 +79,60 @@ def test_label_model_discounts_copies_of_a_voter(spark):
         x[:, j] = np.where(rng.random(n) < right, y, rng.random(n) < 0.1)
     x[:, 2] = x[:, 1]
     x[:, 3] = (x[:, :3] > 0).sum(1)
-    rows = spark.createDataFrame([(bytes(r.tobytes()), float(t) if i % 2 else None, 1.0) for i, (r, t) in enumerate(zip(x, y, strict=True))], "x binary, toxic double, n double")
+    rows = spark.createDataFrame([(X.packed(r), float(t) if i % 2 else None, 1.0) for i, (r, t) in enumerate(zip(x, y, strict=True))], "x binary, toxic double, n double")
     model = X.fit_labels(rows, X.LabelModel(np.full(9, 0.8), np.zeros((9, 9)), 0.3), 3)
     assert model.together[1, 2] > 0.95 and model.together[0, 1] < 0.7 and model.together[1].sum() > model.together[0].sum() + 0.2 and (model.right > 0.5).all()
-    assert auc(model.posterior(X.ballots(x, 3))[y], model.posterior(X.ballots(x, 3))[~y]) > 0.9
+    p = model.posterior(X.ballots(sparse(x), 3))
+    assert auc(p[y], p[~y]) > 0.9
 
 
 def test_linear():
     rng = np.random.default_rng(1)
     a = rng.normal(size=(500, 2))
     target, one = (a[:, 0] > 0).astype(float), np.ones(500)
-    w = X.fit_linear(lambda w: X.linear_sums(w, a, target, one), 2)
+    sums = lambda w, x=a, t=target, n=one: whole(X.linear_sums(w, sparse(x), t, n), 3 + 9)
+    w = X.fit_linear(sums, 2)
     assert w[0] > 1 and abs(w[1]) < w[0] / 3
     # At the optimum no weight's slope, penalty included, is left; rows that occur twice count twice.
-    slope = X.linear_sums(w, a, target, one)[:3] - np.array([0.05, 0.05, 1e-6]) * w
+    slope = sums(w)[:3] - np.array([0.05, 0.05, 1e-6]) * w
     assert np.abs(slope).max() < 0.1
-    assert np.allclose(X.linear_sums(w, a, target, 2 * one), X.linear_sums(w, np.concatenate([a, a]), np.tile(target, 2), np.ones(1000)))
+    assert np.allclose(sums(w, a, target, 2 * one), sums(w, np.concatenate([a, a]), np.tile(target, 2), np.ones(1000)))
+
+
+def sparse(x):
+    return X.Sparse.of([X.packed(r) for r in x])
+
+
+def whole(parts, size):
+    out = np.zeros(size)
+    np.add.at(out, parts[0], parts[1])
+    return out
+
+
+@pytest.mark.parametrize("pairs", [3, 2_000_000])
+def test_sums_of_few_numbers_a_row_are_those_of_all(monkeypatch, pairs):
+    """Products of a row's columns, gradient and curvature against whole matrices."""
+    monkeypatch.setattr(X, "PAIRS", pairs)
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(70, 9)) * (rng.random((70, 9)) < 0.3)).astype(np.float32)
+    x[4] = 0
+    n, target, w = rng.integers(1, 5, 70).astype(float), rng.random(70), rng.normal(size=10)
+    assert np.allclose(whole(sparse(x).squares(n, 9), 81).reshape(9, 9), (x * n[:, None]).T @ x)
+    a = np.concatenate([x, np.ones((70, 1))], axis=1).astype(float)
+    p = 1 / (1 + np.exp(-a @ w))
+    want = np.concatenate([a.T @ (n * (target - p)), ((a * (n * p * (1 - p))[:, None]).T @ a).ravel()])
+    assert np.allclose(whole(X.linear_sums(w, sparse(x), target, n), 110), want)
+    assert np.allclose(sparse(x).dot(w[:9]), x @ w[:9]) and np.allclose(sparse(x).column(3), x[:, 3])
+    assert X.Sparse.of([]).squares(np.empty(0), 3)[0].size == 0
+
+
+def votes_of(x, m):
+    """Votes by the definitions, a row and voter at a time."""
+    out = []
+    for r in x.tolist():
+        entries, rate, shouts, marks = r[m:]
+        out.append([int(v > 0) for v in r[:m]] + [int(entries >= 2), int(rate >= np.float32(math.log1p(1))), int(shouts > 0 and entries > 0), int(marks > 0 and entries > 0), -int(entries == 0), -int(entries == 0 and marks == 0 and shouts == 0)])
+    return out
 
 
 def expectation_maximisation(rows, right, prior, rounds):
@@ -138,7 +176,7 @@ def test_label_model_by_brute_force(spark, share):
     x[:, 6] = rng.random(300) < 0.1
     label = [int(v > 0) if rng.random() < share else None for v in x[:, 0]]
     n = rng.integers(1, 4, 300).tolist()
-    rows = spark.createDataFrame([(r.tobytes(), None if y is None else float(y), float(k)) for r, y, k in zip(x, label, n, strict=True)], "x binary, toxic double, n double")
+    rows = spark.createDataFrame([(X.packed(r), None if y is None else float(y), float(k)) for r, y, k in zip(x, label, n, strict=True)], "x binary, toxic double, n double")
     model = X.fit_labels(rows, X.LabelModel(np.full(9, 0.75), np.zeros((9, 9)), 0.2), 3, rounds=3)
-    right, together, prior = expectation_maximisation(list(zip(X.ballots(x, 3).tolist(), label, n, strict=True)), [0.75] * 9, 0.2, 3)
+    right, together, prior = expectation_maximisation(list(zip(votes_of(x, 3), label, n, strict=True)), [0.75] * 9, 0.2, 3)
     assert np.allclose(model.right, right) and np.allclose(model.together, together) and abs(model.prior - prior) < 1e-9
