@@ -19,6 +19,7 @@ from ..operators import grid as G
 from ..operators import raster as R
 from ..operators import trends as T
 from ..sources import sinks, tables
+from ..sources import tiles as tile_files
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -858,8 +859,8 @@ def w_profile_features(spark, sf):
 def s_geojson(spark, sf):
     path = sinks.shared_folder(spark, "shapes")
     coordinates = F.col("geometry")[0]
-    feature = F.struct(F.struct(F.col("name").cast("string").alias("name")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"))
-    # A feature collection for each hundred shapes, as services split large layers.
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("name").cast("string").alias("name")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), coordinates.alias("coordinates")).alias("geometry"))
+    # A feature collection for each thousand shapes, as services split large layers.
     layers = _shapes(spark, sf).groupBy(F.floor(F.col("name") / 1000).alias("layer")).agg(F.collect_list(feature).alias("features"))
     layers.select("layer", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).write.partitionBy("layer").text(path)
     return R.vertices(tables.shapes(spark, f"{path}/layer=*")).select("name", "part", "ring", "i", "x", "y")
@@ -946,6 +947,22 @@ def s_mosaic_grid(spark, sf):
     return R.mosaic_to_grid(mosaic, 8, geo.Grid(-30_000.0, float(NORTH), 2000.0, 30, math.ceil(_height(spark, sf) * 0.3) + 10), _P)
 
 
+# --- S7: the raster as tile files of 256 x 256 pixels, of which those of its upper half are read again; pixels of 0 m are no cells
+@query("s_tile_files", "raster", sql=f"""+ {HIGH}, m as (select {ROW0} + row as row, {COL0} + col as col, floor((elevation + 32768) * 256) / 256.0e0 - 32768 as v, h from raster, h)
+ select cast(row as int) as row, cast(col as int) as col, {r('v', 'elevation')} from m where row // 256 <= ({ROW0} + h // 2) // 256 and v <> 0""")
+def s_tile_files(spark, sf):
+    h, zoom = _height(spark, sf), 8
+    root = sinks.shared_folder(spark, "tiles")
+    tile_files.write_tiles(V.raster(spark, sf).select((F.col("row") + ROW0).alias("row"), (F.col("col") + COL0).alias("col"), "elevation"), root, zoom)
+    side = 256 * 2**zoom
+
+    def lat(row: float) -> float:
+        return math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * row / side))))
+
+    box = ((COL0 + 0.5) / side * 360 - 180, lat(ROW0 + h // 2 + 0.5), (COL0 + 63.5) / side * 360 - 180, lat(ROW0 + 0.5))
+    return tile_files.elevations(spark, root, zoom, box).where("elevation != 0")
+
+
 TRIANGLE = [(22.5, -17.0, 33.0, -16.0), (33.0, -16.0, 27.0, -9.0), (27.0, -9.0, 22.5, -17.0), (26.0, -14.0, 28.0, -14.0), (28.0, -14.0, 27.0, -12.0), (27.0, -12.0, 26.0, -14.0)]
 EDGES = f"edges as (select * from (values {', '.join(map(str, TRIANGLE))}) as t(x0, y0, x1, y1))"
 

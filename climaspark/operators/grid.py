@@ -165,18 +165,40 @@ def area_above(field: DataFrame, weights: DataFrame, value: str, limit: float, b
     return rows.groupBy(*by).agg((F.try_divide(F.sum(F.when(x > limit, w).otherwise(F.when(x.isNotNull(), 0.0))), F.sum(F.when(x.isNotNull(), w))) * 100).alias("share_above"), (F.min(F.when(w > 0, x)) > limit).alias("everywhere"))
 
 
-def in_districts(cells: DataFrame, districts: DataFrame, step: float = 1.0) -> DataFrame:
-    """cells with the district(s) whose box (south, north, west, east) they lie in, edges included.
+#: Sides of the squares that boxes are covered by, as powers of two degrees.
+SMALLEST, LARGEST = -6, 9
 
-    An equi-join on squares of `step` degrees with the exact test after it: neither side need be small.
+
+def codes_of(districts: DataFrame) -> DataFrame:
+    """districts with (_ka, _kb, _a, _b): rectangles of two to the power _ka by _kb degrees, numbered, that cover each box (south, north, west, east).
+
+    A side is at least half the box's, so that a box is nine rows at most (more only beyond LARGEST), whether it is a field or the world.
+    Boxes without an inside, or with nulls, have no rows.
     """
-    def along(low: str, high: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.col(low) / step), F.floor(F.col(high) / step)))
+    def level(low: str, high: str) -> Column:
+        return F.greatest(F.lit(SMALLEST), F.least(F.lit(LARGEST), F.ceil(F.log2(F.greatest((F.col(high) - F.col(low)) / 2, F.lit(2.0**SMALLEST)))).cast("int")))
+
+    def along(low: str, high: str, k: str) -> Column:
+        side = F.pow(F.lit(2.0), F.col(k))
+        return F.explode(F.sequence(F.floor(F.col(low) / side), F.floor(F.col(high) / side)))
+
+    boxes = districts.where("south <= north and west <= east").withColumns({"_ka": level("south", "north"), "_kb": level("west", "east")})
+    return boxes.withColumn("_a", along("south", "north", "_ka")).withColumn("_b", along("west", "east", "_kb"))
 
-    boxes = districts.withColumn("_a", along("south", "north")).withColumn("_b", along("west", "east"))
-    rows = cells.withColumn("_a", F.floor(F.col("lat") / step)).withColumn("_b", F.floor(F.col("lon") / step))
+
+def in_districts(cells: DataFrame, districts: DataFrame) -> DataFrame:
+    """cells with the district(s) whose box (south, north, west, east) they lie in, edges included; a stream of cells too.
+
+    Boxes are a few rectangles each, of a size that goes with theirs; a cell meets the one that it lies in of every size in use, and the
+    exact test follows. The sizes in use, some of 16 by 16, come to the driver. Neither side need be small.
+    """
+    boxes = codes_of(districts)
+    sizes = sorted((r["_ka"], r["_kb"]) for r in boxes.select("_ka", "_kb").distinct().collect())
+    own = F.array(*(F.struct(F.lit(a).alias("_ka"), F.lit(b).alias("_kb"), F.floor(F.col("lat") / 2.0**a).alias("_a"), F.floor(F.col("lon") / 2.0**b).alias("_b")) for a, b in sizes))
+    own = own if sizes else F.array().cast("array<struct<_ka:int,_kb:int,_a:bigint,_b:bigint>>")
+    rows = cells.withColumn("_code", F.explode(own)).select(*(F.col(c) for c in cells.columns), "_code.*")
     box = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
-    return rows.join(boxes, ["_a", "_b"]).where(box).drop("_a", "_b", "south", "north", "west", "east")
+    return rows.join(boxes, ["_ka", "_kb", "_a", "_b"]).where(box).drop("_ka", "_kb", "_a", "_b", "south", "north", "west", "east")
 
 
 def area_daily(cells: DataFrame, districts: DataFrame, values: tuple[str, ...] = ("tmax", "tmin", "prcp")) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -160,31 +160,62 @@ def masked_at(points: DataFrame, raster: DataFrame, grid: Grid, keys: tuple[str,
     return points.withColumn("row", row).withColumn("col", col).join(raster.select("row", "col", "inside"), ["row", "col"], "left").select(*keys, F.coalesce("inside", F.lit(False)).alias("inside"))
 
 
-def median_of(cells: DataFrame, value: str = "elevation") -> DataFrame:
-    """One row (median): the exact median, without all values in one task.
+def ordered(value: Column) -> Column:
+    """Doubles as whole numbers in the same order: their bits, those of negative ones turned over. Not a number and null are null."""
 
-    Cells are counted by whole units of value first; only those of the one or two units in the middle are then counted by
-    value. The windows are over these counts, a row a metre of relief and a row a value of a metre.
-    """
-    unit = F.floor(value).alias("_unit")
-    units = cells.groupBy(unit).agg(F.count("*").alias("_n"))
-    placed = units.select("_unit", "_n", (F.sum("_n").over(Window.orderBy("_unit")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_all"))
-    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
-    middle = placed.where((F.col("_before") <= high) & (F.col("_before") + F.col("_n") > low)).select("_unit", "_before", "_all")
-    # Two rows at most.
-    values = cells.select(unit, F.col(value).alias("_v")).join(F.broadcast(middle), "_unit").groupBy("_v").agg(F.count("*").alias("_n"), F.first("_all").alias("_all"), F.first("_before").alias("_before"))
-    before = F.min("_before").over(Window.partitionBy(F.lit(0))) + F.sum("_n").over(Window.orderBy("_v")) - F.col("_n")
-    values = values.select("_v", "_n", "_all", before.alias("_at"))
+    @F.pandas_udf("long")
+    def run(v: pd.Series) -> pd.Series:
+        x = v.to_numpy(float, na_value=np.nan) + 0.0  # no negative zero
+        bits = x.view(np.int64)
+        return pd.Series(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits)).astype("Int64").mask(np.isnan(x))
+
+    return run(value.cast("double"))
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_at") <= rank) & (F.col("_at") + F.col("_n") > rank), F.col("_v")))
 
-    return values.agg(((at(low) + at(high)) / 2).alias("median"))
+def selected(cells: DataFrame, places: Sequence[int] | Callable[[int], Sequence[int]], value: str = "elevation", digit: int = 16) -> list[float]:
+    """The values at some places, from 0, in ascending order: radix selection over the bits of doubles. `places` may be told by the number of values.
+
+    Each of 64 / digit rounds counts the rows that a place can still be among by their next digit, and tells the digit; so many
+    counts come to the driver a round, whatever the rows, and no row is sorted or dealt out. Not a number and null count for
+    none. IndexError beyond the rows.
+    """
+    keys = cells.select(ordered(F.col(value)).alias("_k")).where("_k is not null")
+    at = None if callable(places) else [(0, int(p)) for p in places]  # what is known of the key from the top, and the place among those that share it
+    for shift in range(64 - digit, -1, -digit):
+        # The topmost bit is a sign: turned over, keys are in order as unsigned numbers.
+        unsigned = F.col("_k").bitwiseXOR(F.lit(-(2**63)))
+        top, mine = F.shiftrightunsigned(unsigned, shift), F.lit((1 << digit) - 1)
+        rows = keys if shift == 64 - digit else keys.where(F.shiftrightunsigned(unsigned, shift + digit).isin(sorted({k for k, _ in at})))
+        above = F.lit(0) if shift == 64 - digit else F.shiftrightunsigned(unsigned, shift + digit)
+        counts: dict[int, list[tuple[int, int]]] = {}
+        for r in rows.groupBy(above.alias("above"), top.bitwiseAND(mine).alias("digit")).count().collect():
+            counts.setdefault(r["above"], []).append((r["digit"], r["count"]))
+        if at is None:
+            at = [(0, p) for p in places(sum(n for _, n in counts.get(0, [])))]
+        found = []
+        for above_, place in at:
+            for d, n in sorted(counts.get(above_, [])):
+                if place < n:
+                    found.append(((above_ << digit) | d, place))
+                    break
+                place -= n
+            else:
+                raise IndexError("there are not so many rows")
+        at = found
+    signed = np.array([k for k, _ in at], np.uint64) ^ np.uint64(1 << 63)
+    bits = signed.view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits).view(float).tolist()
+
+
+def median_of(cells: DataFrame, value: str = "elevation") -> float | None:
+    """The exact median, by selected(); null without values."""
+    found = selected(cells, lambda n: ((n - 1) // 2, n // 2) if n else (), value)
+    return sum(found) / 2 if found else None
 
 
 def elevation_stats(raster: DataFrame, cell_km2: float, grid: Grid | None = None, projection: EqualArea | None = None) -> DataFrame:
     """One row: area, extremes and the first cell in row-major order that has them, mean, median, and shares above 1000 and 1200 and
-    below 600 m; with a grid and its projection the extremes' places in degrees too."""
+    below 600 m; with a grid and its projection the extremes' places in degrees too. The median is computed at once, in four counting jobs."""
     e = F.col("elevation")
     cells = raster.where(F.col("inside") & e.isNotNull())
     at = F.struct("row", "col")
@@ -197,9 +228,8 @@ def elevation_stats(raster: DataFrame, cell_km2: float, grid: Grid | None = None
     if grid is not None and projection is not None:
         for name, cell in (("min", "_a"), ("max", "_b")):
             places += [c.alias(f"{name}_{at}") for c, at in zip(projection.inverse(*grid.xy(F.col(f"{cell}.row") + 0.5, F.col(f"{cell}.col") + 0.5)), ("lon", "lat"), strict=True)]
-    one = F.lit(1).alias("_one")
-    told = told.select(one, "*").join(median_of(cells).select(one, "median"), "_one")
-    return told.select("area_km2", "min_m", "max_m", "mean_m", F.col("median").alias("median_m"), F.col("_a.row").alias("min_row"), F.col("_a.col").alias("min_col"), F.col("_b.row").alias("max_row"), F.col("_b.col").alias("max_col"), "above_1000_pct", "above_1200_pct", "below_600_pct", *places)
+    median = F.lit(median_of(cells)).cast("double")
+    return told.select("area_km2", "min_m", "max_m", "mean_m", median.alias("median_m"), F.col("_a.row").alias("min_row"), F.col("_a.col").alias("min_col"), F.col("_b.row").alias("max_row"), F.col("_b.col").alias("max_col"), "above_1000_pct", "above_1200_pct", "below_600_pct", *places)
 
 
 def area_by_band(raster: DataFrame, edges: tuple[float, ...] = BAND_EDGES) -> DataFrame:
@@ -249,6 +279,23 @@ def mosaic_to_grid(mosaic: DataFrame, zoom: int, grid: Grid, projection: EqualAr
 TILE = 256
 
 
+def sliding_median(a: np.ndarray, n: int) -> np.ndarray:
+    """The median of the n x n window about each place, n odd, the array's edge repeated beyond it; not a number counts for none.
+
+    Full windows need one selection each, of the value in the middle; only those with missing values are sorted.
+    """
+    windows = np.lib.stride_tricks.sliding_window_view(np.pad(a, n // 2, mode="edge"), (n, n)).reshape(-1, n * n)
+    out = np.partition(windows, n * n // 2, axis=1)[:, n * n // 2]
+    missing = np.isnan(windows)
+    if missing.any():
+        holes = np.flatnonzero(missing.any(axis=1))
+        some = np.sort(windows[holes], axis=1)
+        counts = n * n - missing[holes].sum(1)
+        row, at = np.arange(len(some)), np.maximum(counts, 1)
+        out[holes] = np.where(counts > 0, (some[row, (at - 1) // 2] + some[row, at // 2]) / 2, np.nan)
+    return out.reshape(a.shape)
+
+
 def despike(raster: DataFrame, height: int, width: int, floor: float = 40.0, k: float = 4.0, size: int = 5, tile: int = TILE) -> DataFrame:
     """(row, col, elevation): a value farther from its neighbourhood's median than `floor` and than k times the local spread becomes the median.
 
@@ -265,20 +312,15 @@ def despike(raster: DataFrame, height: int, width: int, floor: float = 40.0, k:
     rows = raster.select("row", "col", F.col("elevation").cast("double").alias("elevation"))
     rows = rows.withColumn("tr", F.explode(around("row", tiles_r))).withColumn("tc", F.explode(around("col", tiles_c)))
 
-    def median(a: np.ndarray, n: int) -> np.ndarray:
-        padded = np.pad(a, n // 2, mode="edge")
-        with np.errstate(all="ignore"):
-            return np.nanmedian(np.lib.stride_tricks.sliding_window_view(padded, (n, n)).reshape(*a.shape, n * n), axis=-1)
-
     def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
         tr, tc = key
         r0, c0 = max(tr * tile - halo, 0), max(tc * tile - halo, 0)
         r1, c1 = min((tr + 1) * tile + halo, height), min((tc + 1) * tile + halo, width)
         a = np.full((r1 - r0, c1 - c0), np.nan)
         a[cells["row"] - r0, cells["col"] - c0] = cells["elevation"].to_numpy(float, na_value=np.nan)
-        middle = median(a, size)
+        middle = sliding_median(a, size)
         away = np.abs(a - middle)
-        spread = median(away, size + 2)
+        spread = sliding_median(away, size + 2)
         out = np.where(away > np.maximum(floor, k * spread), middle, a)
         own = cells[(cells["row"] // tile == tr) & (cells["col"] // tile == tc)]
         return pd.DataFrame({"row": own["row"], "col": own["col"], "elevation": out[own["row"] - r0, own["col"] - c0]})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import number
+from . import geojson
 
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 ANOMALY_COLUMNS = (*MONTHS, "jd", "dn", "djf", "mam", "jja", "son")
@@ -44,12 +45,10 @@ def daily_table(spark: SparkSession, path: str, start: str | None = None, end: s
     return rows.select(*(number(c).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes))
 
 
-def shapes(spark: SparkSession, path: str, name: str = "name") -> DataFrame:
-    """(name, geometry) of a GeoJSON feature collection's polygons and multipolygons, all as multipolygons; others are null."""
-    ring = "array<array<array<double>>>"
-    feature = f"struct<properties:struct<`{name}`:string>,geometry:struct<type:string,coordinates:string>>"
-    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"struct<features:array<{feature}>>")["features"]).alias("f"))
-    return raw.select(F.col("f.properties").getField(name).alias("name"), multipolygon(F.col("f.geometry.type"), F.col("f.geometry.coordinates"), ring).alias("geometry"))
+def shapes(spark: SparkSession, path: str | list[str], name: str = "name") -> DataFrame:
+    """(name, geometry) of GeoJSON feature collections' polygons and multipolygons, all as multipolygons; others are null. A large file is read in many tasks."""
+    rows = geojson.features(spark, path, f"`{name}`:string")
+    return rows.select(F.col("properties").getField(name).alias("name"), multipolygon(F.col("kind"), F.col("coordinates")).alias("geometry"))
 
 
 def multipolygon(kind: Column, coordinates: Column, ring: str = "array<array<array<double>>>") -> Column:

@@ -1,6 +1,7 @@
 import math
 from datetime import date, datetime
 
+import numpy as np
 import pytest
 
 from climaspark.operators import grid as G
@@ -93,3 +94,18 @@ def test_area_daily_in_batch_and_stream(spark, tmp_path):
 def test_weights_follow_latitude(spark):
     got = G.cosine_weights(monthly(spark, 2000, 2000, lats=(0.0, 60.0), lons=(1.0,))).orderBy("lat").collect()
     assert got[0]["w"] == 1 and got[1]["w"] == pytest.approx(math.cos(math.radians(60)))
+
+
+def test_boxes_of_any_size(spark):
+    """Fields, strips, points, the world: few rectangles each, and the cells of every box as by comparing all."""
+    rng = np.random.default_rng(0)
+    boxes = [("world", -90.0, 90.0, -180.0, 180.0), ("strip", -10.0, -9.99, -180.0, 180.0), ("point", 5.0, 5.0, 5.0, 5.0), ("turned", 5.0, 4.0, 0.0, 1.0), ("null", None, 1.0, 0.0, 1.0)]
+    boxes += [(f"b{i}", float(a), float(a + h), float(o), float(o + w)) for i, (a, o, h, w) in enumerate(zip(rng.uniform(-80, 70, 40), rng.uniform(-170, 150, 40), 10 ** rng.uniform(-3, 1.5, 40), 10 ** rng.uniform(-3, 1.5, 40), strict=True))]
+    districts = spark.createDataFrame(boxes, "district string, south double, north double, west double, east double")
+    cells = [(i, float(a), float(o)) for i, (a, o) in enumerate(zip(rng.uniform(-90, 90, 300), rng.uniform(-180, 180, 300), strict=True))] + [(300, 5.0, 5.0), (301, -10.0, 180.0), (302, None, 1.0)]
+    d = spark.createDataFrame(cells, "i int, lat double, lon double")
+    want = {(i, n) for i, a, o in cells for n, s, e, w, x in boxes if a is not None and s is not None and s <= a <= e and w <= o <= x}
+    got = [(r["i"], r["district"]) for r in G.in_districts(d, districts).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert max(r["count"] for r in G.codes_of(districts).groupBy("district").count().collect()) <= 9
+    assert G.in_districts(d, districts.where("false")).count() == 0
