@@ -616,6 +616,13 @@ def a_shortfall_share(spark, sf):
     return G.shortfall_share(_anomalies(spark, sf).select("region", "month", F.col("precip").alias("anomaly")), short, 2.0)
 
 
+# --- A24, of the catalogue's seasons only
+@query("a_shortfall_catalogue", "monthly", sql=f"""+ {GRID}, {ANOM}, {EVENTS} select cast(tab.season as int) as season, tab.region, month, {r('precip / (rain_mm - normal_mm)', 'share')} from anom join tab on tab.region = anom.region and tab.season = year(month) - case when month(month) < 10 then 1 else 0 end where rain_mm - normal_mm < -2 and tab.season in (select season from events_)""")
+def a_shortfall_catalogue(spark, sf):
+    short = _table(spark, sf).select("season", "region", (F.col("rain_mm") - F.col("normal_mm")).alias("anomaly_mm"))
+    return G.shortfall_share(_anomalies(spark, sf).select("region", "month", F.col("precip").alias("anomaly")), short, 2.0, _events(spark))
+
+
 SOUTH_PCT, NORTH_PCT = (r(f"avg(rain_pct) filter (region = '{half}')", f"{half}_pct") for half in ("south", "north"))
 
 

@@ -47,19 +47,43 @@ def exceedance(daily: DataFrame, thresholds: DataFrame, value: str, above: bool
     return joined.withColumn(name, F.coalesce(beyond, F.lit(False))).drop("doy", "threshold")
 
 
-def spells(rows: DataFrame, flag: str | Column, min_length: int = 1, keys: tuple[str, ...] = KEY, order: str = "date", peak: str | None = None) -> DataFrame:
+#: Days, or steps of a whole number, that a block of a series spans at most.
+BLOCK = 512
+
+
+def block_of(rows: DataFrame, order: str, size: int = BLOCK) -> Column:
+    """The block of the order column that a row lies in; one block for what is neither a date, a time nor a number."""
+    kind = rows.schema[order].dataType.typeName()
+    at = F.unix_date(F.to_date(order)) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(order) if kind in ("byte", "short", "integer", "long", "float", "double") else None
+    return F.lit(0).cast("long") if at is None else F.floor(at / size)
+
+
+def spells(rows: DataFrame, flag: str | Column, min_length: int = 1, keys: tuple[str, ...] = KEY, order: str = "date", peak: str | None = None, block: int = BLOCK) -> DataFrame:
     """Runs of consecutive true rows: (keys, start, end, length[, peak]), `peak` being the largest of that column within the run.
 
-    One sort: a run is told by the number of false rows before it.
+    Runs are found within blocks of each series, where a run is told by the number of false rows before it, and those that touch a
+    block's ends are joined: of a series only these, two a block at most, meet in one task. Rows without a place in the order come
+    first. Where rows lie together by keys already, neither step deals them out again.
     """
     keys = tuple(keys)
     flag = F.coalesce(F.col(flag) if isinstance(flag, str) else flag, F.lit(False))
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.withColumn("_f", flag).withColumn("_run", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(w)).where("_f")
-    parts = [F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").cast("int").alias("length")]
+    own = Window.partitionBy(*keys, "_block")
+    marked = rows.withColumn("_f", flag).withColumn("_block", block_of(rows, order, block))
+    false = F.sum(F.when(F.col("_f"), 0).otherwise(1))
+    marked = marked.withColumn("_run", false.over(own.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_last", false.over(own))
+    held = F.col("_f")
+    parts = [F.min(F.when(held, F.col(order))).alias("start"), F.max(F.when(held, F.col(order))).alias("end"), F.count_if(held).alias("length"), F.max(F.col("_run") == F.col("_last")).alias("_tail")]
     if peak:
-        parts.append(F.max(peak).alias("peak"))
-    return run.groupBy(*keys, "_run").agg(*parts).where(F.col("length") >= min_length).drop("_run")
+        parts.append(F.max(F.when(held, F.col(peak))).alias("peak"))
+    # A block's last run is kept also if it is empty: nothing goes on from there.
+    pieces = marked.groupBy(*keys, "_block", "_run").agg(*parts).where((F.col("length") > 0) | F.col("_tail"))
+    edge = F.col("_tail") | (F.col("_run") == 0)
+    pieces = pieces.withColumn("_edge", edge).withColumn("_of", F.when(edge, F.lit(None).cast("long")).otherwise(F.col("_block")))
+    line = Window.partitionBy(*keys, "_edge", "_of").orderBy("_block", "_run")
+    goes_on = F.col("_edge") & (F.col("_run") == 0) & (F.col("length") > 0) & F.lag(F.col("_tail") & (F.col("length") > 0), 1, False).over(line)
+    pieces = pieces.withColumn("_new", F.sum(F.when(goes_on, 0).otherwise(1)).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = [F.min("start").alias("start"), F.max("end").alias("end"), F.sum("length").cast("int").alias("length")] + ([F.max("peak").alias("peak")] if peak else [])
+    return pieces.groupBy(*keys, "_edge", "_of", "_new").agg(*whole).where((F.col("length") > 0) & (F.col("length") >= min_length)).drop("_edge", "_of", "_new")
 
 
 def heatwaves(daily: DataFrame, thresholds: DataFrame, min_length: int = 3, keys: tuple[str, ...] = KEY) -> DataFrame:

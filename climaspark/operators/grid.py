@@ -130,9 +130,11 @@ def month_totals(means: DataFrame) -> DataFrame:
     return means.withColumn("precip", F.col("precip") * cal.days_in_month("month"))
 
 
-def shortfall_share(anomalies: DataFrame, season_rain: DataFrame, least: float = 100.0) -> DataFrame:
-    """(season, region, month, share): a month's anomaly over its season's, for seasons short by more than `least` mm."""
+def shortfall_share(anomalies: DataFrame, season_rain: DataFrame, least: float = 100.0, seasons: DataFrame | None = None) -> DataFrame:
+    """(season, region, month, share): a month's anomaly over its season's, for seasons short by more than `least` mm; only for those of a catalogue, if one is given."""
     short = season_rain.where(F.col("anomaly_mm") < -least).select("season", "region", "anomaly_mm")
+    if seasons is not None:
+        short = short.join(seasons.select("season").distinct(), "season", "left_semi")
     rows = anomalies.withColumn("season", cal.season_of("month", cal.RAIN_SEASON_START))
     return rows.join(short, ["season", "region"]).select("season", "region", "month", F.try_divide("anomaly", "anomaly_mm").alias("share"))
 

@@ -166,3 +166,40 @@ def test_empty_tables(spark, empty):
     d = spark.createDataFrame([], SCHEMA)
     assert D.annual_heat_indices(d, (1990, 2000)).count() == 0 and D.seasonal_rain_indices(d, (1990, 2000)).count() == 0
     assert D.spells(d, is_dry("prcp")).count() == 0
+
+
+def test_spells_across_blocks_are_those_of_the_whole(spark):
+    """Any cut: runs within, over and along whole blocks, gaps in the order, blocks without a true row."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(6):
+        share = (0.1, 0.5, 0.9, 0.98, 0.0, 1.0)[k]
+        at = -37
+        for _ in range(160):
+            at += rng.choice([1, 1, 1, 1, 2, 30 if k % 2 else 1])
+            rows.append((k, at, rng.choice([None, False]) if rng.random() >= share else True, float(rng.randrange(50))))
+    d = spark.createDataFrame(rows, "location int, at int, flag boolean, v double")
+    want = []
+    for k in range(6):
+        run = []
+        for _, at, flag, v in [r for r in rows if r[0] == k] + [(k, 10**6, False, 0.0)]:
+            if flag:
+                run.append((at, v))
+            elif run:
+                want.append((k, run[0][0], run[-1][0], len(run), max(x for _, x in run)))
+                run = []
+    dated = d.withColumn("date", F.date_from_unix_date("at"))
+    for block in (1, 3, 7, 40, 5000):
+        assert sorted(tuple(r) for r in D.spells(d, "flag", 1, order="at", peak="v", block=block).collect()) == sorted(want)
+        got = D.spells(dated, "flag", 4, peak="v", block=block).select("location", F.unix_date("start"), F.unix_date("end"), "length", "peak").collect()
+        assert sorted(tuple(r) for r in got) == sorted(w for w in want if w[3] >= 4)
+    text = d.where("location = 1").withColumn("name", F.format_string("%06d", F.col("at") + 100))
+    assert D.spells(text, "flag", 1, order="name").count() == sum(w[0] == 1 for w in want)
+
+
+def test_a_long_series_is_spread(spark):
+    d = spark.range(20_000).select((F.col("id") % 1).alias("location"), F.col("id").alias("at"), (F.col("id") % 1000 != 500).alias("flag"))
+    got = D.spells(d, "flag", 1, order="at")
+    assert got.count() == 21 and got.agg(F.max("length"), F.sum("length")).first()[:] == (999, 19_980)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(location#" in plan and ", _block#" in plan
