@@ -116,13 +116,19 @@ def chosen_probes(index: Index, x: np.ndarray, of: np.ndarray, k: int = 5, recal
     return int(ranks[min(int(np.ceil(recall * len(ranks))) - 1, len(ranks) - 1)]) + 1
 
 
+def enough(sizes: np.ndarray, probes: int, k: int) -> np.ndarray:
+    """How many cells each query goes to, of which sizes has those of its nearest first: `probes`, or as many more as hold the query itself and k others."""
+    return np.maximum(probes, np.minimum((np.cumsum(sizes, axis=1) <= k).sum(1) + 1, sizes.shape[1]))
+
+
 NEAREST = "query_id long, rank int, vec_id long, score double"
 
 
 def search(embeddings: DataFrame, k: int = 5, every: int = 50, index: Index | None = None, probes: int | None = None, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by cosine of each row whose id is divisible by `every`, of all other rows.
 
-    Every usable vector is indexed by its cell and codes. A query goes to its nearest cells; a group holds one piece of a
+    Every usable vector is indexed by its cell and codes. A query goes to its nearest cells, and to more if these
+    hold fewer than k others; a group holds one piece of a
     cell and one piece of its queries, so a hot cell is many groups. Each group returns each query's best by asymmetric
     distance, ties to smaller ids; the best of all are measured on the original vectors in double precision. Rows of one id are
     rows each. Vectors of each length are an index of their own, as no cosine is told between lengths; a given index is for
@@ -149,19 +155,22 @@ def _search(rows: DataFrame, k: int, every: int, index: Index | None, probes: in
                 cell = index.nearest(x, 1)[:, 0]
                 yield pd.DataFrame({"row": pdf["row"], "vec_id": pdf["vec_id"], "cell": cell.astype(np.int32), "code": [c.tobytes() for c in index.encode(x, cell)]})
 
+    codes = written(rows.mapInPandas(coded, "row long, vec_id long, cell int, code binary"), "index")
+    # A number for each cell, how many rows it has; then two: into how many pieces its rows and its queries go.
+    sizes = np.zeros(n_cells, np.int64)
+    for r in codes.groupBy("cell").count().collect():
+        sizes[r["cell"]] = r["count"]
+
     def probed(batches):
         for pdf in batches:
             if len(pdf):
                 x = index.padded(unit(pdf["v"].tolist()))
-                yield pd.DataFrame({"asked": pdf["row"], "cells": list(index.nearest(x, probes).astype(np.int32)), "q": [v.tobytes() for v in x.astype(np.float32)]})
+                near = index.nearest(x, n_cells).astype(np.int32)
+                yield pd.DataFrame({"asked": pdf["row"], "cells": [c[:n] for c, n in zip(near, enough(sizes[near], probes, k), strict=True)], "q": [v.tobytes() for v in x.astype(np.float32)]})
 
-    codes = written(rows.mapInPandas(coded, "row long, vec_id long, cell int, code binary"), "index")
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).mapInPandas(probed, "asked long, cells array<int>, q binary")
     queries = written(queries.select("asked", "q", F.explode("cells").alias("cell")), "probes")
-    # Two numbers for each cell: into how many pieces its rows and its queries go.
-    split = {c: [1, 1] for c in range(n_cells)}
-    for r in codes.groupBy("cell").count().collect():
-        split[r["cell"]][0] = -(-r["count"] // BLOCK)
+    split = {c: [max(1, -(-int(n) // BLOCK)), 1] for c, n in enumerate(sizes)}
     for r in queries.groupBy("cell").count().collect():
         split[r["cell"]][1] = -(-r["count"] // QUERIES)
     pieces = [F.array(*(F.lit(split[c][i]) for c in range(n_cells)))[F.col("cell")] for i in (0, 1)]

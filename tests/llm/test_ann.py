@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pytest
 
 from climaspark.llm import ann as A
 from climaspark.llm.queries import op9_nearest_neighbours, table
@@ -83,3 +86,25 @@ def test_recall_against_probes(spark, sf):
     d, index = table(spark, sf, "embeddings"), A.fit(A.usable(table(spark, sf, "embeddings")))
     shares = [recall(A.search(d, index=index, probes=p).collect(), want)[0] for p in (1, index.probes, len(index.centroids))]
     assert shares[0] < shares[1] <= shares[2] + 0.02 and shares[1] >= 0.9 and shares[2] >= 0.97
+
+
+def test_queries_in_small_cells_get_all_their_neighbours(spark):
+    """A far cluster of three, probed alone: five are found all the same."""
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=(397, 8)) + 4, rng.normal(size=(3, 8)) * 0.01 - 9]).astype(np.float32)
+    d = spark.createDataFrame([(i + 1 if i < 399 else 450, x.tolist(), 0) for i, x in enumerate(v)], SCHEMA)
+    index = A.fit(A.usable(d), cells=20)
+    got = [r for r in A.search(d, index=index, probes=1).collect() if r["query_id"] == 450]
+    assert sorted(r["rank"] for r in got) == [1, 2, 3, 4, 5] and {398, 399} <= {r["vec_id"] for r in got}
+    assert A.enough(np.array([[2, 0, 3, 9], [9, 1, 1, 1]]), 1, 5).tolist() == [4, 1]
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_recall_at_larger_scales(spark, scale):
+    folder = f"/root/testdata/{scale}"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data here")
+    rows = table(spark, folder, "embeddings").collect()
+    want = exact([r["vec_id"] for r in rows], [r["embedding"] for r in rows])
+    share, found = recall(op9_nearest_neighbours(spark, folder).collect(), want)
+    assert share >= 0.95 and set(found) == set(want)
