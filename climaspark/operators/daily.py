@@ -31,13 +31,28 @@ def by_location(daily: DataFrame, keys: tuple[str, ...] = KEY, partitions: int |
 def daily_percentile(daily: DataFrame, value: str, q: float, base: tuple[int, int], window: int = 5, keys: tuple[str, ...] = KEY) -> DataFrame:
     """(keys, doy, threshold): the q-th percentile of base years' values within window // 2 days on the ring of 366 days.
 
-    Only base rows with a value are spread over their neighbouring days, so that what is shuffled is `window` narrow rows
-    for each. Thresholds are rounded to 6 places, so that a comparison doesn't hang on the last bit of an interpolation.
+    Base rows with a value are gathered by calendar day once, as arrays; a day's pool is those of its neighbours, which a window over
+    the days of a key puts together, so that no value is copied before it is dealt out. Days without a base row of their own have
+    thresholds too, from their neighbours. Thresholds are rounded to 6 places, so that a comparison doesn't hang on the last bit
+    of an interpolation.
     """
     half = window // 2
-    rows = daily.where(cal.within(F.year("date"), *base) & F.col(value).isNotNull()).select(*keys, cal.leap_day_of_year("date").alias("_d"), F.col(value).alias("_v"))
-    ring = rows.select(*keys, "_v", F.explode(F.array(*(F.pmod(F.col("_d") - 1 + k, F.lit(366)) + 1 for k in range(-half, half + 1)))).alias("doy"))
-    return ring.groupBy(*keys, "doy").agg(F.round(F.percentile("_v", q / 100.0), 6).alias("threshold"))
+    rows = daily.where(cal.within(F.year("date"), *base) & F.col(value).isNotNull()).select(*keys, cal.leap_day_of_year("date").cast("int").alias("_d"), F.col(value).alias("_v"))
+    days = rows.groupBy(*keys, "_d").agg(F.collect_list("_v").alias("_v"))
+    # The ring: days within reach of its ends stand beyond the other end too.
+    turns = F.array_compact(F.array(F.col("_d"), F.when(F.col("_d") <= half, F.col("_d") + 366), F.when(F.col("_d") > 366 - half, F.col("_d") - 366)))
+    days = days.select(*keys, F.explode(turns).alias("_d"), "_v")
+    order = Window.partitionBy(*keys).orderBy("_d")
+    # Days that have no rows get empty arrays, from the day before them on.
+    first = F.when(F.lag("_d").over(order).isNull(), F.col("_d") - half).otherwise(F.col("_d"))
+    last = F.least(F.coalesce(F.lead("_d").over(order) - 1, F.col("_d") + half), F.lit(366 + half))
+    days = days.select(*keys, "_d", "_v", first.alias("_a"), last.alias("_b")).select(*keys, F.explode(F.sequence("_a", "_b")).alias("doy"), "_d", "_v")
+    days = days.select(*keys, "doy", F.when(F.col("doy") == F.col("_d"), F.col("_v")).alias("_v"))
+    pool = F.array_sort(F.flatten(F.collect_list("_v").over(Window.partitionBy(*keys).orderBy("doy").rangeBetween(-half, half))))
+    pools = days.select(*keys, "doy", pool.alias("_p")).where(F.col("doy").between(1, 366) & (F.size("_p") > 0))
+    at = (F.size("_p") - 1) * (q / 100.0)
+    low = F.get("_p", F.floor(at).cast("int"))
+    return pools.select(*keys, "doy", F.round(low + (at - F.floor(at)) * (F.coalesce(F.get("_p", F.floor(at).cast("int") + 1), low) - low), 6).alias("threshold"))
 
 
 def exceedance(daily: DataFrame, thresholds: DataFrame, value: str, above: bool = True, keys: tuple[str, ...] = KEY, name: str = "flag") -> DataFrame:
@@ -258,15 +273,19 @@ def top(rows: DataFrame, n: int, *order: Column, keys: tuple[str, ...] = KEY, ra
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
 
 
-def overlapping(events: DataFrame, windows: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
-    """Pairs of events and windows of one key that share a day, and how many: an equi-join on key and year with the exact
-    test after it, so that a long history isn't one cell of a cross product. Columns start, end of windows become w_start, w_end."""
+def overlapping(events: DataFrame, windows: DataFrame, keys: tuple[str, ...] = KEY, days: int = 32) -> DataFrame:
+    """Pairs of events and windows of one key that share a day, and how many. Columns start, end of windows become w_start, w_end.
 
-    def years(df: DataFrame, a: str, b: str) -> DataFrame:
-        return df.withColumn("_y", F.explode(F.sequence(F.year(a), F.year(b))))
+    An equi-join on key and stretches of `days` days with the exact test after it: an interval is a row for each stretch that it lies in,
+    one or two for most, and meets what is at most so far away. A pair is told in the stretch where its overlap begins. Give longer
+    stretches for intervals of many years. Intervals that end before they start have no pairs.
+    """
+    def stretches(df: DataFrame, a: str, b: str) -> DataFrame:
+        at = [F.floor(F.unix_date(F.to_date(c)) / days) for c in (a, b)]
+        return df.where(F.col(a) <= F.col(b)).withColumn("_y", F.explode(F.sequence(*at)))
 
     other = windows.withColumnsRenamed({c: f"w_{c}" for c in windows.columns if c not in keys})
-    left, right = years(events, "start", "end"), years(other, "w_start", "w_end")
+    left, right = stretches(events, "start", "end"), stretches(other, "w_start", "w_end")
     begin = F.greatest("start", "w_start")
-    pairs = left.join(right, [*keys, "_y"]).where((F.col("end") >= F.col("w_start")) & (F.col("start") <= F.col("w_end")) & (F.year(begin) == F.col("_y"))).drop("_y")
+    pairs = left.join(right, [*keys, "_y"]).where((F.col("end") >= F.col("w_start")) & (F.col("start") <= F.col("w_end")) & (F.floor(F.unix_date(F.to_date(begin)) / days) == F.col("_y"))).drop("_y")
     return pairs.withColumn("overlap_days", F.datediff(F.least("end", "w_end"), begin) + 1)

@@ -203,3 +203,21 @@ def test_a_long_series_is_spread(spark):
     assert got.count() == 21 and got.agg(F.max("length"), F.sum("length")).first()[:] == (999, 19_980)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(location#" in plan and ", _block#" in plan
+
+
+def test_overlaps_of_intervals_of_any_length(spark):
+    rng = random.Random(9)
+    first = date(1999, 1, 1)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            at = rng.randrange(1500)
+            out.append((rng.randrange(2), i, first + timedelta(at), first + timedelta(at + rng.choice([0, 1, 5, 31, 32, 200, 900, -1]))))
+        return out
+
+    a, b = some(60), some(60)
+    want = sorted((k, i, j, (min(e, f) - max(s, t)).days + 1) for k, i, s, e in a for m, j, t, f in b if k == m and s <= e and t <= f and s <= f and t <= e)
+    x, y = spark.createDataFrame(a, "location int, i int, start date, end date"), spark.createDataFrame(b, "location int, j int, start date, end date")
+    for days in (1, 7, 32, 5000):
+        assert sorted(tuple(r) for r in D.overlapping(x, y, days=days).select("location", "i", "w_j", "overlap_days").collect()) == want
