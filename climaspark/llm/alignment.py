@@ -286,7 +286,7 @@ def digests(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
 
     A pair's count is how many links of all rows hold it; n_best counts the links whose count is their B id's highest, ties
     included; count_sum is the sum over links. Odd rows as in aligned(). The alignments are written once. Of two
-    tokens that end together one's bytes end the other's, so the vocabularies bound the pairs (some 600,000 for the default
+    tokens that end together one's bytes end the other's, so the vocabularies bound the pairs (492,481 for the default
     files, whatever the corpus): their counts go to each task, and the rows need no shuffle.
     """
     paths = paths or default_paths()

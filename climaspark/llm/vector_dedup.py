@@ -17,9 +17,9 @@ from .common import components, done, least_hashed, written
 LIKE = 0.93
 #: The index is fitted on at most so many vectors, those whose keys have the least hashes; every vector is indexed.
 FIT_ROWS, PARTS, CODES = 20_000, 16, 256
-#: Cells are about half the root of the vectors that share a label with one, and at most a twentieth of those that they are fitted on; a
-#: probe looks at so many nearest centroids for its bound. Neither changes what is found.
-FEWEST, WITNESSES = 16, 8
+#: A vector's copy in one more cell costs about as much as so many codes of that cell. Cells are as many, of these, as cost least on the sample that
+#: they are fitted on, and a twentieth of it at most; a probe looks at so many nearest centroids for its bound. Neither changes what is found.
+COPY, CELLS, WITNESSES = 1000, (4, 16, 64, 256, 1024), 8
 #: Vectors of a list, and queries, that one group holds at most, about; a larger list is split.
 BLOCK, QUERIES = 4096, 2048
 #: What rounding may add to a distance.
@@ -69,18 +69,35 @@ def id_of(node: Column) -> Column:
     return F.when(F.substring(node, 1, 1) == F.lit(b"\x00"), F.conv(F.hex(F.substring(node, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(2**63))))
 
 
-def fit(nodes: DataFrame, kind: str, cells: int | None = None) -> Index:
+def fit(nodes: DataFrame, kind: str, like: float = LIKE, cells: int | None = None) -> Index:
     """Centroids and code books from at most FIT_ROWS of the vectors, those whose keys have the least hashes."""
-    # Of the labels' sizes only two sums come to the driver.
-    sizes = nodes.groupBy("label").agg(F.count("*").cast("double").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
-    n = sizes[1] / sizes[0]
     x = units([r["v"] for r in least_hashed(nodes.select("key", "v"), FIT_ROWS, "key").collect()], kind)
     x = np.pad(x, ((0, 0), (0, -x.shape[1] % PARTS)))
-    centroids = k_means(x, cells or max(1, min(max(round(n**0.5 / 2), FEWEST), len(x) // 20)))
+    if cells is None:
+        # Of the labels' sizes only two sums come to the driver.
+        sizes = nodes.groupBy("label").agg(F.count("*").cast("double").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+        cells = cheapest(x, sizes[1] / sizes[0], like)
+    centroids = k_means(x, cells)
     r = (x - centroids[closest(x, centroids)]).reshape(len(x), PARTS, -1)
     return Index(centroids, np.stack([k_means(np.ascontiguousarray(r[:, p]), CODES) for p in range(PARTS)]))
 
 
+def cheapest(x: np.ndarray, n: float, like: float) -> int:
+    """How many cells cost a vector least, of n that share a label with it: its copies, and the codes in the cells that it must look in."""
+    best, least = max(1, min(CELLS[0], len(x) // 20)), np.inf
+    for cells in CELLS:
+        if cells > max(1, len(x) // 20):
+            break
+        index = Index(k_means(x, cells), np.zeros((PARTS, 1, x.shape[1] // PARTS)))
+        asked = x[:: max(1, len(x) // 1000)]
+        own, wanted = probed(index, asked, like)
+        share = np.bincount(closest(x, index.centroids), minlength=len(index.centroids)) / len(x)
+        cost = wanted.sum(1).mean() * COPY + n * (wanted * share).sum(1).mean()
+        if cost < least:
+            best, least = cells, cost
+    return best
+
+
 def radius(like: float) -> float:
     """How far apart two unit vectors of that cosine are."""
     return (2 - 2 * like) ** 0.5
@@ -162,7 +179,7 @@ def links_of(index: Index, cell: int, like: float, lists: pd.DataFrame, asked: p
 
 def links(nodes: DataFrame, kind: str, like: float = LIKE, cells: int | None = None) -> DataFrame:
     """(node, links, other) of vectors (label, node, key, copies, v) of one length: parts of the counts, and edges."""
-    index = fit(nodes, kind, cells)
+    index = fit(nodes, kind, like, cells)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
