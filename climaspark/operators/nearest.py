@@ -39,16 +39,15 @@ def nearest_columns(g2: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def strip_filled(a: np.ndarray, row0: int, above: np.ndarray, above_value: np.ndarray, below: np.ndarray, below_value: np.ndarray) -> np.ndarray:
-    """A strip of rows from row0 on with its missing values filled; above and below are each column's nearest valid rows beyond it (-1: none)."""
+    """A strip of rows from row0 on with its missing values filled; above and below are each column's nearest valid rows beyond it (-FAR and FAR: none)."""
     n, width = a.shape
     own = np.arange(row0, row0 + n)[:, None]
     valid = ~np.isnan(a)
-    up = np.maximum.accumulate(np.vstack([above[None], np.where(valid, own, -1)]), axis=0)[1:]
-    down = np.where(below < 0, _FAR, below)[None]
-    down = np.minimum.accumulate(np.vstack([np.where(valid, own, _FAR), down])[::-1], axis=0)[::-1][:-1]
-    du, dd = np.where(up < 0, _FAR, own - up), np.where(down == _FAR, _FAR, down - own)
+    up = np.maximum.accumulate(np.vstack([above[None], np.where(valid, own, -_FAR)]), axis=0)[1:]
+    down = np.minimum.accumulate(np.vstack([np.where(valid, own, _FAR), below[None]])[::-1], axis=0)[::-1][:-1]
+    du, dd = np.where(up == -_FAR, _FAR, own - up), np.where(down == _FAR, _FAR, down - own)
     rows = np.where(du <= dd, up, down)
-    rows[(up < 0) & (down == _FAR)] = _FAR
+    rows[(up == -_FAR) & (down == _FAR)] = _FAR
     g = np.minimum(du, dd)
     g2 = np.where(g == _FAR, _FAR, np.where(g == _FAR, 0, g) ** 2)
     holes = np.flatnonzero(~valid.all(axis=1))
@@ -99,14 +98,16 @@ def filled(raster: DataFrame, value: str = "elevation", strip: int = STRIP) -> D
         row0, col0 = int(key[0]) * strip, int(ends["col"].min())
         a = np.full((strip, int(ends["col"].max()) - col0 + 1), np.nan)
         i, j = some["row"].to_numpy() - row0, some["col"].to_numpy() - col0
-        a[i, j] = some["v"].to_numpy(float, na_value=np.nan)
         if not len(some):
             return pd.DataFrame({"row": [], "col": [], "v": []})
+        a[i, j] = some["v"].to_numpy(float, na_value=np.nan)
         width = a.shape[1]
-        carry = [np.full(width, -1, np.int64), np.full(width, np.nan), np.full(width, -1, np.int64), np.full(width, np.nan)]
+        none = (-_FAR, np.nan, _FAR, np.nan)
+        carry = [np.full(width, x) for x in none]
         place = ends["col"].to_numpy() - col0
-        for c, name, none in zip(carry, ("ar", "av", "br", "bv"), (-1, np.nan, -1, np.nan), strict=True):
-            c[place] = ends[name].fillna(none).to_numpy()
+        for c, name, x in zip(carry, ("ar", "av", "br", "bv"), none, strict=True):
+            there = ends[name].notna().to_numpy()
+            c[place[there]] = ends[name][there].to_numpy(c.dtype)
         out = strip_filled(a, row0, *carry)[i, j]
         return pd.DataFrame({"row": some["row"], "col": some["col"], "v": out})
 

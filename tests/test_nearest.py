@@ -37,8 +37,7 @@ def array(df, h, w):
 def test_one_strip(h, w, seed, share):
     rng = np.random.default_rng(seed)
     a = np.where(rng.random((h, w)) < share, np.nan, np.arange(h * w, dtype=float).reshape(h, w))
-    none = np.full(w, -1, np.int64)
-    got = N.strip_filled(a, 5, none, np.full(w, np.nan), none, np.full(w, np.nan))
+    got = N.strip_filled(a, -2, np.full(w, -N._FAR), np.full(w, np.nan), np.full(w, N._FAR), np.full(w, np.nan))
     assert np.array_equal(got, brute(a), equal_nan=True)
 
 
@@ -68,6 +67,12 @@ def test_absent_cells_count_as_missing_and_are_not_filled(spark):
     assert np.array_equal(got, want, equal_nan=True) and N.filled(frame(spark, a, keep), strip=5).count() == keep.sum()
 
 
+def test_rows_below_zero(spark):
+    a = np.where(np.random.default_rng(1).random((20, 6)) < 0.9, np.nan, np.arange(120.0).reshape(20, 6))
+    moved = frame(spark, a).selectExpr("row - 11 as row", "col - 3 as col", "elevation")
+    assert np.array_equal(array(N.filled(moved, strip=4).selectExpr("row + 11 as row", "col + 3 as col", "elevation"), 20, 6), brute(a))
+
+
 def test_kinds_and_empty_rasters(spark):
     d = spark.createDataFrame([(0, 0, None, "x"), (0, 1, 5, "y")], "row long, col int, elevation int, other string")
     got = R.filled(d)
