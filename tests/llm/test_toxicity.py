@@ -180,3 +180,43 @@ def test_label_model_by_brute_force(spark, share):
     model = X.fit_labels(rows, X.LabelModel(np.full(9, 0.75), np.zeros((9, 9)), 0.2), 3, rounds=3)
     right, together, prior = expectation_maximisation(list(zip(votes_of(x, 3), label, n, strict=True)), [0.75] * 9, 0.2, 3)
     assert np.allclose(model.right, right) and np.allclose(model.together, together) and abs(model.prior - prior) < 1e-9
+
+
+def labelled(spark, labels):
+    return spark.createDataFrame([(i, 1, y) for i, y in labels], "doc_id long, quality int, toxic int")
+
+
+def test_mined_entries_by_brute_force(spark, documents):
+    """Every candidate counted text by text, the tests of chance as they are defined."""
+    rows, labels = corpus(documents, 700, 3)
+    truth = dict(labels)
+    texts = {i: X.words_of(t) for i, t in rows if not held(i)}
+    P, N = (sum(truth[i] == y for i in texts) for y in (1, 0))
+    counts = {}
+    for i, words in texts.items():
+        for e in X.candidates(set(words)):
+            c = counts.setdefault(e, [0, 0, 0])
+            c[1 - truth[i]] += 1
+            if truth[i]:
+                c[2] += sum(e in X.candidates([w]) for w in words)
+    best = []
+    for e, (p, n, uses) in counts.items():
+        ratio, base = (p + 0.5) / (P + 1) / ((n + 0.5) / (N + 1)), P / (P + N)
+        if p >= X.LEAST_DOCS and ratio >= X.LEAST_RATIO:
+            chance = p * math.log(p / ((p + n) * base)) + (n * math.log(n / ((p + n) * (1 - base))) if n else 0)
+            if chance >= (X.SURE if uses < 2 * p else X.LIKELY):
+                best.append((-p * math.log(ratio), -len(e), e, p, n))
+    want = X.chosen([(e, p, n) for _, _, e, p, n in sorted(best)])
+    assert X.mined(documents(rows), labelled(spark, labels)) == want and len(want) >= 4
+
+
+def test_scores_are_those_of_the_weights(spark, documents):
+    """A text's score from its features, one number at a time."""
+    rows, labels = corpus(documents, 400, 4)
+    rows += [(9000, None), (9001, ""), (9002, "IDIOT!! MORON?? idiot")]
+    fitted = X.fit(documents(rows), labelled(spark, labels))
+    d = documents(rows)
+    got = {r["doc_id"]: r["s"] for r in d.select("doc_id", fitted.scored(fitted.features("text")).alias("s")).collect()}
+    for i, t in rows:
+        z = fitted.weights[-1] + sum(float(a) * float(b) for a, b in zip(fitted.lexicon.features(t or ""), fitted.weights, strict=False))
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
