@@ -68,13 +68,15 @@ class EqualArea:
         return b * d * cb * F.sin(dl), b / d * (c1 * sb - s1 * cb * F.cos(dl))
 
     def inverse(self, x: str | Column, y: str | Column) -> tuple[Column, Column]:
+        """Degrees (lon, lat) of a place on the plane; not numbers beyond the disc that the ellipsoid fills there."""
         _, s1, c1, rq, d = self._constants()
         x, y = _col(x), _col(y)
         rho = F.sqrt((x / d) * (x / d) + (y * d) * (y * d))
-        ce = 2 * F.asin(F.least(F.lit(1.0), rho / (2 * rq)))
+        ce = 2 * F.asin(rho / (2 * rq))
         at_centre = rho < 1e-9
         sb = F.when(at_centre, F.lit(s1)).otherwise(F.cos(ce) * s1 + d * y * F.sin(ce) * c1 / F.when(at_centre, F.lit(1.0)).otherwise(rho))
-        beta = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sb)))
+        # Rounding alone may carry the sine beyond 1; not a number, which Spark takes for the largest, stays one.
+        beta = F.asin(F.when(F.isnan(sb), sb).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sb))))
         # Snyder's series from authalic to geodetic latitude, good to about a centimetre.
         e4, e6 = E2**2, E2**3
         phi = beta + (E2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + 761 * e6 / 45360 * F.sin(6 * beta)

@@ -2,6 +2,7 @@
 
 import os
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -62,3 +63,22 @@ def test_every_point_has_its_box_or_line(spark, name):
 
     points = {str(n) for n in pd.read_parquet(f"{SF}/customer.parquet")["c_custkey"]}
     assert {str(r["name"]) for r in QUERIES[name](spark, SF).select("name").distinct().collect()} == points
+
+
+def with_sql(spark, folder, name):
+    """A query's rows and those of its SQL, sorted, over the tables in a folder."""
+    from climaspark.jobs.queries import ORACLES, QUERIES
+
+    got, con = QUERIES[name](spark, str(folder)), duckdb.connect()
+    for f in folder.glob("*.parquet"):
+        con.execute(f"create view {f.stem} as select * from '{f}'")
+    want = con.execute(ORACLES[name])
+    at = [[c[0] for c in want.description].index(c) for c in got.columns]
+    return sorted(map(repr, map(tuple, got.collect()))), sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
+
+
+def test_places_beyond_the_projections_disc_have_no_degrees(spark, tmp_path):
+    # 60,001 rows of 600 m reach farther north and south of the grid's middle than the whole globe does on the plane.
+    pd.DataFrame({"vec_id": [0, 30_000, 60_000], "embedding": [[-0.5, 0.0], [0.25, 0.125], [0.0, 0.5]], "label": 1}).to_parquet(tmp_path / "embeddings.parquet")
+    got, want = with_sql(spark, tmp_path, "a_elevation_stats")
+    assert got == want and "nan, nan, nan, nan" in got[0]
