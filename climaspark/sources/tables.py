@@ -13,16 +13,18 @@ ANOMALY_COLUMNS = (*MONTHS, "jd", "dn", "djf", "mam", "jja", "son")
 DAILY = "location string, date date, tmax double, tmin double, prcp double"
 
 
-def anomaly_tables(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def anomaly_tables(spark: SparkSession, path: str | list[str], keyed: bool = False) -> DataFrame:
     """(region, year, jan ... dec, jd, dn, djf, mam, jja, son) from CSV texts: a title line, a header, then a line a year.
 
     One read of all regions' files; region is the file's name without its ending, or that of a folder region=... that the
-    file is in. Lines without a year go; what isn't a number is null.
+    file is in. With `keyed` files hold lines of many regions, each with its region before all else: for regions by the thousand,
+    as a file costs more than its lines. Lines without a year go; what isn't a number is null.
     """
-    raw = spark.read.schema(", ".join(f"{c} string" for c in ("year", *ANOMALY_COLUMNS))).option("recursiveFileLookup", True).csv(path)
+    columns = ("year", *ANOMALY_COLUMNS)
+    raw = spark.read.schema(", ".join(f"{c} string" for c in (("region", *columns) if keyed else columns))).option("recursiveFileLookup", True).csv(path)
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"/region=([^/]+)/", 1)
-    region = F.when(folder != "", folder).otherwise(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^/.]*)?$", 1))
-    rows = raw.select(region.alias("region"), *raw.columns).where(F.trim("year").rlike(r"^\d+$"))
+    region = F.col("region") if keyed else F.when(folder != "", folder).otherwise(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^/.]*)?$", 1))
+    rows = raw.select(region.alias("region"), *columns).where(F.trim("year").rlike(r"^\d+$"))
     return rows.select("region", F.trim("year").cast("int").alias("year"), *(F.expr(f"try_cast(trim(`{c}`) as double)").alias(c) for c in ANOMALY_COLUMNS))
 
 

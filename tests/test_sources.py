@@ -1,6 +1,9 @@
 import json
 from datetime import date
 
+import duckdb
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from climaspark.operators import trends as T
@@ -20,6 +23,28 @@ def test_anomaly_table(spark, tmp_path):
     assert got.select("region").distinct().count() == 2
 
 
+def test_anomaly_lines_of_many_regions_in_a_file(spark, tmp_path):
+    (tmp_path / "part-0").write_text(f"north,Land-Ocean: Means\nnorth,{HEADER}\nnorth,1880" + ",.1" * 12 + ",-.17" + ",***" * 5 + "\nsouth,1880" + ",.2" * 12 + ",***" * 6 + "\n")
+    (tmp_path / "part-1").write_text("south,1881" + ",.2" * 12 + ",.3" + ",.1" * 5 + "\n\n")
+    got = tables.anomaly_tables(spark, str(tmp_path), keyed=True)
+    assert sorted((r["region"], r["year"], r["jan"], r["jd"]) for r in got.collect()) == [("north", 1880, 0.1, -0.17), ("south", 1880, 0.2, None), ("south", 1881, 0.2, 0.3)]
+
+
+def test_anomaly_table_has_no_file_a_region_and_rounds_as_its_sql(spark, tmp_path, monkeypatch):
+    from climaspark.jobs.queries import ORACLES, QUERIES
+
+    folder, n = tmp_path / "files", 300
+    monkeypatch.setattr(sinks, "shared_folder", lambda *_: str(folder))
+    # Ties of the fourth place, which binary fractions miss by a bit.
+    orders = pd.DataFrame({"o_orderpriority": "1-URGENT", "o_custkey": np.arange(n) * 300, "o_orderdate": pd.Timestamp("1996-02-01"), "o_totalprice": 10_000.5 + np.arange(n)})
+    orders.to_parquet(tmp_path / "orders.parquet")
+    got = sorted((r["region"], r["year"], r["value"]) for r in QUERIES["s_anomaly_table"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    assert got == sorted(con.execute(ORACLES["s_anomaly_table"]).fetchall()) and len(got) == n
+    assert len(list(folder.rglob("*.txt"))) < n / 10
+
+
 def test_payloads_of_one_cell_and_of_many(spark):
     cell = {"daily": {"time": ["2000-01-01", "2000-01-02"], "temperature_2m_max": [1.0, None], "temperature_2m_min": [0.0, 0.5], "precipitation_sum": [0.0, 2.0]}}
     d = spark.createDataFrame([("a", json.dumps(cell)), ("b", json.dumps([cell, cell]))], "location string, payload string")
