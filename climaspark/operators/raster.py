@@ -116,10 +116,18 @@ def profile_points(lines: DataFrame, samples: int) -> DataFrame:
     return rows.select("name", "i", (F.col("x0") + t * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + t * (F.col("y1") - F.col("y0"))).alias("y"), (t * length).alias("distance_km"))
 
 
+def spread(rows: DataFrame, each: int, of: int = 1_000_000) -> DataFrame:
+    """rows dealt out to tasks of about `of` rows each, once every one has become `each`: a small file is one task, whatever comes of it."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * each // of)))
+
+
 def profile(lines: DataFrame, raster: DataFrame, grid: Grid, samples: int) -> DataFrame:
-    """(name, i, distance_km, elevation) along the lines, and `inside`, the mask of the cell a sample falls in, if the raster has one."""
+    """(name, i, distance_km, elevation) along the lines, and `inside`, the mask of the cell a sample falls in, if the raster has one.
+
+    The lines are counted and dealt out before they become samples.
+    """
     r, c = grid.pixel("x", "y")
-    placed = profile_points(lines, samples).select("name", "i", "distance_km", r.alias("r"), c.alias("c"))
+    placed = profile_points(spread(lines, samples), samples).select("name", "i", "distance_km", r.alias("r"), c.alias("c"))
     mask = "inside" if "inside" in raster.columns else None
     met = tiles.sampled(placed, tiles.tiled(raster, ("elevation", *([mask] if mask else []))), grid.height, grid.width, mask=mask)
     return met.select("name", "i", "distance_km", "elevation", *([mask] if mask else []))
@@ -144,14 +152,20 @@ def profile_features(profile_rows: DataFrame, last: float = 0.3, before_km: floa
 
     low is the lowest sample beyond 1 - last of the line, rim the highest strictly between before_km ahead of it and itself,
     the first on ties; plateau is the median elevation of the inside samples before 1 - last of the line. What has no sample is null.
+    A line's samples are gathered once, and all is told from its array.
     """
-    rows = profile_rows.withColumn("_end", (1 - last) * F.max("distance_km").over(Window.partitionBy("name")))
-    d, e = F.col("distance_km"), F.col("elevation")
-    low = rows.groupBy("name").agg(F.min_by(F.struct(d, e), F.when((d > F.col("_end")) & e.isNotNull(), F.struct(e, d))).alias("_l"), F.median(F.when((d < F.col("_end")) & F.col("inside"), e)).alias("plateau"))
-    ahead = (d < F.col("_l.distance_km")) & (d > F.col("_l.distance_km") - before_km) & e.isNotNull()
-    rim = rows.join(low.select("name", "_l"), "name").where(ahead).groupBy("name").agg(F.max_by(F.struct(d, e), F.struct(e, -d)).alias("_r"))
-    told = low.join(rim, "name", "left")
-    return told.select("name", F.col("_l.distance_km").alias("low_km"), F.col("_l.elevation").alias("low"), F.col("_r.distance_km").alias("rim_km"), F.col("_r.elevation").alias("rim"), (F.col("_r.elevation") - F.col("_l.elevation")).alias("drop"), (F.col("_l.distance_km") - F.col("_r.distance_km")).alias("apart_km"), "plateau")
+    rows = profile_rows.groupBy("name").agg(F.max("distance_km").alias("_end"), F.collect_list(F.struct("distance_km", "elevation", "inside")).alias("_s"))
+    rows = rows.select("name", ((1 - last) * F.col("_end")).alias("_end"), F.filter("_s", lambda x: x["elevation"].isNotNull()).alias("_s"))
+    beyond = F.filter("_s", lambda x: x["distance_km"] > F.col("_end"))
+    before = F.filter("_s", lambda x: (x["distance_km"] < F.col("_end")) & x["inside"])
+    rows = rows.select("name", "_s", F.array_min(F.transform(beyond, lambda x: F.struct(x["elevation"], x["distance_km"]))).alias("_l"), F.sort_array(F.transform(before, lambda x: x["elevation"])).alias("_p"))
+    low = F.col("_l.distance_km")
+    ahead = F.filter("_s", lambda x: (x["distance_km"] < low) & (x["distance_km"] > low - before_km))
+    rim = F.array_max(F.transform(ahead, lambda x: F.struct(x["elevation"], (-x["distance_km"]).alias("back"))))
+    n = F.size("_p")
+    plateau = (F.get("_p", F.floor((n - 1) / 2).cast("int")) + F.get("_p", F.floor(n / 2).cast("int"))) / 2
+    told = rows.select("name", "_l", rim.alias("_r"), plateau.alias("plateau"))
+    return told.select("name", F.col("_l.distance_km").alias("low_km"), F.col("_l.elevation").alias("low"), (-F.col("_r.back")).alias("rim_km"), F.col("_r.elevation").alias("rim"), (F.col("_r.elevation") - F.col("_l.elevation")).alias("drop"), (F.col("_l.distance_km") + F.col("_r.back")).alias("apart_km"), "plateau")
 
 
 def masked_at(points: DataFrame, raster: DataFrame, grid: Grid, keys: tuple[str, ...]) -> DataFrame:

@@ -79,6 +79,16 @@ def test_profile_over_a_ramp(spark):
     assert got[-1]["distance_km"] == 30 and all(r["elevation"] == pytest.approx(50 + 10 * (5.5 + r["distance_km"])) for r in got)
 
 
+def test_lines_of_one_task_become_samples_in_many(spark):
+    lines = spark.range(3_000, numPartitions=1).select(F.col("id").alias("name"), F.lit(500.0).alias("x0"), F.lit(500.0).alias("y0"), F.lit(3500.0).alias("x1"), F.lit(500.0).alias("y1"))
+    dealt = R.spread(lines, 81, 25_000)
+    assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 3_000 and R.spread(lines.limit(0), 81).count() == 0
+    # The features need the samples once: lines are scanned once, for the one exchange of their samples by tile.
+    told = R.profile_features(R.profile(lines, frame(spark, np.ones((4, 4))), geo.Grid(0.0, 4000.0, 1000.0, 4, 4), 5))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1 and told.count() == 3_000
+
+
 def test_bilinear_outside_and_missing(spark):
     a = np.array([[1.0, 3.0], [np.nan, 5.0]])
     pts = spark.createDataFrame([(0, 0.5, 1.0), (1, -1.0, 0.5), (2, 1.0, 1.0)], "k int, r double, c double")
