@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.daily import spine
+from ..operators.daily import by_location, spine
 
 BASE, RECENT, BASE_SEASONS = (1996, 1999), (1999, 2001), (1996, 1999)
 
@@ -59,16 +59,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return spark.sql(text.replace("{string}", "string"), **{t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in text})
+def _sql(spark: SparkSession, sf_dir: str, text: str, **given: DataFrame) -> DataFrame:
+    return spark.sql(text.replace("{string}", "string"), **{t: given[t] if t in given else table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in text})
+
+
+#: Rows of lineitem that a task of the daily views has, about.
+TASK_ROWS = 1_000_000
+
+
+def _daily_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """As many tasks as the table's rows want, told by the files' footers: a task's memory then doesn't grow with the table."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // TASK_ROWS))
 
 
 def daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, DAILY_RAW)
+    rows = table(spark, sf_dir, "lineitem").repartition(_daily_tasks(spark, sf_dir), F.expr("floor(l_suppkey / 20)"))
+    return _sql(spark, sf_dir, DAILY_RAW, lineitem=rows)
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spine(daily_raw(spark, sf_dir))
+    return spine(by_location(daily_raw(spark, sf_dir), partitions=_daily_tasks(spark, sf_dir)))
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:

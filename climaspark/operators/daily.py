@@ -17,10 +17,19 @@ KEY = ("location",)
 
 
 def spine(daily: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
-    """Every day from the first to the last of all rows for each key; days that were absent have nulls, and prcp 0."""
-    span = daily.groupBy(*keys).agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
-    days = span.select(*keys, F.explode(F.sequence("_a", "_b")).alias("date"))
-    return days.join(daily, [*keys, "date"], "left").withColumn("prcp", F.coalesce("prcp", F.lit(0.0)))
+    """Every day from the first to the last of all rows for each key; days that were absent have nulls, and prcp 0.
+
+    A row is repeated up to the day before its key's next one, so that rows that lie together by keys stay so: no join, no exchange of days.
+    Rows without a date go; of a key that is null all values are missing, as nothing equals it.
+    """
+    following = F.date_sub(F.lead("date").over(Window.partitionBy(*keys).orderBy("date")), 1)
+    rows = daily.where(F.col("date").isNotNull()).withColumn("_from", F.col("date"))
+    days = rows.withColumn("_to", F.coalesce(F.greatest(F.col("date"), following), F.col("date"))).withColumn("date", F.explode(F.sequence("_from", "_to")))
+    own = F.col("date") == F.col("_from")
+    for k in keys:
+        own = own & F.col(k).isNotNull()
+    values = [c for c in daily.columns if c not in (*keys, "date")]
+    return days.select(*keys, "date", *((F.coalesce(F.when(own, F.col(c)), F.lit(0.0)) if c == "prcp" else F.when(own, F.col(c))).alias(c) for c in values))
 
 
 def by_location(daily: DataFrame, keys: tuple[str, ...] = KEY, partitions: int | None = None) -> DataFrame:

@@ -90,3 +90,27 @@ def test_tile_files_of_a_raster_higher_than_the_map_of_zoom_8(spark, tmp_path):
     pd.DataFrame({"vec_id": at, "embedding": [[i / 64, 0.5] for i in range(len(at))], "label": 1}).to_parquet(tmp_path / "embeddings.parquet")
     got, want = with_sql(spark, tmp_path, "s_tile_files")
     assert got == want and len(got) == 10
+
+
+@needs_data
+def test_a_daily_task_has_so_many_rows_however_large_the_table(spark, monkeypatch):
+    from climaspark.jobs import views as V
+
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    monkeypatch.setattr(V, "TASK_ROWS", n // 10)
+    daily = V.daily(spark, SF)
+    # Days are filled in where their location lies: two exchanges, of lineitem's rows and of the daily ones.
+    plan = daily._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Join" not in plan
+    assert daily.rdd.getNumPartitions() == -(-n // (n // 10))
+
+
+def test_absent_days_of_repeated_dates_and_of_null_keys(spark):
+    from datetime import date
+
+    from climaspark.operators.daily import spine
+
+    rows = [(1, date(2000, 1, 1), 5.0, 1.0), (1, date(2000, 1, 1), 6.0, None), (1, date(2000, 1, 3), 7.0, 2.0), (1, None, 9.0, 9.0), (None, date(2000, 1, 2), 8.0, 3.0)]
+    got = spine(spark.createDataFrame(rows, "location int, date date, tmax double, prcp double")).collect()
+    want = [(1, "2000-01-01", 5.0, 1.0), (1, "2000-01-01", 6.0, 0.0), (1, "2000-01-02", None, 0.0), (1, "2000-01-03", 7.0, 2.0), (None, "2000-01-02", None, 0.0)]
+    assert sorted(((r["location"], str(r["date"]), r["tmax"], r["prcp"]) for r in got), key=repr) == sorted(want, key=repr)
