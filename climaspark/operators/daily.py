@@ -65,10 +65,17 @@ def daily_percentile(daily: DataFrame, value: str, q: float, base: tuple[int, in
 
 
 def exceedance(daily: DataFrame, thresholds: DataFrame, value: str, above: bool = True, keys: tuple[str, ...] = KEY, name: str = "flag") -> DataFrame:
-    """daily with `name`, whether the value is strictly beyond its calendar day's threshold; false where either is missing."""
-    joined = daily.withColumn("doy", cal.leap_day_of_year("date")).join(thresholds, [*keys, "doy"], "left")
-    beyond = F.col(value) > F.col("threshold") if above else F.col(value) < F.col("threshold")
-    return joined.withColumn(name, F.coalesce(beyond, F.lit(False))).drop("doy", "threshold")
+    """daily with `name`, whether the value is strictly beyond its calendar day's threshold; false where either is missing.
+
+    A key's thresholds meet its days as one array of 366, so that rows that lie together by keys stay so. A key has one threshold a day.
+    """
+    # The map is a lambda's argument, so that it is made once a key and not once a day.
+    by_day = F.map_from_entries(F.collect_list(F.struct("doy", "threshold")))
+    year = F.get(F.transform(F.array(by_day), lambda m: F.transform(F.sequence(F.lit(1), F.lit(366)), lambda d: F.try_element_at(m, d))), 0)
+    years = thresholds.where(F.col("doy").isNotNull()).groupBy(*keys).agg(year.alias("_t"))
+    threshold = F.get("_t", cal.leap_day_of_year("date") - 1)
+    beyond = F.col(value) > threshold if above else F.col(value) < threshold
+    return daily.join(years, [*keys], "left").withColumn(name, F.coalesce(beyond, F.lit(False))).drop("_t")
 
 
 #: Days, or steps of a whole number, that a block of a series spans at most.

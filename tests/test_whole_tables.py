@@ -114,3 +114,32 @@ def test_absent_days_of_repeated_dates_and_of_null_keys(spark):
     got = spine(spark.createDataFrame(rows, "location int, date date, tmax double, prcp double")).collect()
     want = [(1, "2000-01-01", 5.0, 1.0), (1, "2000-01-01", 6.0, 0.0), (1, "2000-01-02", None, 0.0), (1, "2000-01-03", 7.0, 2.0), (None, "2000-01-02", None, 0.0)]
     assert sorted(((r["location"], str(r["date"]), r["tmax"], r["prcp"]) for r in got), key=repr) == sorted(want, key=repr)
+
+
+@needs_data
+def test_thresholds_meet_days_where_their_location_lies(spark, monkeypatch):
+    from climaspark.jobs import views as V
+    from climaspark.jobs.queries import QUERIES
+
+    monkeypatch.setattr(V, "TASK_ROWS", spark.read.parquet(f"{SF}/lineitem.parquet").count() // 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # No days are dealt out for the join: its tasks are the daily view's, however large the table.
+        for name in ("p_exceedance", "w_heatwaves", "a_annual_heat_indices"):
+            plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "doy" not in "".join(line for line in plan.splitlines() if "Exchange" in line)
+        assert QUERIES["p_exceedance"](spark, SF).rdd.getNumPartitions() == V._daily_tasks(spark, SF) > 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_days_without_a_threshold_are_not_beyond_it(spark):
+    from datetime import date
+
+    from climaspark.operators.daily import exceedance
+
+    days = [(k, date(*d), v) for k in (1, 2, None) for d, v in (((2000, 2, 29), 5.0), ((2001, 3, 1), 5.0), ((2001, 12, 31), 5.0), ((2000, 1, 1), None))] + [(1, None, 9.0)]
+    thresholds = [(1, 60, 4.0), (1, 61, None), (1, 366, 4.5), (1, None, 0.0), (1, 1, 0.0), (None, 60, 0.0)]
+    got = exceedance(spark.createDataFrame(days, "location int, date date, tmax double"), spark.createDataFrame(thresholds, "location int, doy int, threshold double"), "tmax")
+    assert got.columns == ["location", "date", "tmax", "flag"] and got.count() == len(days)
+    assert {(r["location"], str(r["date"])) for r in got.collect() if r["flag"]} == {(1, "2000-02-29"), (1, "2001-12-31")}
